@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterfold.llm.common import table
 from rasterfold.llm.exact import EXACT_SQL, exact_groups
 from rasterfold.llm.mixing import MIX_SQL, mix
+from rasterfold.llm.packing import pack
 from rasterfold.llm.pii import PII_SQL, pii_report
+from rasterfold.llm.simhash import near_duplicates
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +33,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pii": op5_pii,
     "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
 }
 SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op5_pii": PII_SQL, "op7_mixing": MIX_SQL}
