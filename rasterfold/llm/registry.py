@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterfold.llm.common import table
 from rasterfold.llm.exact import EXACT_SQL, exact_groups
+from rasterfold.llm.licenses import find_licenses
 from rasterfold.llm.mixing import MIX_SQL, mix
 from rasterfold.llm.packing import pack
 from rasterfold.llm.pii import PII_SQL, pii_report
+from rasterfold.llm.quality import classify
+from rasterfold.llm.secrets import scan_secrets, train_forest
 from rasterfold.llm.simhash import near_duplicates
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents")).drop("notices")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,11 +48,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), train_forest(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op5_pii": PII_SQL, "op7_mixing": MIX_SQL}
