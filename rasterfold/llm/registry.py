@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rasterfold.llm.ann import nearest
 from rasterfold.llm.common import table
 from rasterfold.llm.exact import EXACT_SQL, exact_groups
 from rasterfold.llm.licenses import find_licenses
@@ -16,10 +18,15 @@ from rasterfold.llm.pii import PII_SQL, pii_report
 from rasterfold.llm.quality import classify
 from rasterfold.llm.secrets import scan_secrets, train_forest
 from rasterfold.llm.simhash import near_duplicates
+from rasterfold.llm.substrings import repeated_passages
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents")).drop("notices")
 
@@ -48,11 +55,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), train_forest(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
@@ -60,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_repeats": op9_repeats,
     "op10_secrets": op10_secrets,
 }
 SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op5_pii": PII_SQL, "op7_mixing": MIX_SQL}
