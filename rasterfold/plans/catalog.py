@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterfold.plans import imaging
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**imaging.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**imaging.SQL}
