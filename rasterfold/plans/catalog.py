@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterfold.plans import imaging
+from rasterfold.plans import imaging, measures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**imaging.QUERIES}
+    return {**imaging.QUERIES, **measures.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**imaging.SQL}
+    return {**imaging.SQL, **measures.SQL}
