@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -19,11 +18,11 @@ from rasterfold.llm.common import durable, text_of
 CAPACITY, END_ID, OPEN_BINS = 2048, 0, 4096
 #: Tokens that one task packs; a task leaves one sequence part empty or so.
 TASK_TOKENS = 1 << 24
-#: Words whose ids a Python worker remembers.
+#: Texts whose words are looked up together, and words whose ids a Python worker remembers.
+TEXTS = 500
 REMEMBERED = 600_000
 #: Marks that end words of letters, and the first letter that isn't Latin.
 _TAIL, _BEYOND_LATIN = ".,!?;:|*#$%&", "\u0250"
-_BREAK = re.compile(r"[ \n\r\t]+")
 
 
 class WordIds:
@@ -82,38 +81,24 @@ class WordIds:
                 self.parts.update(zip(texts, encode(texts), strict=True))
         self.known.update((word, self.parts[core] + self.parts[tail]) for word, core, tail in split)
 
-    def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return self._encode([text])[0]
-        words = _BREAK.split(text)
-        if new := {w for w in words if w not in self.known}:
-            if len(self.known) + len(new) > REMEMBERED:
-                self._forget()
-                new = set(words)
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def learn(self, texts: Iterable[str]) -> None:
-        """The words of many texts at once, which costs less than text by text."""
-        new: set[str] = set()
-        for text in texts:
-            new.update(_BREAK.split(text))
-        new = {w for w in new if w not in self.known}
-        if len(self.known) + len(new) <= REMEMBERED:
-            self._learn(new)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        words = set().union(*split)
+        if len(self.known) + len(words) > REMEMBERED:
+            self._forget()
+        self._learn({w for w in words if w not in self.known})
+        get = self.known.__getitem__
+        return [self._encode([text])[0] if any(x in text for x in self.special) else b"".join(map(get, parts)) for text, parts in zip(texts, split, strict=True)]
 
 
 _words: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text and the end id, as bytes."""
     if path not in _words:
         _words[path] = WordIds(path)
-    return _words[path]
-
-
-def token_ids(text: str, path: str) -> bytes:
-    return word_ids(path)(text) + END_ID.to_bytes(4, "little")
+    return [ids + END_ID.to_bytes(4, "little") for ids in _words[path](texts)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -121,11 +106,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for at in range(0, len(batch), 500):
-                word_ids(tokenizer).learn(batch["text"].iloc[at : at + 500])
-            for row, text in enumerate(batch["text"]):
-                ids = token_ids(text, tokenizer)
+            rows, texts = [], batch["text"].tolist()
+            for row, ids in enumerate(x for at in range(0, len(texts), TEXTS) for x in token_ids(texts[at : at + TEXTS], tokenizer)):
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((row, n, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
