@@ -92,10 +92,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
     empty text has no spans; rows that repeat are answered alike; other columns are ignored.
     All of it is one projection: no shuffle.
     """
-    found = docs.select("doc_id", text_of().alias("text"))
+    return _marked(docs.select("doc_id", "text")).select("doc_id", F.col("_spans").alias("spans"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with its spans in a column _spans."""
+    found = docs.withColumn("_text", text_of())
     for kind in KINDS:
-        found = found.withColumn(f"_{kind}", _spans(kind, F.col("text")))
-    return found.select("doc_id", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))).alias("spans"))
+        found = found.withColumn(f"_{kind}", _spans(kind, F.col("_text")))
+    return found.withColumn("_spans", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))))
 
 
 def _listed(spans: Column) -> Column:
@@ -118,17 +123,16 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each found span replaced by its kind in brackets; overlapping spans go as the first of them."""
-    found = find_pii(docs.withColumn("doc_id", F.struct("doc_id", text_of().alias("text"), F.struct(*docs.columns).alias("row"))))
     name = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    text = F.col("doc_id.text")
+    text = F.col("_text")
 
     def step(acc, s):
         piece = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.element_at(name, s["kind"] + 1), F.lit("]"))
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    return found.select(*(clean.alias(c) if c == "text" else F.col(f"doc_id.row.{c}").alias(c) for c in docs.columns))
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    return _marked(docs).withColumn("text", clean).select(*docs.columns)
 
 
 def _sql_kind(k: int, kind: str, pattern: str, keep: str) -> str:
