@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterfold.plans import files, imaging, measures
+from rasterfold.plans import effects, files, imaging, measures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**imaging.QUERIES, **measures.QUERIES, **files.QUERIES}
+    return {**imaging.QUERIES, **measures.QUERIES, **files.QUERIES, **effects.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**imaging.SQL, **measures.SQL, **files.SQL}
+    return {**imaging.SQL, **measures.SQL, **files.SQL, **effects.SQL}
