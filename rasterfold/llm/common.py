@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the filters that are broadcast within plans: 4 MB, whatever they are made of.
+FILTER_BITS = 1 << 25
+_MAP = 1 << 15
+
 #: ASCII white space, the only separator that the text contracts know.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +36,17 @@ def durable(frame: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint(eager=True)
+
+
+def perhaps_among(frame: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """frame with a column _among: false where column is certainly not among the keys.
+
+    The keys are hashed into a bitmap of bits / 8 bytes at most, hence the broadcast; the fuller it
+    is, the more rows are let through in vain. None is lost.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    bitmap = keys.select(slot.alias("s")).groupBy(F.floor(F.col("s") / _MAP).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.col("s") % _MAP).alias("_map"))
+    at = slot % _MAP
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = frame.withColumn("_part", F.floor(slot / _MAP).cast("int")).join(F.broadcast(bitmap), "_part", "left")
+    return marked.withColumn("_among", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_part", "_map")

@@ -7,11 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import SPACE, durable, text_of
-
-#: Bits of the fixed-size filter that keeps single texts out of the byte comparison (4 MB).
-FILTER_BITS = 1 << 25
-_BUCKET = 1 << 15
+from rasterfold.llm.common import FILTER_BITS, SPACE, durable, perhaps_among, text_of
 
 
 def normalised(column: str = "text") -> Column:
@@ -23,27 +19,10 @@ def first_half(sha256: Column) -> Column:
     return F.unhex(F.substring(sha256, 1, 32))
 
 
-def _slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64("h"), F.lit(bits))
-
-
 def _best() -> Column:
     return F.max(F.struct("n_code", F.negative("doc_id").alias("minus_id"), "copies"))
 
 
-def _only(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
-    """The rows of docs whose h may be among keys, by a bitmap of a fixed number of bits.
-
-    The bitmap has at most bits / 8 bytes whatever the number of keys, hence the broadcast; full
-    bitmaps let more rows through and lose none.
-    """
-    slot = _slot(bits)
-    bitmap = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / _BUCKET).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET).alias("map"))
-    at = slot % _BUCKET
-    byte = F.conv(F.hex(F.substring(F.col("map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return docs.withColumn("part", F.floor(slot / _BUCKET).cast("int")).join(F.broadcast(bitmap), "part").where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("part", "map")
-
-
 def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = first_half, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, h, keep_copies.
 
@@ -65,7 +44,7 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = fir
     keep = [F.negative("best.minus_id").alias("keep_id"), F.col("best.copies").alias("keep_copies"), "group_size"]
 
     shared = groups.where("group_size > 1").select("h")
-    texts = _only(hashed, shared, filter_bits).groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n_texts"))
+    texts = perhaps_among(hashed, shared, "h", filter_bits).where("_among").groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n_texts"))
     collided = durable(texts.where("n_texts > 1").select("h"))
     out = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", "h", "keep_copies"]
     if collided.isEmpty():

@@ -18,9 +18,10 @@ from rasterfold.llm.common import durable, text_of
 CAPACITY, END_ID, OPEN_BINS = 2048, 0, 4096
 #: Tokens that one task packs; a task leaves one sequence part empty or so.
 TASK_TOKENS = 1 << 24
-#: Texts whose words are looked up together, and words whose ids a Python worker remembers.
+#: Texts whose words are looked up together; words, and their letters and tails, whose ids a Python
+#: worker remembers.
 TEXTS = 500
-REMEMBERED = 600_000
+REMEMBERED, REMEMBERED_PARTS = 300_000, 300_000
 #: Marks that end words of letters, and the first letter that isn't Latin.
 _TAIL, _BEYOND_LATIN = ".,!?;:|*#$%&", "\u0250"
 
@@ -44,9 +45,6 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -84,9 +82,12 @@ class WordIds:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         words = set().union(*split)
-        if len(self.known) + len(words) > REMEMBERED:
-            self._forget()
-        self._learn({w for w in words if w not in self.known})
+        new = {w for w in words if w not in self.known}
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {"": b""}, words
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = {"": b""}
+        self._learn(new)
         get = self.known.__getitem__
         return [self._encode([text])[0] if any(x in text for x in self.special) else b"".join(map(get, parts)) for text, parts in zip(texts, split, strict=True)]
 

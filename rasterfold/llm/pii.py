@@ -72,7 +72,7 @@ def _spans(kind: str, text: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["hit"])
         near = F.lower(F.right(pair["gap"], F.lit(CONTEXT_CHARS))).rlike(words)
-        score = F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
+        score = F.round(F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)), 2)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), score.alias("score"))
         keep = _confirmed(kind, pair["hit"]) & ((score >= LEAST_SCORE) if kind in KINDS[4:] else F.lit(True))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))

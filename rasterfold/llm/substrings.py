@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from rasterfold.llm.common import durable, text_of
+from rasterfold.llm.common import durable, perhaps_among, text_of
 from rasterfold.llm.grouping import suffix_array
 
 LENGTH, GRAM = 200, 165
@@ -29,8 +29,8 @@ SIDE = LENGTH - GRAM
 SYMBOLS = 200_000
 #: Anchors seen more often are split by the longer half of their sides, so that no group is large.
 HOT = 2048
-#: The filter of repeated anchors has 16 bits for each, up to 128 MB.
-BITS_EACH, MOST_BITS = 16, 1 << 30
+#: The filters of anchors have a bit or two for each anchor of the corpus, up to 128 MB.
+MOST_BITS = 1 << 30
 _PART = 1 << 21
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -112,37 +112,65 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """A filter of a fixed number of bits: slot h modulo bits is set for each hash."""
     slot, size = F.pmod("h", F.lit(bits)), 1 << 15
     rows = hashes.select(slot.alias("s")).groupBy(F.floor(F.col("s") / size).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("s") % size).alias("map")).collect()
-    out = np.zeros(max(1, bits // size) * (size // 8), np.uint8)
+    out = np.zeros(bits // size * (size // 8), np.uint8)
     for row in rows:
         out[row["part"] * (size // 8) :][: size // 8] = np.frombuffer(bytes(row["map"]), np.uint8)
     return out
 
 
-def _is_set(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    slot = h & (bits - 1)
+def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h & (8 * len(bitmap) - 1)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _surroundings(rows: DataFrame, repeated, hot, bits: int) -> DataFrame:
-    """h, key (128 bits for anchor and sides), left, right, hot, id, place of each occurrence of a repeated anchor."""
+def _around(texts: list[bytes], only: np.ndarray) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray]]:
+    """(text, place, anchor's hash, hash of the anchor with its sides) of the anchors in the filter."""
+    digest = xxhash.xxh64_intdigest
+    for which, places, h in _anchors(texts):
+        ok = _is_set(only, h)
+        which, places, h = which[ok], places[ok].tolist(), h[ok]
+        sides = [digest(texts[n][p - min(p, SIDE) : p + GRAM + SIDE], min(p, SIDE)) for n, p in zip(which.tolist(), places, strict=True)]
+        yield which, places, h, np.array(sides, np.uint64).view(np.int64)
+
+
+def _sides(rows: DataFrame, repeated) -> DataFrame:
+    """h, k of each occurrence of a repeated anchor; k is a hash of the anchor with its sides."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, _, h, k in _around(_encoded(batch["text"]), repeated.value):
+                yield pd.DataFrame({"h": h, "k": k})
+
+    return rows.mapInPandas(found, "h long, k long")
+
+
+def _contexts(rows: DataFrame, mixed, hot) -> DataFrame:
+    """h, k, left, right, hot of each occurrence of an anchor with different sides."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = _encoded(batch["text"])
+            for which, places, h, k in _around(texts, mixed.value):
+                pairs = list(zip(which.tolist(), places, strict=True))
+                yield pd.DataFrame({"h": h, "k": k, "left": [texts[n][max(0, p - SIDE) : p] for n, p in pairs], "right": [texts[n][p + GRAM : p + LENGTH] for n, p in pairs], "hot": _is_set(hot.value, h)})
+
+    return rows.mapInPandas(found, "h long, k long, left binary, right binary, hot boolean")
+
+
+def _places(rows: DataFrame, repeated) -> DataFrame:
+    """h, k, id, begin, windows of each occurrence: where its surrounding begins and how many windows it has."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _encoded(batch["text"])
-            for which, places, h in _anchors(texts):
-                ok = _is_set(repeated.value, bits, h)
-                which, places, h = which[ok], places[ok], h[ok]
-                keys, left, right = [], [], []
-                for n, p in zip(which.tolist(), places.tolist(), strict=True):
-                    t = texts[n]
-                    a, b = max(0, p - SIDE), p + GRAM
-                    keys.append(xxhash.xxh128_digest(t[a : b + SIDE], seed=p - a))
-                    left.append(t[a:p])
-                    right.append(t[b : b + SIDE])
-                if keys:
-                    yield pd.DataFrame({"h": h, "key": keys, "left": left, "right": right, "hot": _is_set(hot.value, bits, h), "id": batch["id"].to_numpy()[which], "place": places})
-
-    return rows.mapInPandas(found, "h long, key binary, left binary, right binary, hot boolean, id binary, place long")
+            sizes = np.array(list(map(len, texts)), np.int64)
+            for which, places, h, k in _around(texts, repeated.value):
+                p = np.array(places, np.int64)
+                begin = np.maximum(p - SIDE, 0)
+                windows = np.minimum(p + LENGTH, sizes[which]) - begin - LENGTH + 1
+                yield pd.DataFrame({"h": h, "k": k, "id": batch["id"].to_numpy()[which], "begin": begin, "windows": windows.astype(np.int32)})
+
+    return rows.mapInPandas(found, "h long, k long, id binary, begin long, windows int")
 
 
 def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,10 +208,15 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches are sorted by g and h; whole groups are gathered up to SYMBOLS."""
 
     def judged(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, _ = pd.factorize(pd.MultiIndex.from_arrays([rows["g"], rows["h"]]))
-        first, last = repeated_windows(rows["left"].tolist(), rows["right"].tolist(), ids, rows["n"].to_numpy())
-        out = pd.DataFrame({"key": rows["key"].to_numpy(), "first": first, "last": last})
-        return out[out["first"] >= 0]
+        g, h, n = (rows[c].to_numpy() for c in "ghn")
+        new = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]
+        ids = np.cumsum(new) - 1
+        alone = (np.bincount(ids) == 1)[ids]
+        first, last = np.where(alone & (n > 1), 0, -1), np.where(alone & (n > 1), SIDE, -1)
+        if not alone.all():
+            some = rows[~alone]
+            first[~alone], last[~alone] = repeated_windows(some["left"].tolist(), some["right"].tolist(), ids[~alone], n[~alone])
+        return pd.DataFrame({"h": h, "k": rows["k"].to_numpy(), "first": first, "last": last})[first >= 0]
 
     kept: list[pd.DataFrame] = []
     for batch in batches:
@@ -212,23 +245,29 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text") -> DataF
     it has LENGTH bytes. Anchors with more than hot occurrences are grouped by the 17 bytes next to
     them on either side: of the two sides of any window one has that many.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.unhex(F.md5(text_of(text).cast("binary"))).alias("id"), text_of(text).alias("text"))
-    counts = durable(rows.mapInPandas(_all_anchors, "h long").groupBy("h").count().where("count > 1").select("h", (F.col("count") > hot).alias("hot")))
-    n = counts.count()
-    bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * n).bit_length()))
-    repeated, often = (spark.sparkContext.broadcast(_bitmap(x, bits)) for x in (counts, counts.where("hot")))
-    occurrences = _surroundings(rows, repeated, often, bits)
+    n_bytes = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
+    bits = min(MOST_BITS, max(1 << 15, 1 << (n_bytes // SIDE).bit_length() + 1))
+    repeated = context.broadcast(_bitmap(rows.mapInPandas(_all_anchors, "h long").groupBy("h").count().where("count > 1"), bits))
+
+    sides = _sides(rows, repeated).groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.max("k").alias("most"))
+    anchors = durable(sides.where("n > 1"))
+    different = anchors.where("k < most")
+    mixed, often = (context.broadcast(_bitmap(x, bits)) for x in (different, different.where(F.col("n") > hot)))
+    alike = anchors.where("k = most").select("h", "k", F.lit(0).cast("long").alias("first"), F.lit(SIDE).cast("long").alias("last"))
 
     half = SIDE // 2
     near = F.array(F.xxhash64("h", F.substring("right", 1, half), F.lit("r")), F.xxhash64("h", F.expr(f"right(hex(left), {2 * half})"), F.lit("l")))
     groups = F.explode(F.when(F.col("hot"), near).otherwise(F.array("h")))
-    different = occurrences.groupBy("h", "key", "left", "right", "hot").agg(F.count("*").alias("n"))
-    dealt = different.select("h", "key", "left", "right", "n", groups.alias("g")).repartition("g").sortWithinPartitions("g", "h", "key")
-    verdicts = dealt.mapInPandas(_verdicts, "key binary, first long, last long").groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-
-    places = occurrences.select("key", "id", (F.col("place") - F.length("left")).alias("begin")).distinct()
-    covered = places.join(verdicts, "key").select("id", F.struct((F.col("begin") + F.col("first")).alias("begin"), (F.col("begin") + F.col("last") + LENGTH).alias("end")).alias("span"))
+    counted = _contexts(rows, mixed, often).groupBy("h", "k", "left", "right", "hot").agg(F.count("*").alias("n"))
+    dealt = counted.select("h", "k", "left", "right", "n", groups.alias("g")).repartition("g").sortWithinPartitions("g", "h", "k")
+    judged = dealt.mapInPandas(_verdicts, "h long, k long, first long, last long")
+    verdicts = judged.unionByName(alike).groupBy("h", "k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+    places = _places(rows, repeated)
+    end = F.col("begin") + F.least(F.col("last"), F.col("windows") - 1) + LENGTH
+    covered = places.join(verdicts, ["h", "k"]).select("id", F.struct((F.col("begin") + F.col("first")).alias("begin"), end.alias("end")).alias("span"))
     return covered.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
@@ -255,9 +294,11 @@ def _report(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_REPORT.names)
 
 
-def _with_spans(docs: DataFrame, hot: int) -> DataFrame:
-    keyed = docs.withColumn("_id", F.unhex(F.md5(text_of().cast("binary"))))
-    return keyed.join(repeated_spans(docs, hot).select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), "_id", "left")
+def _with_spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """docs that may have repeated windows, with these in _spans; and all others, whose texts aren't shuffled."""
+    spans = durable(repeated_spans(docs, hot).select(F.col("id").alias("_id"), F.col("spans").alias("_spans")))
+    keyed = perhaps_among(docs.withColumn("_id", F.unhex(F.md5(text_of().cast("binary")))), spans, "_id")
+    return keyed.where("_among").join(spans, "_id", "left"), keyed.where("not _among")
 
 
 def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -268,7 +309,10 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     lose all their bytes. Runs that touch are one. Texts shorter than LENGTH, empty or null keep
     all they have. An empty table gives no rows; null ids stay; other columns are ignored.
     """
-    return _with_spans(docs, hot).select("doc_id", _report(text_of(), F.col("_spans")).alias("r")).select("doc_id", "r.*")
+    touched, others = _with_spans(docs, hot)
+    cut = touched.select("doc_id", _report(text_of(), F.col("_spans")).alias("r")).select("doc_id", "r.*")
+    none = F.lit(0).cast("long")
+    return cut.unionByName(others.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256")))
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -286,4 +330,5 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pd.Series(out)
 
     cut: Column = kept(text_of(), F.col("_spans"))
-    return _with_spans(docs, hot).withColumn("text", cut).select(*docs.columns)
+    touched, others = _with_spans(docs, hot)
+    return touched.withColumn("text", cut).select(*docs.columns).unionByName(others.select(*docs.columns))
