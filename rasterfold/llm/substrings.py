@@ -18,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from rasterfold.llm.common import durable, perhaps_among, text_of
 from rasterfold.llm.grouping import suffix_array
@@ -31,6 +31,8 @@ SYMBOLS = 200_000
 HOT = 2048
 #: The filters of anchors have a bit or two for each anchor of the corpus, up to 128 MB.
 MOST_BITS = 1 << 30
+#: Bits of a hash that are shuffled to count anchors for the first filter; what these confuse, the next count of whole hashes tells apart.
+COUNTED = (1 << 40) - 1
 _PART = 1 << 21
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -105,7 +107,7 @@ def _encoded(texts: pd.Series) -> list[bytes]:
 def _all_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for _, _, h in _anchors(_encoded(batch["text"])):
-            yield pd.DataFrame({"h": h})
+            yield pd.DataFrame({"h": h & COUNTED})
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -235,11 +237,23 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield judged(kept[0])
 
 
+_RUNS = StructType([StructField("begins", ArrayType(LongType())), StructField("ends", ArrayType(LongType()))])
 _REPORT = StructType([StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())])
 
 
+@F.pandas_udf(_RUNS)
+def _merged(begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """Ranges that ascend by begin, with those that overlap or touch made one."""
+    out = []
+    for b, e in zip(begins, ends, strict=True):
+        reach = np.maximum.accumulate(e)
+        new = np.r_[True, b[1:] > reach[:-1]]
+        out.append((b[new], reach[np.r_[new[1:], True]]))
+    return pd.DataFrame(out, columns=_RUNS.names)
+
+
 def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text") -> DataFrame:
-    """id (MD5 of the text), spans: the byte ranges of each different text that its repeated windows cover, in order.
+    """id (MD5 of the text), begins, ends: the byte ranges of each different text that its repeated windows cover, in order.
 
     Texts are whole; a null one counts as empty. A text that occurs twice is covered as a whole if
     it has LENGTH bytes. Anchors with more than hot occurrences are grouped by the 17 bytes next to
@@ -268,24 +282,19 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text") -> DataF
     places = _places(rows, repeated)
     end = F.col("begin") + F.least(F.col("last"), F.col("windows") - 1) + LENGTH
     covered = places.join(verdicts, ["h", "k"]).select("id", F.struct((F.col("begin") + F.col("first")).alias("begin"), end.alias("end")).alias("span"))
-    return covered.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    spans = covered.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    return spans.select("id", _merged("spans.begin", "spans.end").alias("r")).select("id", "r.*")
 
 
-def _union(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for begin, end in spans:
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([begin, end])
-    return [(a, b) for a, b in out]
+def _runs(begins, ends) -> list[tuple[int, int]]:
+    return [] if begins is None else list(zip(begins.tolist(), ends.tolist(), strict=True))
 
 
 @F.pandas_udf(_REPORT)
-def _report(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+def _report(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
     rows = []
-    for text, found in zip(_encoded(texts), spans, strict=True):
-        runs = _union([] if found is None else [(x["begin"], x["end"]) for x in found])
+    for text, a, b in zip(_encoded(texts), begins, ends, strict=True):
+        runs = _runs(a, b)
         digest, at = hashlib.sha256(), 0
         for begin, end in [*runs, (len(text), len(text))]:
             digest.update(text[at:begin])
@@ -295,8 +304,8 @@ def _report(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def _with_spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """docs that may have repeated windows, with these in _spans; and all others, whose texts aren't shuffled."""
-    spans = durable(repeated_spans(docs, hot).select(F.col("id").alias("_id"), F.col("spans").alias("_spans")))
+    """docs that may have repeated windows, with these in _begins and _ends; and all others, whose texts aren't shuffled."""
+    spans = durable(repeated_spans(docs, hot).toDF("_id", "_begins", "_ends"))
     keyed = perhaps_among(docs.withColumn("_id", F.unhex(F.md5(text_of().cast("binary")))), spans, "_id")
     return keyed.where("_among").join(spans, "_id", "left"), keyed.where("not _among")
 
@@ -310,7 +319,7 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     all they have. An empty table gives no rows; null ids stay; other columns are ignored.
     """
     touched, others = _with_spans(docs, hot)
-    cut = touched.select("doc_id", _report(text_of(), F.col("_spans")).alias("r")).select("doc_id", "r.*")
+    cut = touched.select("doc_id", _report(text_of(), "_begins", "_ends").alias("r")).select("doc_id", "r.*")
     none = F.lit(0).cast("long")
     return cut.unionByName(others.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256")))
 
@@ -319,16 +328,16 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs with the repeated bytes cut out of text; parts of characters that a cut leaves are dropped."""
 
     @F.pandas_udf(StringType())
-    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
-        for text, found in zip(_encoded(texts), spans, strict=True):
+        for text, a, b in zip(_encoded(texts), begins, ends, strict=True):
             at, parts = 0, []
-            for begin, end in _union([] if found is None else [(x["begin"], x["end"]) for x in found]):
+            for begin, end in _runs(a, b):
                 parts.append(text[at:begin])
                 at = end
             out.append(b"".join([*parts, text[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    cut: Column = kept(text_of(), F.col("_spans"))
+    cut: Column = kept(text_of(), "_begins", "_ends")
     touched, others = _with_spans(docs, hot)
     return touched.withColumn("text", cut).select(*docs.columns).unionByName(others.select(*docs.columns))
