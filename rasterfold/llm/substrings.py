@@ -160,19 +160,30 @@ def _contexts(rows: DataFrame, mixed, hot) -> DataFrame:
 
 
 def _places(rows: DataFrame, repeated) -> DataFrame:
-    """h, k, id, begin, windows of each occurrence: where its surrounding begins and how many windows it has."""
+    """h, k, id, begin, until, windows of each occurrence: where its surrounding begins and how many windows it has.
+
+    Equal whole surroundings that follow each other in a text are one row, from the first's begin until
+    the last's: what is repeated in each is at least LENGTH long and at the same place, so they touch.
+    Of equal texts in a batch, one is read.
+    """
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.drop_duplicates("id")
             texts = _encoded(batch["text"])
             sizes = np.array(list(map(len, texts)), np.int64)
             for which, places, h, k in _around(texts, repeated.value):
+                if not places:
+                    continue
                 p = np.array(places, np.int64)
                 begin = np.maximum(p - SIDE, 0)
                 windows = np.minimum(p + LENGTH, sizes[which]) - begin - LENGTH + 1
-                yield pd.DataFrame({"h": h, "k": k, "id": batch["id"].to_numpy()[which], "begin": begin, "windows": windows.astype(np.int32)})
+                whole, alike = windows == SIDE + 1, (h[1:] == h[:-1]) & (k[1:] == k[:-1]) & (which[1:] == which[:-1])
+                goes_on = alike & whole[1:] & whole[:-1] & (np.diff(begin) <= LENGTH)
+                first, last = np.r_[True, ~goes_on], np.r_[~goes_on, True]
+                yield pd.DataFrame({"h": h[first], "k": k[first], "id": batch["id"].to_numpy()[which[first]], "begin": begin[first], "until": begin[last], "windows": windows[first].astype(np.int32)})
 
-    return rows.mapInPandas(found, "h long, k long, id binary, begin long, windows int")
+    return rows.mapInPandas(found, "h long, k long, id binary, begin long, until long, windows int")
 
 
 def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +291,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text") -> DataF
     verdicts = judged.unionByName(alike).groupBy("h", "k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
     places = _places(rows, repeated)
-    end = F.col("begin") + F.least(F.col("last"), F.col("windows") - 1) + LENGTH
+    end = F.col("until") + F.least(F.col("last"), F.col("windows") - 1) + LENGTH
     covered = places.join(verdicts, ["h", "k"]).select("id", F.struct((F.col("begin") + F.col("first")).alias("begin"), end.alias("end")).alias("span"))
     spans = covered.groupBy("id").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     return spans.select("id", _merged("spans.begin", "spans.end").alias("r")).select("id", "r.*")
