@@ -27,8 +27,10 @@ LENGTH, GRAM = 200, 165
 SIDE = LENGTH - GRAM
 #: Symbols of one suffix array, reached by whole groups of equal anchors.
 SYMBOLS = 200_000
-#: Anchors seen more often are split by the longer half of their sides, so that no group is large.
+#: Anchors seen more often are split by the longer half of their sides.
 HOT = 2048
+#: Of groups that this leaves with more surroundings, windows are counted one by one, not put into a suffix array.
+LARGE = 256
 #: The filters of anchors have a bit or two for each anchor of the corpus, up to 128 MB.
 MOST_BITS = 1 << 30
 #: Bits of a hash that are shuffled to count anchors for the first filter; what these confuse, the next count of whole hashes tells apart.
@@ -146,17 +148,44 @@ def _sides(rows: DataFrame, repeated) -> DataFrame:
     return rows.mapInPandas(found, "h long, k long")
 
 
-def _contexts(rows: DataFrame, mixed, hot) -> DataFrame:
-    """h, k, left, right, hot of each occurrence of an anchor with different sides."""
+def _contexts(rows: DataFrame, mixed, often, hot: bool) -> DataFrame:
+    """h, k, left, right, n: how many occurrences of anchors with different sides have each surrounding; of frequent ones (hot) or of the others."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = mixed.value & (often.value if hot else ~often.value)
         for batch in batches:
             texts = _encoded(batch["text"])
-            for which, places, h, k in _around(texts, mixed.value):
+            for which, places, h, k in _around(texts, only):
                 pairs = list(zip(which.tolist(), places, strict=True))
-                yield pd.DataFrame({"h": h, "k": k, "left": [texts[n][max(0, p - SIDE) : p] for n, p in pairs], "right": [texts[n][p + GRAM : p + LENGTH] for n, p in pairs], "hot": _is_set(hot.value, h)})
+                yield pd.DataFrame({"h": h, "k": k, "left": [texts[n][max(0, p - SIDE) : p] for n, p in pairs], "right": [texts[n][p + GRAM : p + LENGTH] for n, p in pairs]})
 
-    return rows.mapInPandas(found, "h long, k long, left binary, right binary, hot boolean")
+    return rows.mapInPandas(found, "h long, k long, left binary, right binary").groupBy("h", "k", "left", "right").agg(F.count("*").alias("n"))
+
+
+def _halves(counted: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
+    """Surroundings of frequent anchors by the 17 bytes on either side (g): those of groups of at most large, and the windows of all others.
+
+    Of a group by its left bytes the windows with more than 17 of them are listed, of one by its
+    right bytes the others: h, k, w (a hash of the bytes around the anchor), j (which window of the
+    surrounding), n. The filter of large groups may let a small one in, which then is counted in the same way.
+    """
+    half = SIDE // 2
+    left = F.struct(F.xxhash64("h", F.expr(f"right(hex(left), {2 * half})"), F.lit("l")).alias("g"), F.lit(half + 1).alias("low"), F.lit(SIDE).alias("high"))
+    right = F.struct(F.xxhash64("h", F.substring("right", 1, half), F.lit("r")).alias("g"), F.lit(0).alias("low"), F.lit(half).alias("high"))
+    rows = counted.select("h", "k", "left", "right", "n", F.inline(F.array(left, right)))
+    sizes = durable(rows.groupBy("g").count().where(F.col("count") > large))
+    if sizes.isEmpty():
+        return rows.select("h", "k", "left", "right", "n", "g"), None
+    rows = perhaps_among(rows, sizes, "g")
+    listed = rows.where("_among").withColumn("a", F.explode(F.sequence("low", "high"))).where(f"a <= length(left) and {SIDE} - a <= length(right)")
+    w = F.expr(f"xxhash64(a, substring(left, length(left) - a + 1, a), substring(right, 1, {SIDE} - a))")
+    return rows.where("not _among").select("h", "k", "left", "right", "n", "g"), listed.select("h", "k", w.alias("w"), F.expr("length(left) - a").cast("long").alias("j"), "n")
+
+
+def _again(windows: DataFrame) -> DataFrame:
+    """h, k, first, last of surroundings with repeated windows: counted with a sum before the shuffle, then joined, so no group is gathered."""
+    repeated = durable(windows.groupBy("h", "w").agg(F.sum("n").alias("times")).where("times > 1").select("h", "w"))
+    return windows.join(repeated, ["h", "w"]).groupBy("h", "k").agg(F.min("j").alias("first"), F.max("j").alias("last"))
 
 
 def _places(rows: DataFrame, repeated) -> DataFrame:
@@ -263,12 +292,13 @@ def _merged(begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=_RUNS.names)
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text", large: int = LARGE) -> DataFrame:
     """id (MD5 of the text), begins, ends: the byte ranges of each different text that its repeated windows cover, in order.
 
     Texts are whole; a null one counts as empty. A text that occurs twice is covered as a whole if
     it has LENGTH bytes. Anchors with more than hot occurrences are grouped by the 17 bytes next to
-    them on either side: of the two sides of any window one has that many.
+    them on either side: of the two sides of any window one has that many. Where such a group has
+    more than large surroundings, their windows are hashed and counted.
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.unhex(F.md5(text_of(text).cast("binary"))).alias("id"), text_of(text).alias("text"))
@@ -282,12 +312,13 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text") -> DataF
     mixed, often = (context.broadcast(_bitmap(x, bits)) for x in (different, different.where(F.col("n") > hot)))
     alike = anchors.where("k = most").select("h", "k", F.lit(0).cast("long").alias("first"), F.lit(SIDE).cast("long").alias("last"))
 
-    half = SIDE // 2
-    near = F.array(F.xxhash64("h", F.substring("right", 1, half), F.lit("r")), F.xxhash64("h", F.expr(f"right(hex(left), {2 * half})"), F.lit("l")))
-    groups = F.explode(F.when(F.col("hot"), near).otherwise(F.array("h")))
-    counted = _contexts(rows, mixed, often).groupBy("h", "k", "left", "right", "hot").agg(F.count("*").alias("n"))
-    dealt = counted.select("h", "k", "left", "right", "n", groups.alias("g")).repartition("g").sortWithinPartitions("g", "h", "k")
-    judged = dealt.mapInPandas(_verdicts, "h long, k long, first long, last long")
+    dealt = _contexts(rows, mixed, often, False).withColumn("g", F.col("h"))
+    if often.value.any():
+        halves, windows = _halves(durable(_contexts(rows, mixed, often, True)), large)
+        dealt = dealt.unionByName(halves)
+        if windows is not None:
+            alike = alike.unionByName(_again(windows))
+    judged = dealt.repartition("g").sortWithinPartitions("g", "h", "k").mapInPandas(_verdicts, "h long, k long, first long, last long")
     verdicts = judged.unionByName(alike).groupBy("h", "k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
     places = _places(rows, repeated)
@@ -314,14 +345,14 @@ def _report(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFram
     return pd.DataFrame(rows, columns=_REPORT.names)
 
 
-def _with_spans(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+def _with_spans(docs: DataFrame, hot: int, large: int) -> tuple[DataFrame, DataFrame]:
     """docs that may have repeated windows, with these in _begins and _ends; and all others, whose texts aren't shuffled."""
-    spans = durable(repeated_spans(docs, hot).toDF("_id", "_begins", "_ends"))
+    spans = durable(repeated_spans(docs, hot, large=large).toDF("_id", "_begins", "_ends"))
     keyed = perhaps_among(docs.withColumn("_id", F.unhex(F.md5(text_of().cast("binary")))), spans, "_id")
     return keyed.where("_among").join(spans, "_id", "left"), keyed.where("not _among")
 
 
-def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_passages(docs: DataFrame, hot: int = HOT, large: int = LARGE) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of LENGTH bytes over it also starts anywhere else, in this text (also
@@ -329,13 +360,13 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     lose all their bytes. Runs that touch are one. Texts shorter than LENGTH, empty or null keep
     all they have. An empty table gives no rows; null ids stay; other columns are ignored.
     """
-    touched, others = _with_spans(docs, hot)
+    touched, others = _with_spans(docs, hot, large)
     cut = touched.select("doc_id", _report(text_of(), "_begins", "_ends").alias("r")).select("doc_id", "r.*")
     none = F.lit(0).cast("long")
     return cut.unionByName(others.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256")))
 
 
-def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT, large: int = LARGE) -> DataFrame:
     """docs with the repeated bytes cut out of text; parts of characters that a cut leaves are dropped."""
 
     @F.pandas_udf(StringType())
@@ -350,5 +381,5 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pd.Series(out)
 
     cut: Column = kept(text_of(), "_begins", "_ends")
-    touched, others = _with_spans(docs, hot)
+    touched, others = _with_spans(docs, hot, large)
     return touched.withColumn("text", cut).select(*docs.columns).unionByName(others.select(*docs.columns))
