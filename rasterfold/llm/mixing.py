@@ -59,12 +59,26 @@ def quotas(wanted: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> Dat
     return won.groupBy("source", "shard", "block_words").agg(F.count("*").alias("quota"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = SHARDS, part_digits: int = PART_DIGITS) -> DataFrame:
+def whole_targets(wanted: DataFrame) -> DataFrame:
+    """source, words_taken: targets in whole words; words left over go one each to the largest fractions.
+
+    No source misses its target by a word, however small it is beside the others.
+    """
+    down = F.floor("target").cast("long")
+    cut = wanted.select("source", "place", "words", down.alias("down"), (F.col("target") - down).alias("fraction"))
+    left = F.floor(F.col("words")) - F.sum("down").over(W.partitionBy())
+    rank = F.row_number().over(W.orderBy(F.col("fraction").desc(), "place"))
+    more = (F.col("fraction") > 0) & (rank <= left)
+    return cut.select("source", (F.col("down") + F.when(more, 1).otherwise(0)).alias("words_taken"))
+
+
+def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = SHARDS, part_digits: int = PART_DIGITS, to_the_word: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, begin, rest.
 
     size counts words (null text: 0). A source's documents, in an order drawn by the seed, form a
     stream of words; its quota of blocks is taken from the front, and from the front again after
-    the last document. taken counts a document's words in these blocks: whole passes of it and the
+    the last document. Sources smaller than half a block get none and those of a few blocks miss
+    their targets by up to half; to_the_word takes the targets themselves, to the word. taken counts a document's words in these blocks: whole passes of it and the
     first rest of its words. Documents are ordered by the MD5 of seed and doc_id, then doc_id and
     size, so reruns agree; rows that repeat a document count each. A null source is a source of
     its own. An empty table gives no rows.
@@ -77,7 +91,7 @@ def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = S
     rows = durable(docs.select("doc_id", "source", n_words().alias("size"), drawn.alias("drawn")).withColumn("part", F.substring("drawn", 1, part_digits)))
     parts = durable(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
     wanted = durable(targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))))
-    given = quotas(wanted, blocks, shards).groupBy("source").agg(F.sum(F.col("quota") * F.col("block_words")).alias("words_taken"))
+    given = whole_targets(wanted) if to_the_word else quotas(wanted, blocks, shards).groupBy("source").agg(F.sum(F.col("quota") * F.col("block_words")).alias("words_taken"))
     sources = wanted.alias("w").join(given.alias("g"), F.expr("w.source <=> g.source"), "left").select("w.source", "source_size", "target", F.coalesce("words_taken", F.lit(0)).alias("words_taken"))
     earlier = F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     places = parts.withColumn("before", F.coalesce(earlier, F.lit(0)))
@@ -91,14 +105,14 @@ def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = S
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each pass, texts cut where the last block ends.
+    """The mix itself, with the columns of docs: a row for each pass, texts cut where the last word taken ends.
 
-    Documents without words take no part. A text that is taken to the end is returned as it is; one
-    that the last block cuts has its first words, joined by spaces, and n_chars (if docs has it)
+    Every source gives its target to the word, the rarest too. Documents without words take no
+    part. A text that is taken to the end is returned as it is; one that the last word cuts has its first words, joined by spaces, and n_chars (if docs has it)
     follows. Rows that repeat a doc_id and size are taken alike.
     """
     keyed = docs.withColumn("_size", n_words())
-    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("_passes"), F.max("rest").alias("_rest")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_passes", "_rest")
+    taken = mix(docs, **{"to_the_word": True, **options}).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("_passes"), F.max("rest").alias("_rest")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_passes", "_rest")
     both = keyed.join(taken, F.expr("doc_id <=> _id and source <=> _source and _size = _words"))
     whole = F.array_repeat(F.col("_size"), F.col("_passes").cast("int"))
     times = F.concat(whole, F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))
