@@ -148,6 +148,13 @@ def links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
     return found.distinct()
 
 
+def _labelled(rows: DataFrame, piece: int) -> DataFrame:
+    """fp, component, and the row best: of each distinct fingerprint in rows (fp, best), and the component that its links reach."""
+    prints = durable(rows.groupBy("fp").agg(F.min("best").alias("best")))
+    found = components(links(prints.select("fp"), piece))
+    return prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "best", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -159,20 +166,24 @@ def near_duplicates(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     rows = durable(docs.select("doc_id", fingerprint(text_of()).alias("fp")))
-    prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(prints.select("fp"), piece))
-    labelled = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = _labelled(rows.select("fp", F.col("doc_id").alias("best")), piece)
+    ids = labelled.groupBy("component").agg(F.min("best").alias("component_id"))
     named = labelled.join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of docs: of each component the smallest doc_id.
+    """The documents that stay, with the columns of docs: of each component one, whatever ids are null or repeated.
 
-    Of rows that repeat this doc_id the longest text stays.
+    That is the smallest doc_id (null only where no other is); of rows that repeat this doc_id
+    within the component, or have none, the longest text stays, then the smallest MD5 of it.
+    Components without any id keep a document each, and so do components that share an id.
     """
-    near = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    kept = docs.join(near, F.expr("doc_id <=> _id"))
-    again = kept.where("_copies > 1").groupBy("_id").agg(F.max_by(F.struct(*docs.columns), F.char_length(text_of())).alias("_row")).select("_row.*")
+    digest = F.unhex(F.md5(text_of().cast("binary")))
+    rows = docs.groupBy("doc_id", digest.alias("text_id"), fingerprint(text_of()).alias("fp"), F.char_length(text_of()).alias("length")).agg(F.count("*").alias("copies"))
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", (-F.col("length")).alias("shorter"), "text_id", "copies")
+    stay = _labelled(rows.select("fp", best.alias("best")), PIECE).groupBy("component").agg(F.min("best").alias("best"))
+    stay = durable(stay.select(F.col("best.doc_id").alias("_id"), F.col("best.text_id").alias("_text_id"), F.col("best.copies").alias("_copies")))
+    kept = docs.withColumn("_digest", digest).join(stay, F.expr("doc_id <=> _id and _digest = _text_id"))
+    again = kept.where("_copies > 1").groupBy("_id", "_text_id").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return kept.where("_copies = 1").select(*docs.columns).unionByName(again)
