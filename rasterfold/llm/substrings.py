@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from rasterfold.llm.common import durable, perhaps_among, text_of
-from rasterfold.llm.grouping import suffix_array
+from rasterfold.llm.grouping import suffix_array, suffix_arrays
 
 LENGTH, GRAM = 200, 165
 SIDE = LENGTH - GRAM
-#: Symbols of one suffix array, reached by whole groups of equal anchors.
-SYMBOLS = 200_000
+#: Symbols that are gathered before suffix arrays are built, and cells of a table of short strings whose arrays are built at once.
+SYMBOLS, CELLS = 1_000_000, 1 << 17
+#: Fewer strings than this are sorted one by one.
+FEW = 8
 #: Anchors seen more often are split by the longer half of their sides.
 HOT = 2048
 #: Of groups that this leaves with more surroundings, windows are counted one by one, not put into a suffix array.
@@ -35,7 +37,8 @@ LARGE = 256
 MOST_BITS = 1 << 30
 #: Bits of a hash that are shuffled to count anchors for the first filter; what these confuse, the next count of whole hashes tells apart.
 COUNTED = (1 << 40) - 1
-_PART = 1 << 21
+#: Bytes that are hashed at once: few enough for the caches of a core, and for the memory of a worker.
+_PART = 1 << 18
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -148,14 +151,13 @@ def _sides(rows: DataFrame, repeated) -> DataFrame:
     return rows.mapInPandas(found, "h long, k long")
 
 
-def _contexts(rows: DataFrame, mixed, often, hot: bool) -> DataFrame:
-    """h, k, left, right, n: how many occurrences of anchors with different sides have each surrounding; of frequent ones (hot) or of the others."""
+def _contexts(rows: DataFrame, only) -> DataFrame:
+    """h, k, left, right, n: how many occurrences of the anchors in a filter have each surrounding."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only = mixed.value & (often.value if hot else ~often.value)
         for batch in batches:
             texts = _encoded(batch["text"])
-            for which, places, h, k in _around(texts, only):
+            for which, places, h, k in _around(texts, only.value):
                 pairs = list(zip(which.tolist(), places, strict=True))
                 yield pd.DataFrame({"h": h, "k": k, "left": [texts[n][max(0, p - SIDE) : p] for n, p in pairs], "right": [texts[n][p + GRAM : p + LENGTH] for n, p in pairs]})
 
@@ -215,29 +217,57 @@ def _places(rows: DataFrame, repeated) -> DataFrame:
     return rows.mapInPandas(found, "h long, k long, id binary, begin long, until long, windows int")
 
 
+def _sorted_windows(text: np.ndarray, ok: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places in text of each string's windows in the order of its suffix array; strings of like length are sorted together."""
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        least = int(size[order[at]])
+        most = min(len(order), at + max(FEW, CELLS // (least + 1)))
+        some = order[at : at + int(np.searchsorted(size[order[at:most]], least + least // 8, side="right"))]
+        at += len(some)
+        width = int(size[some[-1]]) + 1
+        if len(some) < FEW or len(some) * width > 2 * CELLS:
+            for i in some.tolist():
+                places = begin[i] + suffix_array(text[begin[i] : begin[i] + size[i]])
+                yield places[ok[places]]
+            continue
+        owner = np.repeat(np.arange(len(some)), size[some])
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        cells = np.ones((len(some), width), np.int64)
+        cells[:, -1] = 0
+        cells[owner, offset] = text[begin[some][owner] + offset]
+        sa = suffix_arrays(cells)
+        inside = sa < size[some][:, None]
+        for places in np.split((begin[some][:, None] + sa)[inside], np.cumsum(inside.sum(1))[:-1]):
+            yield places[ok[places]]
+
+
 def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last window (counted from that which begins with left) of each surrounding that is repeated; -1: none.
 
-    A surrounding of a left and b right bytes has a + b + 1 - SIDE windows of SIDE + 1 symbols, each
-    with the anchor's own symbol, which stands for the group. The suffix array brings equal windows together.
+    Surroundings of a group (ascending numbers from 0) stand together. One of a left and b right
+    bytes has a + b + 1 - SIDE windows of SIDE + 1 symbols, each with the symbol of the anchor
+    between them. The suffix array of a group's surroundings brings its equal windows together.
     """
     size = np.array([len(a) + len(b) + 2 for a, b in zip(left, right, strict=True)])
     begin = np.cumsum(size) - size
     text = np.frombuffer(b"".join(a + b"\0" + b + b"\0" for a, b in zip(left, right, strict=True)), np.uint8).astype(np.int64) + 2
-    middle = begin + np.array([len(a) for a in left])
-    text[middle] = 258 + group
+    text[begin + np.array([len(a) for a in left])] = 258
     text[begin + size - 1] = 1
     windows = np.maximum(0, size - 1 - SIDE)
     owner = np.repeat(np.arange(len(size)), size)
     ok = np.arange(len(text)) - begin[owner] < windows[owner]
-    sa = suffix_array(text)
-    sa = sa[ok[sa]]
-    same = np.ones(max(0, len(sa) - 1), bool)
+    first_of = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    of_group = begin[first_of]
+    sorted_places = list(_sorted_windows(text, ok, of_group, np.diff(np.r_[of_group, len(text)])))
+    sa = np.concatenate(sorted_places)
+    same = np.repeat(np.arange(len(sorted_places)), list(map(len, sorted_places)))
+    pairs = np.flatnonzero(same[1:] == same[:-1])
     for k in range(SIDE + 1):
-        same &= text[sa[1:] + k] == text[sa[:-1] + k]
+        pairs = pairs[text[sa[pairs + 1] + k] == text[sa[pairs] + k]]
     again = np.zeros(len(text), bool)
-    again[sa[1:][same]] = True
-    again[sa[:-1][same]] = True
+    again[sa[pairs + 1]] = True
+    again[sa[pairs]] = True
     again |= ok & (times[owner] > 1)
     first, last = np.full(len(size), -1), np.full(len(size), -1)
     at = np.flatnonzero(again)
@@ -257,7 +287,7 @@ def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, last = np.where(alone & (n > 1), 0, -1), np.where(alone & (n > 1), SIDE, -1)
         if not alone.all():
             some = rows[~alone]
-            first[~alone], last[~alone] = repeated_windows(some["left"].tolist(), some["right"].tolist(), ids[~alone], n[~alone])
+            first[~alone], last[~alone] = repeated_windows(some["left"].tolist(), some["right"].tolist(), np.unique(ids[~alone], return_inverse=True)[1], n[~alone])
         return pd.DataFrame({"h": h, "k": rows["k"].to_numpy(), "first": first, "last": last})[first >= 0]
 
     kept: list[pd.DataFrame] = []
@@ -309,12 +339,12 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, text: str = "text", large: i
     sides = _sides(rows, repeated).groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.max("k").alias("most"))
     anchors = durable(sides.where("n > 1"))
     different = anchors.where("k < most")
-    mixed, often = (context.broadcast(_bitmap(x, bits)) for x in (different, different.where(F.col("n") > hot)))
+    mixed, often = (_bitmap(x, bits) for x in (different, different.where(F.col("n") > hot)))
     alike = anchors.where("k = most").select("h", "k", F.lit(0).cast("long").alias("first"), F.lit(SIDE).cast("long").alias("last"))
 
-    dealt = _contexts(rows, mixed, often, False).withColumn("g", F.col("h"))
-    if often.value.any():
-        halves, windows = _halves(durable(_contexts(rows, mixed, often, True)), large)
+    dealt = _contexts(rows, context.broadcast(mixed & ~often)).withColumn("g", F.col("h"))
+    if often.any():
+        halves, windows = _halves(durable(_contexts(rows, context.broadcast(mixed & often))), large)
         dealt = dealt.unionByName(halves)
         if windows is not None:
             alike = alike.unionByName(_again(windows))

@@ -229,6 +229,38 @@ def test_suffix_array():
         assert suffix_array(np.array(x, np.int64)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_suffix_arrays_of_many_strings():
+    from rasterfold.llm.grouping import suffix_array, suffix_arrays
+
+    draw = np.random.default_rng(3)
+    for trial in range(60):
+        x = draw.integers(1, draw.integers(2, 6), (draw.integers(1, 9), draw.integers(1, 50)))
+        if trial % 3 == 0:
+            x = np.tile(x[:, : 1 + x.shape[1] // 4], (1, 5))
+        rows = np.concatenate([x, np.zeros((len(x), 1), np.int64)], axis=1)
+        for row, got in zip(x, suffix_arrays(rows), strict=True):
+            assert got.tolist() == [len(row), *suffix_array(row).tolist()]
+
+
+def test_repeated_windows_of_many_groups():
+    draw, left, right, group = np.random.default_rng(4), [], [], []
+    for g in range(60):
+        a, b = draw.integers(97, 99, 35).astype(np.uint8).tobytes(), draw.integers(97, 99, 35).astype(np.uint8).tobytes()
+        for _ in range(draw.integers(1, 6) if g else 40):
+            x, y = draw.integers(0, 36, 2)
+            left.append((b"z" * int(draw.integers(0, 3)) + a[x:])[-35:])
+            right.append(b[: 35 - y] + bytes([65 + draw.integers(0, 3)]) * int(draw.integers(0, y + 1)))
+            group.append(g)
+    times = draw.integers(1, 3, len(group))
+    count = Counter()
+    windows = [[(g, len(a) - i, a[i:], b[: 35 - len(a) + i]) for i in range(len(a) + len(b) - 34)] for a, b, g in zip(left, right, group, strict=True)]
+    for w, n in zip(windows, times.tolist(), strict=True):
+        count.update({x: n for x in w})
+    for w, first, last in zip(windows, *substrings.repeated_windows(left, right, np.array(group), times), strict=True):
+        again = [i for i, x in enumerate(w) if count[x] > 1]
+        assert (first, last) == ((again[0], again[-1]) if again else (-1, -1))
+
+
 def test_long_text_in_parts(make_docs, monkeypatch):
     monkeypatch.setattr(substrings, "_PART", 400)
     monkeypatch.setattr(substrings, "_table", [])
