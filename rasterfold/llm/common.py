@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 25
 _MAP = 1 << 15
 
+#: Rows from which on a key counts as hot, and the parts that the rows of a hot key are dealt over.
+HOT_ROWS, HOT_PARTS = 1024, 256
+
 #: ASCII white space, the only separator that the text contracts know.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,11 +32,14 @@ def durable(frame: DataFrame) -> DataFrame:
     """The frame's rows, written to the shared checkpoint folder: its lineage ends there.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``. A temporary folder
-    is used only by sessions that name none, such as local tests.
+    is used only by local sessions that name none, such as tests; on a cluster, whose executors
+    wouldn't share it, a missing setting is an error.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint(eager=True)
 
@@ -50,3 +56,21 @@ def perhaps_among(frame: DataFrame, keys: DataFrame, column: str, bits: int = FI
     byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     marked = frame.withColumn("_part", F.floor(slot / _MAP).cast("int")).join(F.broadcast(bitmap), "_part", "left")
     return marked.withColumn("_among", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_part", "_map")
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, n_rows: str, spread_by: str, hot_rows: int = HOT_ROWS, parts: int = HOT_PARTS) -> DataFrame:
+    """rows joined to facts (one row for each key) on key, with the rows of hot keys dealt over parts tasks.
+
+    Keys are hot where the column n_rows of facts says at least hot_rows, so the copies of their
+    facts are at most parts / hot_rows of the rows. Which keys are hot is told by a filter of fixed
+    size on both sides; a key that it confuses with a hot one is dealt in the same way. spread_by
+    is a column of rows that differs within a key. facts are read several times, so they should be
+    durable; that also lets them be joined without being dealt with rows.
+    """
+    hot = facts.where(F.col(n_rows) >= hot_rows).select(key)
+    if hot.isEmpty():
+        return rows.join(facts, key)
+    dealt = perhaps_among(rows, hot, key).withColumn("_salt", F.when(F.col("_among"), F.pmod(F.xxhash64(spread_by), F.lit(parts))).otherwise(F.lit(0)).cast("int")).drop("_among")
+    copies = F.when(F.col("_among"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    given = perhaps_among(facts, hot, key).withColumn("_salt", F.explode(copies)).drop("_among")
+    return dealt.join(given, [key, "_salt"]).drop("_salt")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import FILTER_BITS, SPACE, durable, perhaps_among, text_of
+from rasterfold.llm.common import FILTER_BITS, HOT_ROWS, SPACE, durable, join_spread, perhaps_among, text_of
 
 
 def normalised(column: str = "text") -> Column:
@@ -23,7 +23,7 @@ def _best() -> Column:
     return F.max(F.struct("n_code", F.negative("doc_id").alias("minus_id"), "copies"))
 
 
-def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = first_half, filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = first_half, filter_bits: int = FILTER_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, h, keep_copies.
 
     Texts are equal when identical without ASCII white space; null counts as empty. Of equal texts
@@ -35,12 +35,14 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = fir
     Only hashes and lengths are shuffled for the grouping, aggregated per (hash, doc_id) and then
     per hash before each shuffle. Texts travel only for groups of two and more, one for each
     distinct text and map task, and are compared by grouping on the text itself. Where one hash
-    stands for two texts, these rows are grouped by text.
+    stands for two texts, these rows are grouped by text. Rows get their group's verdict by a join
+    that deals the rows of groups of hot_rows and more over many tasks.
     """
     hashed = docs.select("doc_id", normalised().alias("norm"), F.char_length(text_of()).alias("n_code")).withColumn("text_sha256", F.sha2("norm", 256))
     hashed = hashed.withColumn("h", content_hash(F.col("text_sha256")))
     rows = durable(hashed.select("doc_id", "n_code", "text_sha256", "h"))
     groups = rows.groupBy("h", "doc_id").agg(F.count("*").alias("copies"), F.max("n_code").alias("n_code")).groupBy("h").agg(F.sum("copies").alias("group_size"), _best().alias("best"))
+    groups = durable(groups)
     keep = [F.negative("best.minus_id").alias("keep_id"), F.col("best.copies").alias("keep_copies"), "group_size"]
 
     shared = groups.where("group_size > 1").select("h")
@@ -48,15 +50,19 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = fir
     collided = durable(texts.where("n_texts > 1").select("h"))
     out = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", "h", "keep_copies"]
     if collided.isEmpty():
-        return rows.join(groups.select("h", *keep), "h").select(*out)
+        return join_spread(rows, groups.select("h", *keep), "h", "group_size", "doc_id", hot_rows).select(*out)
     apart = hashed.join(collided, "h", "left_semi")
     by_text = apart.groupBy("h", "norm", "doc_id").agg(F.count("*").alias("copies"), F.max("n_code").alias("n_code")).groupBy("h", "norm").agg(F.sum("copies").alias("group_size"), _best().alias("best"))
-    plain = rows.join(collided, "h", "left_anti").join(groups.select("h", *keep), "h").select(*out)
+    plain = join_spread(rows.join(collided, "h", "left_anti"), groups.select("h", *keep), "h", "group_size", "doc_id", hot_rows).select(*out)
     return plain.unionByName(apart.join(by_text.select("h", "norm", *keep), ["h", "norm"]).select(*out))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of docs: one row of each group of equal texts."""
+    """The documents that stay, with the columns of docs: one row of each group of equal texts.
+
+    Null and empty texts are equal and leave one row; of rows that repeat the doc_id that stays the
+    longest text does. An empty table gives no rows.
+    """
     verdict = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_copies").alias("_copies")).distinct()
     marked = docs.withColumn("_key", F.sha2(normalised(), 256))
     kept = marked.join(verdict, F.expr("_id <=> doc_id") & (F.col("_sha") == F.col("_key")))
