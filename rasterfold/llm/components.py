@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import durable
+from rasterfold.llm.common import durable, join_spread
 
 
 def _downward(links: DataFrame) -> DataFrame:
@@ -13,10 +13,10 @@ def _downward(links: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of node and neighbours."""
+    """Every larger neighbour of a node is linked to the smallest of node and neighbours, of which a node may have very many."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    least = durable(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    return join_spread(both, least, "a", "n", "b").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
