@@ -8,7 +8,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,19 +105,21 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the tokens of each document in cuts of capacity."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = [], batch["text"].tolist()
+            rows, ids_of, texts = [], [], batch["text"].to_pylist()
             for row, ids in enumerate(x for at in range(0, len(texts), TEXTS) for x in token_ids(texts[at : at + TEXTS], tokenizer)):
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((row, n, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy()[out.pop("row").to_numpy(np.int64)])[names]
+                    rows.append((row, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                    if with_ids:
+                        ids_of.append(np.frombuffer(part, "<u4").astype(np.int32))
+            row, piece, start, length, crc = np.array(rows, np.int64).reshape(-1, 5).T
+            columns = [batch["doc_id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 class BestFit:
@@ -161,22 +163,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, most_open: i
     """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Documents end with id 0, also empty and null ones, and are cut only if longer than capacity.
-    Pieces are dealt evenly over tasks by a hash, as many as their tokens need; each task takes its
-    own longest first and packs them online. sequence_id is unique over tasks and the same in each
-    run over the same rows and settings. Rows that repeat are packed each; an empty table gives no
-    rows; other columns are ignored. tokenizer is the path of a tokenizers file, read on executors.
+    Pieces are dealt evenly over tasks by a hash, as many as their tokens need. The packer is online:
+    it sees one piece at a time and holds most_open bins; each task offers its pieces longest first,
+    which fills sequences better than the order of arrival. sequence_id is unique over tasks and the same in each
+    run over the same rows and settings. Null ids stay, and ids of any size (they go around pandas,
+    which would make them doubles beside a null). Rows that repeat are packed each; an empty table
+    gives no rows; other columns are ignored. tokenizer is the path of a tokenizers file, read on executors.
     """
     cuts = durable(pieces(docs, tokenizer, capacity, with_ids))
     tokens = cuts.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-tokens // task_tokens))
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = BestFit(capacity, most_open), TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = [packer.put(n) for n in batch["length"].tolist()]
-            where = np.array(placed, np.int64).reshape(-1, 2)
-            yield batch.assign(sequence_id=base + where[:, 0], offset=where[:, 1])
+            where = np.array([packer.put(n) for n in batch["length"].to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + where[:, 0]), pa.array(where[:, 1])], [*batch.schema.names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cuts.schema)
     dealt = cuts.repartition(tasks, "doc_id", "piece", "ids_crc32").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInPandas(packed, f"{kinds}, sequence_id long, offset long")
+    return dealt.mapInArrow(packed, f"{kinds}, sequence_id long, offset long")
