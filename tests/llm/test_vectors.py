@@ -53,3 +53,37 @@ def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0])]
     assert found(make(spark, rows)) == {0: [(1, 0.0), (2, -1.0)]}
     assert found(make(spark, [])) == {} and found(make(spark, [(20, [1.0])])) == {}
+
+
+def test_ties_of_different_vectors(spark):
+    draw = np.random.default_rng(6)
+    x = draw.integers(0, 2, (700, 8)) * 0.001
+    x[:, 0] = draw.integers(100, 103, 700)
+    x[:20, 1:] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(np.float32(x))]
+    score = [(i, -float(x[0, 0] * v[0])) for i, v in rows]
+    got, want = found(make(spark, rows), block=64), brute(rows, 20)
+    assert want[0] != sorted(score)[:20] and got.keys() == want.keys()
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
+
+
+def test_other_lengths_take_no_part(spark):
+    draw = np.random.default_rng(7)
+    rows = [(0, [1.0] * 7), (20, [1.0, 2.0])] + [(i, draw.normal(size=5).tolist()) for i in range(30, 90)]
+    got = found(make(spark, rows))
+    assert sorted(got) == [40, 60, 80] and all(len(v) == 20 and not {i for i, _ in v} & {0, 20} for v in got.values())
+
+
+def test_recall_by_size(spark):
+    for n, options in ((2000, {}), (10_000, {}), (10_000, {"polytopes": 2, "tables": 10, "count": 60})):
+        draw = np.random.default_rng(n)
+        middle = draw.normal(size=(n // 50, 32))
+        x = np.float32(np.repeat(middle, 50, axis=0) + 0.4 * draw.normal(size=(n, 32)))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        got = found(make(spark, [(i, v.tolist()) for i, v in enumerate(x)]), **options)
+        asking = np.arange(0, n, 20)
+        near = np.float64(x[asking]) @ np.float64(x).T
+        near[np.arange(len(asking)), asking] = -9
+        best = np.argsort(-near, axis=1)[:, :20]
+        hit = sum(len({i for i, _ in got[q]} & set(b)) for q, b in zip(asking.tolist(), best.tolist(), strict=True))
+        assert len(got) == len(asking) and hit >= 0.9 * 20 * len(asking), (n, options, hit / 20 / len(asking))
