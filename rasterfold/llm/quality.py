@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     """A ranker from a bounded sample of the labelled rows outside the held-out fold.
 
     The sample is the first rows by a hash of doc_id, so it is the same in every run; its ids and
-    the features of its documents are bounded by the parameter.
+    the features of its documents, one for each id however often it is repeated, are bounded by the
+    parameter.
     """
     known = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
@@ -118,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
 
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(taken), "doc_id").select("quality", measured("text").alias("x")).collect()
+    known = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(taken), "doc_id").select("doc_id", "quality", measured("text").alias("x"))
+    rows = known.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
     if not rows:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0, bool))
     rows.sort(key=lambda r: (r["quality"], r["x"]))
@@ -148,7 +150,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that the classifier accepts, with the columns of docs."""
+    """The documents that the classifier accepts, with the columns of docs.
+
+    A null text counts as empty and is scored as one; rows that repeat are judged alike; an empty
+    table gives no rows. Without labels of both kinds all go or all stay.
+    """
     ranker = fit(docs, labels, sample)
     marked = scored(docs.withColumn("_row", F.struct(*docs.columns)), ranker)
     return marked.where(F.col("score") >= ACCEPT).select("_row.*")
