@@ -11,8 +11,8 @@ from rasterfold.llm.common import WORD, durable, text_of
 WEIGHTS = (5, 2, 1)
 #: The mix has 1.5 times the words of all documents; no source is taken more than twice.
 TOTAL_PARTS, WHOLE_PARTS, MOST = 3, 2, 2
-#: Blocks that a mix is divided into (up to twice as many for small mixes), and shards they fill.
-BLOCKS, SHARDS, SEED = 16384, 16, "mix-1"
+#: The mix has at least so many blocks, and the smallest target at least so many (blocks of one word: as many as it has words); shards they fill.
+BLOCKS, FINENESS, SHARDS, SEED = 16384, 64, 16, "mix-2"
 #: Hexadecimal digits of the seeded order that cut a source into parts of about equal size.
 PART_DIGITS = 3
 
@@ -21,6 +21,22 @@ def n_words(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
+def in_order(frame: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """frame with place (from 1 on in that order) and, for each name in sums, the sum of its column over the rows before.
+
+    The rows are cut into ranges of the order, and only one row for each range meets the others.
+    """
+    cut = durable(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    of_range = cut.groupBy("_range").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = of_range.select("_range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", *(f"_{name}" for name in sums))))
+    within = W.partitionBy("_range").orderBy(*order)
+    before = within.rowsBetween(W.unboundedPreceding, -1)
+    both = cut.join(F.broadcast(offsets), "_range")
+    columns = [(F.col(f"_{name}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(name) for name, c in sums.items()]
+    return both.select(*frame.columns, (F.col("_n") + F.row_number().over(within)).alias("place"), *columns)
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """source, source_size, target, place, words: what each source is to give.
 
@@ -29,90 +45,99 @@ def targets(sources: DataFrame) -> DataFrame:
     ends where all open targets have one ratio to their weights, found here by ordering sources by
     the ratio at which each one is full.
     """
-    everything = W.orderBy(F.col("source").asc_nulls_last())
-    weights = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(everything) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    ranked = sources.select("source", "source_size", F.row_number().over(everything).alias("place"), weights.cast("long").alias("weight"), (F.lit(MOST) * F.col("source_size")).alias("most"))
-    order = W.orderBy(F.col("most") / F.col("weight"), "place")
-    before, onward = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    steps = ranked.select("*", F.coalesce(F.sum("most").over(before), F.lit(0)).alias("full"), F.sum("weight").over(onward).alias("open"), F.sum("source_size").over(W.partitionBy()).alias("size_of_all"))
-    words = F.col("size_of_all") * TOTAL_PARTS / WHOLE_PARTS
-    ratio = (words - F.col("full")) / F.col("open")
-    level = F.min(F.when(ratio * F.col("weight") <= F.col("most"), F.struct(F.col("full"), ratio.alias("ratio")))).over(W.partitionBy())
-    return steps.select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(level["ratio"], F.lit(0.0)) * F.col("weight")).alias("target"), "place", words.alias("words"))
-
-
-def quotas(wanted: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """source, shard, block_words, quota: whole blocks of each source in each shard.
-
-    The mix is cut into equal blocks of block_words words; block after block goes to the source
-    with the highest quotient target / (2 i - 1) for its i-th block, none beyond twice its size.
-    Blocks fill the shards in that order, so every shard keeps the proportions. The table of
-    quotients has at most about three blocks for each of the mix, a number that doesn't grow with
-    the documents.
-    """
-    size = F.greatest(F.lit(1), F.floor(F.col("words") / blocks)).cast("long")
-    cut = wanted.withColumn("block_words", size).withColumn("blocks", F.floor(F.col("words") / F.col("block_words")).cast("long"))
-    seats = cut.withColumn("most", F.floor(F.lit(MOST) * F.col("source_size") / F.col("block_words")).cast("long")).where("most > 0 and target > 0")
-    awards = seats.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))).alias("i")).withColumn("quotient", F.col("target") / (2 * F.col("i") - 1))
-    order = F.row_number().over(W.orderBy(F.col("quotient").desc(), "place", "i"))
-    won = awards.withColumn("award", order).where("award <= blocks").withColumn("shard", F.floor((F.col("award") - 1) * shards / F.col("blocks")).cast("int"))
-    return won.groupBy("source", "shard", "block_words").agg(F.count("*").alias("quota"))
-
-
-def whole_targets(wanted: DataFrame) -> DataFrame:
-    """source, words_taken: targets in whole words; words left over go one each to the largest fractions.
-
-    No source misses its target by a word, however small it is beside the others.
+    ranked = in_order(sources.select("source", "source_size"), [F.col("source").asc_nulls_last()])
+    weights = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("place") - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    ranked = ranked.select("source", "source_size", F.col("place").alias("first_place"), weights.cast("long").alias("weight"), (F.lit(MOST) * F.col("source_size")).alias("most"))
+    steps = durable(in_order(ranked, [F.col("most") / F.col("weight"), F.col("first_place")], full="most", earlier="weight"))
+    whole = steps.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    words = (whole["size"] or 0) * TOTAL_PARTS / WHOLE_PARTS
+    ratio = (F.lit(words) - F.col("full")) / (F.lit(whole["weight"] or 0) - F.col("earlier"))
+    level = steps.agg(F.min(F.when(ratio * F.col("weight") <= F.col("most"), F.struct(F.col("full"), ratio.alias("ratio")))).alias("level")).first()["level"]
+    target = F.least(F.col("most").cast("double"), F.lit(level["ratio"] if level else 0.0) * F.col("weight"))
+    return steps.select("source", "source_size", target.alias("target"), F.col("first_place").alias("place"), F.lit(words).alias("words"))
+
+
+def quotas(wanted: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, fineness: int = FINENESS) -> DataFrame:
+    """source, block_words, ends: how many blocks each source has given when each shard is full, so the last is its share of the mix.
+
+    A block goes to the source with the highest quotient target / (2 i - 1) for its i-th block.
+    The quotients down to half a block are awarded, which rounds every target to whole blocks (the
+    divisor form of Sainte-Lague); what is then missing of the mix, or too much, is settled by one
+    block each, at the highest (lowest) quotients. Shard k is full when the quotients down to half
+    a block times shards / k are awarded, so all shards keep the proportions. No source exceeds
+    twice its size. Blocks are so small that the smallest target has fineness of them (but not
+    less than a word), so that rare sources come near their targets too.
     """
-    down = F.floor("target").cast("long")
-    cut = wanted.select("source", "place", "words", down.alias("down"), (F.col("target") - down).alias("fraction"))
-    left = F.floor(F.col("words")) - F.sum("down").over(W.partitionBy())
-    rank = F.row_number().over(W.orderBy(F.col("fraction").desc(), "place"))
-    more = (F.col("fraction") > 0) & (rank <= left)
-    return cut.select("source", (F.col("down") + F.when(more, 1).otherwise(0)).alias("words_taken"))
-
-
-def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = SHARDS, part_digits: int = PART_DIGITS, to_the_word: bool = False) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, begin, rest.
+    known = wanted.agg(F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least"), F.first("words").alias("words")).first()
+    words = known["words"] or 0.0
+    size = max(1, min(int(words // blocks), int((known["least"] or 0.0) // fineness)))
+    most = F.floor(F.lit(MOST) * F.col("source_size") / size).cast("long")
+    ends = [F.least(most, F.floor(F.col("target") * k / (shards * size) + 0.5).cast("long")) for k in range(1, shards + 1)]
+    rounded = durable(wanted.select("source", "place", "target", most.alias("most"), F.array(*ends).alias("ends"), ends[-1].alias("won")))
+    missing = int(words // size) - (rounded.agg(F.sum("won")).first()[0] or 0)
+    step = 1 if missing > 0 else -1
+    able = (F.col("won") < F.col("most")) & (F.col("target") > 0) if missing > 0 else F.col("won") > 0
+    quotient = F.when(able, step * F.col("target") / (2 * F.col("won") + step))
+    ranked = in_order(rounded.withColumn("quotient", quotient).withColumnRenamed("place", "source_place"), [F.col("quotient").desc_nulls_last(), F.col("source_place")])
+    settled = F.col("won") + F.when(F.col("quotient").isNotNull() & (F.col("place") <= abs(missing)), step).otherwise(0)
+    given = F.transform(F.slice("ends", 1, shards - 1), lambda x: F.least(x, settled))
+    return ranked.select("source", F.lit(size).cast("long").alias("block_words"), F.concat(given, F.array(settled)).alias("ends"))
+
+
+def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = SHARDS, part_digits: int = PART_DIGITS, fineness: int = FINENESS) -> DataFrame:
+    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, passes, rest, parts.
 
     size counts words (null text: 0). A source's documents, in an order drawn by the seed, form a
-    stream of words; its quota of blocks is taken from the front, and from the front again after
-    the last document. Sources smaller than half a block get none and those of a few blocks miss
-    their targets by up to half; to_the_word takes the targets themselves, to the word. taken counts a document's words in these blocks: whole passes of it and the
-    first rest of its words. Documents are ordered by the MD5 of seed and doc_id, then doc_id and
-    size, so reruns agree; rows that repeat a document count each. A null source is a source of
-    its own. An empty table gives no rows.
-
-    The place of a document in the stream is the sum over earlier parts, cut by the leading digits
-    of the order, plus a window within its part; so a source with most of the rows is spread over
+    stream of words that is cut into equal blocks; after the last document it begins again. Shard
+    after shard takes its quota of blocks from it, so the seed decides which blocks a shard gets.
+    parts lists what the shards take of a document: shard (from 0), block (the number in the stream
+    in which it begins, from 0), start (word in the document) and words; taken is their sum, which
+    are whole passes and the first rest of the words.
+
+    Documents are ordered by the MD5 of seed and doc_id, then doc_id and size, so reruns agree;
+    rows that repeat a document count each. A null source is a source of its own; sources without
+    words give none. An empty table gives no rows; other columns are ignored, and texts of any
+    length are counted whole.
+
+    The place of a document in the stream is the sum over earlier parts of the order, cut by its
+    leading digits, plus a window within its part; so a source with most of the rows is spread over
     16 ** part_digits groups. Only ids, sizes and sources are shuffled.
     """
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = durable(docs.select("doc_id", "source", n_words().alias("size"), drawn.alias("drawn")).withColumn("part", F.substring("drawn", 1, part_digits)))
-    parts = durable(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
-    wanted = durable(targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))))
-    given = whole_targets(wanted) if to_the_word else quotas(wanted, blocks, shards).groupBy("source").agg(F.sum(F.col("quota") * F.col("block_words")).alias("words_taken"))
-    sources = wanted.alias("w").join(given.alias("g"), F.expr("w.source <=> g.source"), "left").select("w.source", "source_size", "target", F.coalesce("words_taken", F.lit(0)).alias("words_taken"))
+    sizes = durable(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
+    wanted = durable(targets(sizes.groupBy("source").agg(F.sum("part_size").alias("source_size"))))
+    sources = wanted.alias("w").join(quotas(wanted, blocks, shards, fineness).alias("q"), F.expr("w.source <=> q.source")).select("w.source", "source_size", "target", "block_words", "ends")
     earlier = F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    places = parts.withColumn("before", F.coalesce(earlier, F.lit(0)))
-    places = places.alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source")).select(F.col("p.source").alias("p_source"), F.col("part").alias("p_part"), "before", "source_size", "target", "words_taken")
+    places = sizes.withColumn("before", F.coalesce(earlier, F.lit(0)))
+    places = places.alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source")).select(F.col("p.source").alias("p_source"), F.col("part").alias("p_part"), "before", "source_size", "target", "block_words", "ends")
     within = F.sum("size").over(W.partitionBy("source", "part").orderBy("drawn", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
     placed = rows.join(places, F.expr("source <=> p_source and part = p_part")).withColumn("begin", F.col("before") + F.coalesce(within, F.lit(0)))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("words_taken") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words_taken") - F.col("passes") * F.col("source_size") - F.col("begin")))
-    placed = placed.withColumn("passes", passes).withColumn("rest", rest.cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest")).alias("taken"), "passes", "rest")
+
+    def part(k: int, turn: int) -> Column:
+        """What shard k takes of the document when the stream runs for the turn-th time (from 0)."""
+        begin = F.col("begin") + turn * F.col("source_size")
+        low = F.greatest(begin, F.element_at("ends", k) * F.col("block_words") if k else F.lit(0).cast("long"))
+        high = F.least(begin + F.col("size"), F.element_at("ends", k + 1) * F.col("block_words"))
+        return F.struct(F.lit(k).alias("shard"), F.floor(low / F.col("block_words")).alias("block"), (low - begin).alias("start"), (high - low).alias("words"))
+
+    parts = F.filter(F.array(*(part(k, turn) for turn in range(MOST) for k in range(shards))), lambda p: p["words"] > 0)
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    placed = placed.withColumn("parts", parts).withColumn("taken", taken)
+    passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", passes.alias("passes"), (F.col("taken") - passes * F.col("size")).alias("rest"), "parts")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each pass, texts cut where the last word taken ends.
 
-    Every source gives its target to the word, the rarest too. Documents without words take no
-    part. A text that is taken to the end is returned as it is; one that the last word cuts has its first words, joined by spaces, and n_chars (if docs has it)
-    follows. Rows that repeat a doc_id and size are taken alike.
+    Documents without words take no part. A text that is taken to the end is returned as it is; one
+    that the last word of its source cuts has its first words, joined by spaces, and n_chars (if
+    docs has it) follows. Rows that repeat a doc_id and size are taken alike. A null source is a
+    source of its own. An empty table gives no rows.
     """
     keyed = docs.withColumn("_size", n_words())
-    taken = mix(docs, **{"to_the_word": True, **options}).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("_passes"), F.max("rest").alias("_rest")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_passes", "_rest")
+    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("_passes"), F.max("rest").alias("_rest")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_passes", "_rest")
     both = keyed.join(taken, F.expr("doc_id <=> _id and source <=> _source and _size = _words"))
     whole = F.array_repeat(F.col("_size"), F.col("_passes").cast("int"))
     times = F.concat(whole, F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))
@@ -138,21 +163,27 @@ c AS (
          (sum(source_size) OVER ())::DOUBLE * 3 / 2 AS words
   FROM v WINDOW o AS (ORDER BY most::DOUBLE / weight, place)),
 l AS (SELECT coalesce(min_by((words - filled) / unfilled, filled) FILTER ((words - filled) / unfilled * weight <= most), 0.0) AS ratio FROM c),
-t AS (
-  SELECT source, source_size, place, least(most::DOUBLE, ratio * weight) AS target,
-         greatest(1, floor(words / {BLOCKS}))::BIGINT AS block_words,
-         floor(words / greatest(1, floor(words / {BLOCKS})))::BIGINT AS blocks
-  FROM c, l),
+t AS (SELECT source, source_size, place, words, least(most::DOUBLE, ratio * weight) AS target FROM c, l),
+b AS (SELECT greatest(1, least(floor(any_value(words) / {BLOCKS}), floor(coalesce(min(target) FILTER (target > 0), 0) / {FINENESS})))::BIGINT AS block_words FROM t),
 a AS (
-  SELECT source, block_words, blocks, row_number() OVER (ORDER BY target / (2 * i - 1) DESC, place, i) AS award
-  FROM (SELECT *, unnest(generate_series(1, (2 * source_size // block_words)::BIGINT)) AS i FROM t WHERE target > 0)),
-q AS (SELECT source, (count(*) * any_value(block_words))::BIGINT AS words_taken FROM a WHERE award <= blocks GROUP BY source),
+  SELECT *, 2 * source_size // block_words AS most,
+         list_transform(range(1, {SHARDS} + 1), lambda k: least(2 * source_size // block_words, floor(target * k / ({SHARDS} * block_words) + 0.5)::BIGINT)) AS ends
+  FROM t, b),
+g AS (SELECT *, ends[{SHARDS}] AS won, (floor(words / block_words)::BIGINT - sum(ends[{SHARDS}]) OVER ())::BIGINT AS missing FROM a),
+h AS (SELECT *, CASE WHEN missing > 0 AND won < most AND target > 0 THEN target / (2 * won + 1)
+                     WHEN missing <= 0 AND won > 0 THEN -target / (2 * won - 1) END AS quotient FROM g),
+i AS (SELECT *, won + CASE WHEN quotient IS NOT NULL AND row_number() OVER (ORDER BY quotient DESC NULLS LAST, place) <= abs(missing) THEN sign(missing) ELSE 0 END AS blocks FROM h),
+q AS (SELECT source, source_size, target, (blocks * block_words)::BIGINT AS words_taken,
+             list_transform(ends[:{SHARDS - 1}], lambda e: (least(e, blocks) * block_words)::BIGINT) AS shard_ends FROM i),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(q.words_taken, 0) AS words_taken,
+  SELECT d.doc_id, d.size, q.source_size, q.target, q.words_taken, q.shard_ends,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.drawn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN source_size = 0 THEN 0 ELSE words_taken // source_size * size
-             + greatest(0, least(size, words_taken % source_size - begin_at)) END)::BIGINT AS taken
-FROM p
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+z AS (
+  SELECT *, (CASE WHEN source_size = 0 THEN 0 ELSE words_taken // source_size * size
+                  + greatest(0, least(size, words_taken % source_size - begin_at)) END)::BIGINT AS taken
+  FROM p)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN len(list_filter(shard_ends, lambda e: e <= begin_at)) END::INT AS first_shard
+FROM z
 """
