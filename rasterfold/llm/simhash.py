@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from rasterfold.llm.common import HOT_ROWS, durable, join_spread, perhaps_among, text_of
+from rasterfold.llm.common import durable, join_spread, text_of
 from rasterfold.llm.components import components
 
 SHINGLE, HASH_SEED, MOST_BITS = 4, 42, 4
@@ -124,24 +125,23 @@ def signatures(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def links(prints: DataFrame, piece: int = PIECE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
     """a, b: links between distinct fingerprints (long column fp) that differ in at most 4 bits.
 
     Not every pair is listed: among many that share a signature, enough links to connect what is
-    connected. Signatures are counted, with sums before the shuffle, and those of one fingerprint
-    go. The fingerprints of the others are compared in pieces of about a fixed size, dealt by a
-    hash, so that no task holds more than two pieces however many share a signature; where there is
-    more than one piece, every two of them meet in a task of their own.
+    connected. The rows of a signature are sorted and numbered (as they stream by, so in bounded
+    memory); single ones go. The others are compared in pieces of a fixed size, so that no task
+    holds more than two pieces however many share a signature; where there is more than one, every
+    two pieces meet in a task of their own.
     """
-    counted = signatures(prints).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = durable(counted.withColumn("pieces", F.ceil(F.col("n") / piece).cast("int")))
-    perhaps = perhaps_among(signatures(prints), shared, "key").where("_among").drop("_among")
-    joined = join_spread(perhaps, shared, "key", "n", "fp", hot_rows)
-    rows = durable(joined.select("key", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int").alias("piece"), "pieces", "fp"))
-    alone = rows.select("key", "piece", "fp").repartition("key", "piece").sortWithinPartitions("key", "piece", "fp")
-    found = alone.mapInPandas(_linked, "a long, b long")
-    if not shared.where("pieces > 1").isEmpty():
-        meet = rows.where("pieces > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("other != piece")
+    order = W.partitionBy("key").orderBy("fp")
+    rows = signatures(prints).select("fp", "key", F.row_number().over(order).alias("n"), F.lead("fp").over(order).alias("next"))
+    rows = rows.where("n > 1 or next is not null").select("key", F.floor((F.col("n") - 1) / piece).cast("int").alias("piece"), "fp")
+    found = rows.mapInPandas(_linked, "a long, b long")
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _segment(k, F.col("fp")).alias("v")) for k in range(3))))
+    if not prints.select(values.alias("s")).groupBy("s").count().where(F.col("count") > piece // 2).isEmpty():
+        last = rows.where("piece > 0").groupBy("key").agg(F.max("piece").alias("last"))
+        meet = rows.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).where("other != piece")
         meet = meet.select("key", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "fp")
         meet = meet.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp")
         pair = (F.col("low").cast("long") * (1 << 31) + F.col("high")).alias("piece")
