@@ -119,7 +119,8 @@ def lab() -> dict[str, str]:
 
 def lch() -> dict[str, str]:
     x = lab()
-    return {"lch_l": x["lab_l"], "lch_c": f"sqrt({x['lab_a']} * {x['lab_a']} + {x['lab_b']} * {x['lab_b']})"}
+    hue = f"degrees(atan2({x['lab_b']}, {x['lab_a']}))"
+    return {"lch_l": x["lab_l"], "lch_c": f"sqrt({x['lab_a']} * {x['lab_a']} + {x['lab_b']} * {x['lab_b']})", "lch_h": f"(CASE WHEN {hue} < 0 THEN {hue} + 360 ELSE {hue} END)"}
 
 
 def oklab() -> dict[str, str]:
@@ -127,6 +128,63 @@ def oklab() -> dict[str, str]:
     return {k: _dot(w, lms) for k, w in zip(("ok_l", "ok_a", "ok_b"), _OK, strict=True)}
 
 
+def inverted(matrix: tuple) -> tuple:
+    (a, b, c), (d, e, f), (g, h, i) = matrix
+    det = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+    return tuple(tuple(v / det for v in row) for row in ((e * i - f * h, c * h - b * i, b * f - c * e), (f * g - d * i, a * i - c * g, c * d - a * f), (d * h - e * g, b * g - a * h, a * e - b * d)))
+
+
+def from_linear(r: str, g: str, b: str) -> dict[str, str]:
+    """Bytes of linear light (shares of one; what lies outside is cut off)."""
+    return {c: from_unit(linear_to_srgb(clamp(f"({e})", "0e0", "1e0"))) for c, e in zip("rgb", (r, g, b), strict=True)}
+
+
+def from_xyz(x: str = "cie_x", y: str = "cie_y", z: str = "cie_z") -> dict[str, str]:
+    return from_linear(*(_dot(w, (x, y, z)) for w in inverted(tuple(_XYZ.values()))))
+
+
+def lab_to_xyz(lightness: str = "lab_l", a: str = "lab_a", b: str = "lab_b") -> dict[str, str]:
+    middle = f"(({lightness} + 16) / 116e0)"
+    places = {"cie_x": f"({middle} + {a} / 500e0)", "cie_y": middle, "cie_z": f"({middle} - {b} / 200e0)"}
+    return {k: f"({num(_WHITE[k[-1].upper()])} * (CASE WHEN power({f}, 3) > {num(216 / 24389)} THEN power({f}, 3) ELSE (116e0 * {f} - 16) / {num(24389 / 27)} END))" for k, f in places.items()}
+
+
+def lch_to_lab(lightness: str = "lch_l", chroma: str = "lch_c", hue: str = "lch_h") -> dict[str, str]:
+    """Of hue in degrees."""
+    return {"lab_l": lightness, "lab_a": f"({chroma} * cos(radians({hue})))", "lab_b": f"({chroma} * sin(radians({hue})))"}
+
+
+def from_oklab(lightness: str = "ok_l", a: str = "ok_a", b: str = "ok_b") -> dict[str, str]:
+    cubes = tuple(f"power({_dot(w, (lightness, a, b))}, 3)" for w in inverted(_OK))
+    return from_linear(*(_dot(w, cubes) for w in inverted(_LMS)))
+
+
+def from_hsv(h: str = "h", s: str = "s", v: str = "v") -> dict[str, str]:
+    """Of hue in degrees, saturation and value as shares."""
+    part = lambda n: f"(({n} + {h} / 60e0) - 6 * floor(({n} + {h} / 60e0) / 6))"
+    return {c: from_unit(f"{v} - {v} * {s} * greatest(0e0, least({part(n)}, 4 - {part(n)}, 1e0))") for c, n in zip("rgb", (5, 3, 1), strict=True)}
+
+
+def from_hsl(h: str = "h", s: str = "s", lightness: str = "l") -> dict[str, str]:
+    part = lambda n: f"(({n} + {h} / 30e0) - 12 * floor(({n} + {h} / 30e0) / 12))"
+    return {c: from_unit(f"{lightness} - {s} * least({lightness}, 1 - {lightness}) * greatest(-1e0, least({part(n)} - 3, 9 - {part(n)}, 1e0))") for c, n in zip("rgb", (0, 8, 4), strict=True)}
+
+
+# Bradford's cone responses, and the D50 white.
+_BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
+_WHITE_D50 = {"X": 0.96422, "Y": 1.0, "Z": 0.82521}
+
+
+def adapted(to_d50: bool = True, x: str = "cie_x", y: str = "cie_y", z: str = "cie_z") -> dict[str, str]:
+    """cie_x, cie_y, cie_z under the other white, by scaling Bradford's cone responses."""
+    cones = lambda white: [sum(w * v for w, v in zip(row, white.values(), strict=True)) for row in _BRADFORD]
+    old, new = (_WHITE, _WHITE_D50) if to_d50 else (_WHITE_D50, _WHITE)
+    gain = [n / o for n, o in zip(cones(new), cones(old), strict=True)]
+    back = inverted(_BRADFORD)
+    matrix = tuple(tuple(sum(back[i][k] * gain[k] * _BRADFORD[k][j] for k in range(3)) for j in range(3)) for i in range(3))
+    return {name: _dot(w, (x, y, z)) for name, w in zip(("cie_x", "cie_y", "cie_z"), matrix, strict=True)}
+
+
 _MOST, _LEAST = "greatest(r, g, b)", "least(r, g, b)"
 _HUE = f"(CASE WHEN {_MOST} = {_LEAST} THEN 0e0 WHEN {_MOST} = r THEN (CASE WHEN g < b THEN 360e0 ELSE 0e0 END) + 60e0 * (g - b) / ({_MOST} - {_LEAST}) WHEN {_MOST} = g THEN 120e0 + 60e0 * (b - r) / ({_MOST} - {_LEAST}) ELSE 240e0 + 60e0 * (r - g) / ({_MOST} - {_LEAST}) END)"
 

@@ -72,6 +72,7 @@ def _lanczos(n: float) -> Callable[[float], float]:
 SAMPLERS: dict[str, tuple[float, Callable[[float], float]]] = {
     "box": (0.5, lambda x: 1.0 if -0.5 < x <= 0.5 else 0.0),
     "triangle": (1, lambda x: max(0.0, 1 - abs(x))),
+    "bilinear": (1, lambda x: max(0.0, 1 - abs(x))),
     "hermite": (1, lambda x: (2 * abs(x) - 3) * x * x + 1 if abs(x) < 1 else 0.0),
     "bicubic": (2, _cubic(0, 0.5)),
     "catmull_rom": (2, _cubic(0, 0.5)),
@@ -125,4 +126,5 @@ DIFFUSIONS = {
     "sierra3": (32, ((1, 0, 5), (2, 0, 3), (-2, 1, 2), (-1, 1, 4), (0, 1, 5), (1, 1, 4), (2, 1, 2), (-1, 2, 2), (0, 2, 3), (1, 2, 2))),
     "sierra_lite": (4, ((1, 0, 2), (-1, 1, 1), (0, 1, 1))),
     "stucki": (42, ((1, 0, 8), (2, 0, 4), (-2, 1, 2), (-1, 1, 4), (0, 1, 8), (1, 1, 4), (2, 1, 2), (-2, 2, 1), (-1, 2, 2), (0, 2, 4), (1, 2, 2), (2, 2, 1))),
+    "stevenson_arce": (200, ((2, 0, 32), (-3, 1, 12), (-1, 1, 26), (1, 1, 30), (3, 1, 16), (-2, 2, 12), (0, 2, 26), (2, 2, 12), (-3, 3, 5), (-1, 3, 12), (1, 3, 12), (3, 3, 5))),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +20,28 @@ def percentiles(px: DataFrame, points: tuple[int, ...], level: str = "l") -> Dat
     return h.groupBy("image_id").agg(*(F.min(F.when(F.col("upto") * 100 >= F.col("w") * p, F.col("level"))).alias(f"p{p}") for p in points))
 
 
+def value_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], cells: int = 4096) -> DataFrame:
+    """For each key the smallest value that so large a share of its rows doesn't exceed, whatever number of values it has.
+
+    Values are cut into cells between the least and the largest of their key; counts of cells find
+    the cell of each share, and only values of such cells are counted one by one.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    bounds = rows.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    placed = rows.join(bounds, key)
+    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.lit(cells - 1), F.floor((F.col("_v") - F.col("_low")) * cells / (F.col("_high") - F.col("_low"))))).otherwise(0).cast("int")
+    placed = placed.select(key, "_v", "_n", cell.alias("_cell"))
+    upto = W.partitionBy(key).orderBy("_cell")
+    counts = placed.groupBy(key, "_cell", "_n").agg(F.count("*").alias("_m")).withColumn("_upto", F.sum("_m").over(upto))
+    wanted = [F.greatest(F.lit(1), F.ceil(F.col("_n") * p)) for p in shares.values()]
+    hit = [(w <= F.col("_upto")) & (w > F.col("_upto") - F.col("_m")) for w in wanted]
+    some = counts.where(reduce(or_, hit)).select(key, "_cell", (F.col("_upto") - F.col("_m")).alias("_before"))
+    values = placed.join(some, [key, "_cell"]).groupBy(key, "_cell", "_before", "_n", "_v").agg(F.count("*").alias("_m"))
+    within = W.partitionBy(key, "_cell").orderBy("_v")
+    values = values.withColumn("_upto", F.col("_before") + F.sum("_m").over(within))
+    return values.groupBy(key).agg(*(F.min(F.when(F.col("_upto") >= w, F.col("_v"))).alias(name) for name, w in zip(shares, wanted, strict=True)))
+
+
 def joined_to_own(px: DataFrame, aggregates: str) -> DataFrame:
     """px with figures of its image; only one row an image is shuffled besides px."""
     own = px.groupBy("image_id").agg(*(F.expr(a) for a in aggregates.split(", ")))
@@ -35,11 +60,11 @@ def equalize(px: DataFrame, tile: str = "0") -> DataFrame:
 
 
 def difference_hash(px: DataFrame, height: int = 16, width: int = 64) -> DataFrame:
-    """Bits of a 9 x 8 grid of means, set where a cell is brighter than the next; the sign bit is counted only."""
+    """64 bits of a 9 x 8 grid of means, set where a cell is brighter than the next (the last is the sign bit), and how many are set."""
     cells = px.groupBy("image_id", F.expr(f"y * 8 div {height}").alias("v"), F.expr(f"x * 9 div {width}").alias("u")).agg(F.avg("l").alias("m"))
     bits = cells.withColumn("bit", F.col("m") > F.lead("m").over(W.partitionBy("image_id", "v").orderBy("u")))
-    value = F.expr("CASE WHEN bit AND u < 8 AND v * 8 + u < 63 THEN shiftleft(1L, CAST(v * 8 + u AS INT)) ELSE 0L END")
-    return bits.groupBy("image_id").agg(F.sum(value).alias("low_bits"), F.count_if(F.col("bit") & (F.col("u") < 8)).alias("ones"))
+    value = F.expr("CASE WHEN bit AND u < 8 THEN shiftleft(1L, CAST(v * 8 + u AS INT)) ELSE 0L END")
+    return bits.groupBy("image_id").agg(F.bit_or(value).alias("hash"), F.count_if(F.col("bit") & (F.col("u") < 8)).alias("ones"))
 
 
 def runs(px: DataFrame) -> DataFrame:
@@ -125,22 +150,83 @@ def label_components(px: DataFrame, connectivity: int = 8) -> DataFrame:
     return out.select("image_id", "y", F.explode(F.expr("sequence(x, CAST(x + length - 1 AS INT))")).alias("x"), "label")
 
 
+def diffused(levels: np.ndarray, divisor: int, weights: tuple, threshold: int = 128) -> np.ndarray:
+    """Black and white (0, 255) by error diffusion; weights are (dx, dy, share).
+
+    Pixels of one slanted diagonal depend on none of each other, so each is handled as a whole. The
+    slant is so flat that every pixel gets its errors in the order of a scan line by line.
+    """
+    h, w = levels.shape
+    reach = max(abs(dx) for dx, _, _ in weights)
+    deepest, slant = max(dy for _, dy, _ in weights), 2 * reach + 1
+    v = np.zeros((h + deepest, w + 2 * reach))
+    v[:h, reach : reach + w] = levels
+    order = sorted(weights, key=lambda t: (-t[1], t[0]))
+    for t in range(w + slant * (h - 1)):
+        y = np.arange(max(0, -((w - 1 - t) // slant)), min(h - 1, t // slant) + 1)
+        x = t - slant * y + reach
+        new = np.where(v[y, x] >= threshold, 255.0, 0.0)
+        error = (v[y, x] - new) / divisor
+        v[y, x] = new
+        for dx, dy, share in order:
+            v[y + dy, x + dx] += error * share
+    return v[:h, reach : reach + w].astype(np.int32)
+
+
 def diffuse(px: DataFrame, divisor: int, weights: tuple, threshold: int = 128) -> DataFrame:
-    """Error diffusion to black and white, pixel after pixel; one image is one task's work."""
+    """Error diffusion to black and white; every pixel depends on those before it, so one image is one task's work."""
 
     def dithered(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"], ignore_index=True)
-        h, w = int(rows["y"].max()) + 1, int(rows["x"].max()) + 1
-        v = np.zeros((h + 3, w + 8))
-        v[rows["y"], rows["x"] + 4] = rows["l"]
-        for y in range(h):
-            for x in range(4, w + 4):
-                new = 255.0 if v[y, x] >= threshold else 0.0
-                error = (v[y, x] - new) / divisor
-                v[y, x] = new
-                for dx, dy, share in weights:
-                    v[y + dy, x + dx] += error * share
-        return rows.assign(l=v[rows["y"], rows["x"] + 4].astype(np.int32))
+        levels = np.zeros((int(rows["y"].max()) + 1, int(rows["x"].max()) + 1))
+        levels[rows["y"], rows["x"]] = rows["l"]
+        return rows.assign(l=diffused(levels, divisor, weights, threshold)[rows["y"], rows["x"]])
 
     return px.groupBy("image_id").applyInPandas(dithered, px.schema)
 
+
+def word_errors(pairs: DataFrame) -> DataFrame:
+    """category, words, word_errors, wer of pairs (category, ref, hyp): edits of words, as edits of characters that stand for them."""
+    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
+    split = pairs.select("category", words("ref").alias("r"), words("hyp").alias("h")).withColumn("known", F.array_union("r", "h"))
+    coded = lambda c: F.array_join(F.transform(c, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position("known", x) + 0x10000), 8, "0")), "UTF-32")), "")
+    sums = split.select("category", F.size("r").alias("n"), F.levenshtein(coded("r"), coded("h")).alias("e")).groupBy("category").agg(F.sum("n").cast("long").alias("words"), F.sum("e").cast("long").alias("word_errors"))
+    return sums.withColumn("wer", F.when(F.col("words") > 0, F.round(F.col("word_errors") / F.col("words"), 9)))
+
+
+def match_boxes(expected: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """img, true_positives, false_positives, false_negatives: the most pairs of boxes (img, box, x, y, w, h) that overlap enough, each box in one.
+
+    Only pairs of overlapping boxes are gathered, by image, for the matching along augmenting paths.
+    """
+    a, b = expected.alias("a"), found.alias("b")
+    meet = "a.img = b.img AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"
+    inter = F.expr("(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))")
+    pairs = a.join(b, F.expr(meet)).where(inter >= F.lit(threshold) * (F.expr("a.w * a.h + b.w * b.h") - inter)).select("a.img", F.col("a.box").alias("target"), F.col("b.box").alias("source"))
+
+    def matched(rows: pd.DataFrame) -> pd.DataFrame:
+        partner: dict = {}
+        targets = rows.groupby("source")["target"].apply(sorted).to_dict()
+
+        def free(source, tried: set) -> bool:
+            for target in targets[source]:
+                if target not in tried:
+                    tried.add(target)
+                    if target not in partner or free(partner[target], tried):
+                        partner[target] = source
+                        return True
+            return False
+
+        return pd.DataFrame({"img": [rows["img"].iloc[0]], "n": [sum(free(s, set()) for s in sorted(targets))]})
+
+    hits = pairs.groupBy("img").applyInPandas(matched, "img long, n long")
+    sizes = expected.groupBy("img").agg(F.count("*").alias("e")).join(found.groupBy("img").agg(F.count("*").alias("f")), "img", "full").join(hits, "img", "left")
+    e, f, n = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("e", "f", "n"))
+    return sizes.select("img", n.alias("true_positives"), (f - n).alias("false_positives"), (e - n).alias("false_negatives"))
+
+
+def detection_scores(counts: DataFrame) -> DataFrame:
+    """Precision, recall and F1 over all images; null where nothing is to be divided by."""
+    total = counts.agg(*(F.sum(c).alias(c) for c in ("true_positives", "false_positives", "false_negatives")))
+    tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 9))
+    return total.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterfold.functions.color import inverted
 from rasterfold.functions.numbers import byte, num
 
 
@@ -29,15 +30,9 @@ def bilateral_taps(radius: int, spatial: float) -> list[tuple[int, int, float]]:
     return [(dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * spatial * spatial))) for dy, dx in disk(radius)]
 
 
-def inverse(matrix: tuple) -> tuple:
-    (a, b, c), (d, e, f), (g, h, i) = matrix
-    det = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
-    return tuple(tuple(v / det for v in row) for row in ((e * i - f * h, c * h - b * i, b * f - c * e), (f * g - d * i, a * i - c * g, c * d - a * f), (d * h - e * g, b * g - a * h, a * e - b * d)))
-
-
 def source_place(matrix: tuple) -> tuple[str, str]:
     """Expressions for where a pixel (x, y) comes from under a projective map."""
-    m = inverse(matrix)
+    m = inverted(matrix)
     line = lambda r: f"({num(m[r][0])} * x + {num(m[r][1])} * y + {num(m[r][2])})"
     return f"round({line(0)} / {line(2)}, 9)", f"round({line(1)} / {line(2)}, 9)"
 

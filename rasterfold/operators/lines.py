@@ -57,14 +57,15 @@ def convolve(px: DataFrame, column: str, kernels: dict[str, list[tuple[int, int,
     return to_pixels(lines.select("image_id", "y", *sums), *kernels)
 
 
-def separable(px: DataFrame, column: str, weights: tuple, name: str = "blur") -> DataFrame:
-    """The same weights down and then across, edges repeated."""
+def separable(px: DataFrame, column: str, weights: tuple, name: str = "blur", keep: bool = False) -> DataFrame:
+    """The same weights down and then across, edges repeated; keep leaves the column itself beside the result."""
     radius = len(weights) // 2
     lines = with_neighbours(to_lines(px, column), column, list(range(-radius, radius + 1)))
     down = " + ".join(f"{w!r}D * element_at(_{column}_{k - radius + 100}, i + 1)" for k, w in enumerate(weights))
     lines = lines.withColumn("_down", F.expr(f"transform({column}, (v, i) -> {down})"))
     across = " + ".join(f"{w!r}D * element_at(_down, greatest(1, least(size(_down), i + 1 + ({k - radius}))))" for k, w in enumerate(weights))
-    return to_pixels(lines.select("image_id", "y", F.expr(f"transform(_down, (v, i) -> {across})").alias(name)), name)
+    kept = [column] if keep else []
+    return to_pixels(lines.select("image_id", "y", *kept, F.expr(f"transform(_down, (v, i) -> {across})").alias(name)), *kept, name)
 
 
 def rank_filter(px: DataFrame, column: str, radius: int, rank: str, name: str = "v") -> DataFrame:

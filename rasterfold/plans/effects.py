@@ -141,25 +141,12 @@ def _simple(name: str, channels: dict[str, str]) -> None:
 
 
 _simple("quantize_websafe", {c: f"CAST(floor(({c} + 25) / 51e0) AS INT) * 51" for c in "rgb"})
-_simple("lut_1d", {c: byte(f"255e0 * power({unit(c)}, 1.5e0) * 0.9e0 + 12") for c in "rgb"})
-
-
-def _lattice(c: str, n: int = 3) -> str:
-    """Trilinear interpolation in a cube of n values a side, where entry (i, j, k) of channel c follows a rule."""
-    value = lambda i, j, k: {"r": i * 0.4 + k * 0.1, "g": j * 0.45 + i * 0.05, "b": 1 - k * 0.5}[c]
-    place = {v: f"({v} * {n - 1} / 255e0)" for v in "rgb"}
-    weight = lambda v, i: f"greatest(0e0, 1 - abs({place[v]} - {i}))"
-    return " + ".join(f"{num(value(i, j, k))} * {weight('r', i)} * {weight('g', j)} * {weight('b', k)}" for i in range(n) for j in range(n) for k in range(n))
-
-
-_simple("lut_3d", {c: from_unit(_lattice(c)) for c in "rgb"})
 _simple("convert_to_srgb", {c: from_unit(color.linear_to_srgb(clamp(" + ".join(f"{num(w)} * power({unit(k)}, 1.8e0)" for w, k in zip(row, "rgb", strict=True)), "0e0", "1e0"))) for c, row in zip("rgb", ((0.9, 0.08, 0.02), (0.05, 0.9, 0.05), (0.01, 0.09, 0.9)), strict=True)})
 _simple("fill_rectangle", {c: f"CASE WHEN x BETWEEN 10 AND 29 AND y BETWEEN 3 AND 9 THEN {v} ELSE {c} END" for c, v in zip("rgb", (200, 30, 60), strict=True)})
 _simple("gradient_linear", {c: byte(f"{a} + ({b} - {a}) * x / {num(WIDTH - 1)}") for c, a, b in (("r", 0, 255), ("g", 255, 64), ("b", 32, 32))})
 _simple("gradient_radial", {c: byte(f"{a} + ({b} - {a}) * least(1e0, sqrt(power(x - 31.5e0, 2) + power(y - 7.5e0, 2)) / 32)") for c, a, b in (("r", 255, 0), ("g", 10, 250), ("b", 128, 64))})
 _simple("draw_frame", {c: f"CASE WHEN (x IN (5, 40) AND y BETWEEN 2 AND 12) OR (y IN (2, 12) AND x BETWEEN 5 AND 40) THEN 255 ELSE {c} END" for c in "rgb"})
 _simple("watermark_tiled", {c: byte(f"CASE WHEN (x % 16) < 4 AND (y % 8) < 2 THEN {c} * 0.6e0 + 255 * 0.4e0 ELSE {c} * 1e0 END") for c in "rgb"})
-_simple("from_tensor", {c: byte(f"(({c} / 127.5e0 - 1) + 1) * 127.5e0") for c in "rgb"})
 _simple("redact_region", {c: f"CASE WHEN x BETWEEN 20 AND 35 AND y BETWEEN 4 AND 11 THEN 0 ELSE {c} END" for c in "rgb"})
 _simple("color_hex", {"hex": "CONCAT('#', lower(concat({})))".format(", ".join(f"substr('0123456789abcdef', CAST({c} // 16 + 1 AS INT), 1), substr('0123456789abcdef', CAST({c} % 16 + 1 AS INT), 1)" for c in "rgb"))})
 _hex = SQL["color_hex"]
@@ -227,8 +214,8 @@ add(
 # Rating distributions and cosine components.
 add(
     "rating_moments",
-    lambda s, d: tables.table(s, d, "embeddings").selectExpr("vec_id", "transform(slice(embedding, 1, 10), v -> abs(CAST(v AS DOUBLE))) AS p").selectExpr("vec_id", "p", "aggregate(p, 0D, (t, v) -> t + v) AS total", "aggregate(transform(p, (v, i) -> v * (i + 1)), 0D, (t, v) -> t + v) AS m1", "aggregate(transform(p, (v, i) -> v * (i + 1) * (i + 1)), 0D, (t, v) -> t + v) AS m2").selectExpr("vec_id", "round(m1 / total, 6) AS mean", "round(sqrt(greatest(0e0, m2 / total - (m1 / total) * (m1 / total))), 6) AS std"),
-    "WITH e AS (SELECT vec_id, abs(unnest(embedding[1:10])::DOUBLE) AS p, unnest(generate_series(1, 10)) AS i FROM embeddings) SELECT vec_id, round(sum(p * i) / sum(p), 6) AS mean, round(sqrt(greatest(0e0, sum(p * i * i) / sum(p) - power(sum(p * i) / sum(p), 2))), 6) AS std FROM e GROUP BY 1",
+    lambda s, d: tables.table(s, d, "embeddings").selectExpr("vec_id", "transform(embedding, v -> abs(CAST(v AS DOUBLE))) AS p").selectExpr("vec_id", "p", "aggregate(p, 0D, (t, v) -> t + v) AS total", "aggregate(transform(p, (v, i) -> v * (i + 1)), 0D, (t, v) -> t + v) AS m1", "aggregate(transform(p, (v, i) -> v * (i + 1) * (i + 1)), 0D, (t, v) -> t + v) AS m2").selectExpr("vec_id", "round(m1 / total, 6) AS mean", "round(sqrt(greatest(0e0, m2 / total - (m1 / total) * (m1 / total))), 6) AS std"),
+    "WITH e AS (SELECT vec_id, abs(unnest(embedding)::DOUBLE) AS p, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT vec_id, round(sum(p * i) / sum(p), 6) AS mean, round(sqrt(greatest(0e0, sum(p * i * i) / sum(p) - power(sum(p * i) / sum(p), 2))), 6) AS std FROM e GROUP BY 1",
 )
 _BASIS = ", ".join(f"round(sum({color.linear('r')} * cos({num(math.pi * i)} * x / {WIDTH}) * cos({num(math.pi * j)} * y / {HEIGHT})) * {1 if i == j == 0 else 2} / count(*), 6) AS c{i}{j}" for i in range(4) for j in range(3))
 _BASES = [f"round(sum({color.linear('r')} * cos({num(math.pi * i)} * x / {WIDTH}) * cos({num(math.pi * j)} * y / {HEIGHT})) * {1 if i == j == 0 else 2} / count(*), 6)" for i in range(4) for j in range(3)]

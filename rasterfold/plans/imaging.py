@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterfold.functions import color, kernels
 from rasterfold.functions.numbers import byte, luma, num
-from rasterfold.operators import lines, pixels, thresholds
+from rasterfold.operators import compose, geometry, lines, pixels, thresholds
 from rasterfold.sources import tables
 from rasterfold.sources.tables import GRAY_SQL, HEIGHT, INK_SQL, PAIR_SQL, RGBA_SQL, WIDTH
 
@@ -46,7 +46,7 @@ for _curve in ("clip", "reinhard", "reinhard_extended", "aces", "hable"):
     _projection(f"tone_map_{_curve}", color.tone_map(_curve, 0.5))
 _projection("vignette", color.vignette((0, 10, 0), str(WIDTH), str(HEIGHT)))
 _projection("glow", color.glow((255, 153, 102), str(WIDTH), str(HEIGHT)))
-for _name, _space in {"xyz": color.xyz(), "lab": color.lab(), "lch": color.lch(), "oklab": color.oklab(), "hsv": color.hsv(), "hsl": color.hsl(), "linear": {f"lin_{c}": color.linear(c) for c in "rgb"}}.items():
+for _name, _space in {"xyz": color.xyz(), "lab": color.lab(), "lch": {k: e for k, e in color.lch().items() if k != "lch_h"}, "oklab": color.oklab(), "hsv": color.hsv(), "hsl": color.hsl(), "linear": {f"lin_{c}": color.linear(c) for c in "rgb"}}.items():
     _projection(f"color_{_name}", {f"out_{c}": e for c, e in _space.items()}, 6)
 _projection("pixel_l8", {"l8": luma()})
 _projection("pixel_l16", {"l16": f"{luma()} * 257"})
@@ -67,25 +67,22 @@ _inside = "x BETWEEN 8 AND 27 AND y BETWEEN 4 AND 9"
 add("region_invert", _region, f"WITH {RGBA_SQL} SELECT {AT}, " + ", ".join(f"CASE WHEN {_inside} THEN 255 - {c} ELSE {c} END AS {c}" for c in "rgb") + ", a FROM px")
 
 # Geometry: coordinates only.
-for _name, _y, _x, _where in (
-    ("crop", "y - 2", "x - 10", "y BETWEEN 2 AND 11 AND x BETWEEN 10 AND 49"),
-    ("flip_horizontal", "y", f"{WIDTH - 1} - x", "true"),
-    ("flip_vertical", f"{HEIGHT - 1} - y", "x", "true"),
-    ("rotate_90", "x", f"{HEIGHT - 1} - y", "true"),
-    ("rotate_180", f"{HEIGHT - 1} - y", f"{WIDTH - 1} - x", "true"),
-    ("rotate_270", f"{WIDTH - 1} - x", "y", "true"),
-    ("transpose", "x", "y", "true"),
+_SIZE = (WIDTH, HEIGHT)
+for _name, _y, _x, _where, _move in (
+    ("crop", "y - 2", "x - 10", "y BETWEEN 2 AND 11 AND x BETWEEN 10 AND 49", lambda px: geometry.crop(px, (10, 2, 40, 10))),
+    ("flip_horizontal", "y", f"{WIDTH - 1} - x", "true", lambda px: geometry.flip(px, "horizontal", _SIZE)),
+    ("flip_vertical", f"{HEIGHT - 1} - y", "x", "true", lambda px: geometry.flip(px, "vertical", _SIZE)),
+    ("rotate_90", "x", f"{HEIGHT - 1} - y", "true", lambda px: geometry.turn(px, 90, _SIZE)),
+    ("rotate_180", f"{HEIGHT - 1} - y", f"{WIDTH - 1} - x", "true", lambda px: geometry.turn(px, 180, _SIZE)),
+    ("rotate_270", f"{WIDTH - 1} - x", "y", "true", lambda px: geometry.turn(px, 270, _SIZE)),
+    ("transpose", "x", "y", "true", geometry.transpose),
 ):
-    _cols = f"image_id, {_y} AS y, {_x} AS x, r, g, b, a"
+    add(_name, lambda s, d, m=_move: m(tables.rgba(s, d)), f"WITH {RGBA_SQL} SELECT image_id, {_y} AS y, {_x} AS x, r, g, b, a FROM px WHERE {_where}")
 
-    def _move(s: SparkSession, d: str, y: str = _y, x: str = _x, where: str = _where) -> DataFrame:
-        return tables.rgba(s, d).where(where).selectExpr("image_id", f"{y} AS y", f"{x} AS x", "r", "g", "b", "a")
-
-    add(_name, _move, f"WITH {RGBA_SQL} SELECT {_cols} FROM px WHERE {_where}")
-
-_ORIENT = "CASE image_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
-_oy, _ox = _ORIENT.format("y", f"{HEIGHT - 1} - y", f"{HEIGHT - 1} - y", "x"), _ORIENT.format("x", "x", f"{WIDTH - 1} - x", f"{HEIGHT - 1} - y")
-add("auto_orient", lambda s, d: tables.rgba(s, d).selectExpr("image_id", f"{_oy} AS y", f"{_ox} AS x", "r", "g", "b", "a"), f"WITH {RGBA_SQL} SELECT image_id, {_oy} AS y, {_ox} AS x, r, g, b, a FROM px")
+_TAG = "image_id % 8 + 1"
+_oy = f"CASE WHEN {_TAG} IN (3, 4) THEN {HEIGHT - 1} - y WHEN {_TAG} IN (5, 6) THEN x WHEN {_TAG} IN (7, 8) THEN {WIDTH - 1} - x ELSE y END"
+_ox = f"CASE WHEN {_TAG} IN (2, 3) THEN {WIDTH - 1} - x WHEN {_TAG} IN (5, 8) THEN y WHEN {_TAG} IN (6, 7) THEN {HEIGHT - 1} - y ELSE x END"
+add("auto_orient", lambda s, d: geometry.orient(tables.rgba(s, d), F.expr(_TAG), _SIZE), f"WITH {RGBA_SQL} SELECT image_id, {_oy} AS y, {_ox} AS x, r, g, b, a FROM px")
 
 
 def _canvas(s: SparkSession, d: str, width: int, height: int) -> DataFrame:
@@ -99,8 +96,7 @@ def _canvas_sql(width: int, height: int) -> str:
 
 
 def _pad(s: SparkSession, d: str) -> DataFrame:
-    moved = tables.rgba(s, d).selectExpr("image_id", "y + 4 AS y", "x + 8 AS x", "r", "g", "b", "a")
-    return _canvas(s, d, WIDTH + 16, HEIGHT + 8).join(moved, ["image_id", "y", "x"], "left").fillna({"r": 10, "g": 20, "b": 30, "a": 255})
+    return geometry.place(tables.rgba(s, d), WIDTH + 16, HEIGHT + 8, (8, 4), {"r": 10, "g": 20, "b": 30, "a": 255})
 
 
 add("pad", _pad, f"WITH {RGBA_SQL}, {_canvas_sql(WIDTH + 16, HEIGHT + 8)} SELECT c.image_id, c.y, c.x, coalesce(r, 10) AS r, coalesce(g, 20) AS g, coalesce(b, 30) AS b, coalesce(a, 255) AS a FROM canvas c LEFT JOIN px p ON p.image_id = c.image_id AND p.y + 4 = c.y AND p.x + 8 = c.x")
@@ -116,29 +112,44 @@ def _nearest(s: SparkSession, d: str) -> DataFrame:
 add("resize_nearest", _nearest, f"WITH {RGBA_SQL}, {_canvas_sql(40, 10)} SELECT c.image_id, c.y, c.x, r, g, b, a FROM canvas c JOIN px p ON p.image_id = c.image_id AND p.y = {_NEAR_Y.replace('div', '//').replace('y *', 'c.y *')} AND p.x = {_NEAR_X.replace('div', '//').replace('x *', 'c.x *')}")
 
 
-def _taps_sql(name: str, rows: list[tuple]) -> str:
-    return f"{name} AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(num(v) if isinstance(v, float) else str(v) for v in r) + ')' for r in rows)}) v({', '.join('abcd'[: len(rows[0])])}))"
+_SINC = "(CASE WHEN abs({0}) < 1e-6 THEN 1e0 ELSE sin(pi() * ({0})) / (pi() * ({0})) END)"
 
 
-def _resize(sampler: str, width: int, height: int) -> None:
-    """Down and across by tap tables; they hold a few rows for each target place, so they are broadcast."""
-    down, across = kernels.axis_taps(HEIGHT, height, sampler), kernels.axis_taps(WIDTH, width, sampler)
+def _cubic_sql(b: float, c: float) -> str:
+    near = f"(({num(12 - 9 * b - 6 * c)}) * power(abs(v), 3) + ({num(-18 + 12 * b + 6 * c)}) * power(v, 2) + {num(6 - 2 * b)}) / 6"
+    far = f"(({num(-b - 6 * c)}) * power(abs(v), 3) + ({num(6 * b + 30 * c)}) * power(v, 2) + ({num(-12 * b - 48 * c)}) * abs(v) + {num(8 * b + 24 * c)}) / 6"
+    return f"CASE WHEN abs(v) < 1 THEN {near} WHEN abs(v) < 2 THEN {far} ELSE 0e0 END"
 
-    def query(s: SparkSession, d: str) -> DataFrame:
-        full = tables.gray(s, d)
-        heights = full.groupBy("image_id").agg(F.max("y").alias("last"))
-        vertical = F.broadcast(s.createDataFrame(down, "ty int, y int, w double"))
-        horizontal = F.broadcast(s.createDataFrame(across, "tx int, x int, w double"))
-        whole = full.join(heights.where(f"last = {HEIGHT - 1}"), "image_id")
-        first = whole.join(vertical, "y").groupBy("image_id", "ty", "x").agg(F.sum(F.col("l") * F.col("w")).alias("v"))
-        out = first.join(horizontal, "x").groupBy("image_id", "ty", "tx").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-        return out.selectExpr("image_id", "ty AS y", "tx AS x", f"{byte('round(v, 6)')} AS l")
-
-    sql = f"""WITH {GRAY_SQL}, {_taps_sql('dn', down)}, {_taps_sql('ac', across)},
-whole AS (SELECT * FROM gray WHERE image_id IN (SELECT image_id FROM gray GROUP BY 1 HAVING max(y) = {HEIGHT - 1}))
-SELECT image_id, dn.a AS y, ac.a AS x, {byte('round(sum(l * dn.c * ac.c), 6)')} AS l
-FROM whole JOIN dn ON dn.b = y JOIN ac ON ac.b = x GROUP BY 1, 2, 3"""
-    add(f"resize_{sampler}", query, sql)
+
+def _lanczos_sql(n: int) -> str:
+    return f"CASE WHEN abs(v) < {n} THEN {_SINC.format('v')} * {_SINC.format(f'v / {n}')} ELSE 0e0 END"
+
+
+#: The filters again, as SQL over the distance v.
+_FILTERS = {
+    "box": "CASE WHEN v > -0.5e0 AND v <= 0.5e0 THEN 1e0 ELSE 0e0 END", "triangle": "greatest(0e0, 1 - abs(v))", "bilinear": "greatest(0e0, 1 - abs(v))", "hermite": "CASE WHEN abs(v) < 1 THEN (2 * abs(v) - 3) * v * v + 1 ELSE 0e0 END",
+    "bicubic": _cubic_sql(0, 0.5), "catmull_rom": _cubic_sql(0, 0.5), "mitchell_netravali": _cubic_sql(1 / 3, 1 / 3), "robidoux": _cubic_sql(0.37821575509399867, 0.31089212245300067), "robidoux_sharp": _cubic_sql(0.2620145123990142, 0.3689927438004929), "spline": _cubic_sql(1, 0),
+    "lanczos2": _lanczos_sql(2), "lanczos3": _lanczos_sql(3), "lanczos5": _lanczos_sql(5), "lanczos8": _lanczos_sql(8), "welch": f"CASE WHEN abs(v) < 3 THEN {_SINC.format('v')} * (1 - v * v / 9) ELSE 0e0 END",
+}
+
+
+def _taps_sql(name: str, sizes: str, target: int, sampler: str) -> str:
+    """n (source size), t, s, w: weights of each target place, made in SQL for every size that occurs."""
+    radius = kernels.SAMPLERS[sampler][0]
+    return f"""{name} AS (
+  SELECT n, t, s, w / sum(w) OVER (PARTITION BY n, t) AS w
+  FROM (SELECT n, t, least(n - 1, greatest(0, o)) AS s, sum({_FILTERS[sampler]}) AS w
+        FROM (SELECT *, (o - middle) / scale AS v
+              FROM (SELECT *, unnest(generate_series(CAST(ceil(middle - {num(radius)} * scale) AS BIGINT), CAST(floor(middle + {num(radius)} * scale) AS BIGINT))) AS o
+                    FROM (SELECT n, t, (t + 0.5e0) * n / {target} - 0.5e0 AS middle, greatest(1e0, n / {num(target)}) AS scale FROM ({sizes}), generate_series(0, {target - 1}) u(t))))
+        GROUP BY 1, 2, 3))"""
+
+
+def _resize(sampler: str, width: int, height: int) -> None:
+    sql = f"""WITH {GRAY_SQL}, hs AS (SELECT image_id, max(y) + 1 AS n FROM gray GROUP BY 1), {_taps_sql('dn', 'SELECT DISTINCT n FROM hs', height, sampler)}, {_taps_sql('ac', f'SELECT {WIDTH} AS n', width, sampler)}
+SELECT image_id, CAST(dn.t AS INT) AS y, CAST(ac.t AS INT) AS x, {byte('round(sum(l * dn.w * ac.w), 6)')} AS l
+FROM gray JOIN hs USING (image_id) JOIN dn ON dn.n = hs.n AND dn.s = y JOIN ac ON ac.s = x GROUP BY 1, 2, 3"""
+    add(f"resize_{sampler}", lambda s, d: geometry.resize(tables.gray(s, d), width, height, sampler), sql)
 
 
 for _sampler in kernels.SAMPLERS:
@@ -156,25 +167,23 @@ add(
 )
 
 
-# Compositing: an equi-join on shifted coordinates, then one projection.
-def _compose(name: str, channels: dict[str, str]) -> None:
+# Compositing: an image over another, at a place and with a share.
+def _compose(name: str, blend: str, composition: str) -> None:
     def query(s: SparkSession, d: str) -> DataFrame:
         px = tables.rgba(s, d)
-        over = px.selectExpr("image_id AS i", "y + 2 AS oy", "x + 5 AS ox", "g / 255D AS sr", "b / 255D AS sg", "r / 255D AS sb", "a / 510D AS sa")
-        both = px.join(over, F.expr("image_id = i AND y = oy AND x = ox"), "left").selectExpr("image_id", "y", "x", "r / 255D AS br", "g / 255D AS bg", "b / 255D AS bb", "a / 255D AS ba", "coalesce(sr, 0D) AS sr", "coalesce(sg, 0D) AS sg", "coalesce(sb, 0D) AS sb", "coalesce(sa, 0D) AS sa")
-        return both.selectExpr("image_id", "y", "x", *(f"{e} AS {c}" for c, e in channels.items()))
+        return compose.draw(px, px.selectExpr("image_id", "y", "x", "g AS r", "b AS g", "r AS b", "a"), (5, 2), 0.5, blend, composition)
 
     add(name, query, f"""WITH {RGBA_SQL}, both_px AS (
   SELECT p.image_id, p.y, p.x, p.r / 255e0 AS br, p.g / 255e0 AS bg, p.b / 255e0 AS bb, p.a / 255e0 AS ba,
-         coalesce(o.g / 255e0, 0e0) AS sr, coalesce(o.b / 255e0, 0e0) AS sg, coalesce(o.r / 255e0, 0e0) AS sb, coalesce(o.a / 510e0, 0e0) AS sa
+         coalesce(o.g / 255e0, 0e0) AS sr, coalesce(o.b / 255e0, 0e0) AS sg, coalesce(o.r / 255e0, 0e0) AS sb, coalesce(o.a / 255e0 * 0.5e0, 0e0) AS sa
   FROM px p LEFT JOIN px o ON o.image_id = p.image_id AND o.y + 2 = p.y AND o.x + 5 = p.x)
-SELECT {AT}, {', '.join(f'{e} AS {c}' for c, e in channels.items())} FROM both_px""")
+SELECT {AT}, {', '.join(f'{e} AS {c}' for c, e in color.composed(blend, composition).items())} FROM both_px""")
 
 
 for _blend in color.BLENDS:
-    _compose(f"blend_{_blend}", color.composed(_blend, "src_over"))
+    _compose(f"blend_{_blend}", _blend, "src_over")
 for _composition in color.COMPOSITIONS:
-    _compose(f"compose_{_composition}", color.composed("multiply", _composition))
+    _compose(f"compose_{_composition}", "multiply", _composition)
 
 
 # Neighbourhoods: the SQL gathers pixel by pixel, Spark line by line.
@@ -211,7 +220,7 @@ def _blur(name: str, weights: tuple, expr: str = "v") -> None:
     shown = byte(f"round({expr}, 5)")
     add(
         name,
-        lambda s, d: (lambda px: lines.separable(px, "l", weights, "v").join(px, ["image_id", "y", "x"]).selectExpr("image_id", "y", "x", f"{shown} AS l"))(tables.gray(s, d)),
+        lambda s, d: lines.separable(tables.gray(s, d), "l", weights, "v", keep=True).selectExpr("image_id", "y", "x", f"{shown} AS l"),
         f"WITH {GRAY_SQL} SELECT b.image_id, b.y, b.x, {shown} AS l FROM ({_gather(square)}) b JOIN gray g USING (image_id, y, x)",
     )
 

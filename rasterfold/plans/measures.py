@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from rasterfold.functions.numbers import byte
 from rasterfold.operators import analytics, thresholds
-from rasterfold.functions import kernels
 from rasterfold.plans.imaging import AT, HEIGHT, WIDTH, Query
 from rasterfold.sources import tables
 from rasterfold.sources.tables import BOXES_SQL, GRAY_SQL, INK_SQL, PAIR_SQL, RGBA_SQL
@@ -92,7 +91,7 @@ add(
     lambda s, d: analytics.difference_hash(tables.gray(s, d)),
     f"""WITH {GRAY_SQL}, c AS (SELECT image_id, y * 8 // {HEIGHT} AS v, x * 9 // {WIDTH} AS u, avg(l) AS m FROM gray GROUP BY 1, 2, 3),
 b AS (SELECT image_id, v, u, m > lead(m) OVER (PARTITION BY image_id, v ORDER BY u) AS bit FROM c)
-SELECT image_id, CAST(sum(CASE WHEN bit AND u < 8 AND v * 8 + u < 63 THEN CAST(1 AS BIGINT) << CAST(v * 8 + u AS INT) ELSE 0 END) AS BIGINT) AS low_bits, CAST(count(*) FILTER (bit AND u < 8) AS BIGINT) AS ones FROM b GROUP BY 1""",
+SELECT image_id, CAST(sum(CASE WHEN NOT bit OR u >= 8 THEN 0 WHEN v * 8 + u = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(v * 8 + u AS INT) END) AS BIGINT) AS hash, CAST(count(*) FILTER (bit AND u < 8) AS BIGINT) AS ones FROM b GROUP BY 1""",
 )
 # Document pages.
 add("row_profile", lambda s, d: tables.ink(s, d).groupBy("image_id", "y").agg(F.sum("ink").alias("ink")), f"WITH {INK_SQL} SELECT image_id, y, CAST(sum(ink) AS BIGINT) AS ink FROM ink GROUP BY 1, 2")
@@ -126,7 +125,7 @@ add("frame_root", lambda s, d: tables.gray(s, d).join(tables.gray(s, d).agg(F.mi
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 _sdot = "aggregate(zip_with({0}, {1}, (p, q) -> CAST(p AS DOUBLE) * CAST(q AS DOUBLE)), 0D, (s, v) -> s + v)"
 add(
-    "cosine_neighbours",
+    "cosine_similarity",
     lambda s, d: (lambda e: e.alias("a").join(e.alias("b"), F.expr("a.vec_id + 1 = b.vec_id")).selectExpr("a.vec_id AS vec_id", f"round({_sdot.format('a.embedding', 'b.embedding')} / sqrt({_sdot.format('a.embedding', 'a.embedding')} * {_sdot.format('b.embedding', 'b.embedding')}), 6) AS cosine"))(tables.table(s, d, "embeddings")),
     f"SELECT a.vec_id, round({_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('a.embedding', 'a.embedding')} * {_DOT.format('b.embedding', 'b.embedding')}), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id",
 )
@@ -145,10 +144,11 @@ add(
     lambda s, d: tables.table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "e")).groupBy("label", "i").agg(F.round(F.avg(F.col("e").cast("double")), 6).alias("mean"), F.round(F.stddev_pop(F.col("e").cast("double")), 6).alias("std")),
     "WITH e AS (SELECT label, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i, unnest(embedding)::DOUBLE AS e FROM embeddings) SELECT label, i, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std FROM e GROUP BY 1, 2",
 )
+# Every four components are the scores of one picture for four directions.
 add(
     "orientation_argmax",
-    lambda s, d: tables.table(s, d, "embeddings").selectExpr("vec_id", "CAST((array_position(slice(embedding, 1, 4), array_max(slice(embedding, 1, 4))) - 1) * 90 AS INT) AS degrees"),
-    "SELECT vec_id, CAST((list_position(embedding[1:4], list_max(embedding[1:4])) - 1) * 90 AS INT) AS degrees FROM embeddings",
+    lambda s, d: tables.table(s, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.expr("CAST(size(embedding) div 4 - 1 AS INT)"))).alias("picture"), "embedding").selectExpr("vec_id", "picture", "slice(embedding, picture * 4 + 1, 4) AS p").selectExpr("vec_id", "picture", "CAST((array_position(p, array_max(p)) - 1) * 90 AS INT) AS degrees"),
+    "WITH e AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT vec_id, CAST(i // 4 AS INT) AS picture, CAST(arg_min(i % 4, (-e, i)) * 90 AS INT) AS degrees FROM e GROUP BY 1, 2",
 )
 
 # Text recognition metrics, over names as references.
@@ -175,7 +175,7 @@ add(
 )
 add(
     "latency_percentiles",
-    lambda s, d: tables.table(s, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95")),
+    lambda s, d: analytics.value_percentiles(tables.table(s, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}),
     "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1",
 )
 
@@ -189,5 +189,3 @@ SELECT page_id, path || '?' || array_to_string(parts, '&') AS canonical, sha256(
 )
 add("connected_components", lambda s, d: analytics.label_components(tables.ink(s, d)))
 add("component_statistics", lambda s, d: analytics.label_components(tables.ink(s, d)).groupBy("image_id", "label").agg(F.count("*").alias("area"), F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom")))
-for _name, (_divisor, _weights) in kernels.DIFFUSIONS.items():
-    add(f"dither_{_name}", lambda s, d, k=_divisor, w=_weights: analytics.diffuse(tables.gray(s, d), k, w))

@@ -55,7 +55,7 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is a page of 64 characters a line; what isn't white space is ink."""
+    """A document is a page of 64 characters a line; what isn't white space is ink. Null and empty texts are pages without pixels."""
     pages = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("i", "c"))
     return pages.select("image_id", F.expr("i div 64").cast("int").alias("y"), F.expr("i % 64").cast("int").alias("x"), F.when(F.col("c").isin(" ", "\t", "\n"), 0).otherwise(1).alias("ink"))
 
