@@ -106,9 +106,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     """doc_id, piece, start, length, ids_crc32 (and ids): the tokens of each document in cuts of capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids_of, texts = [], [], batch["text"].to_pylist()
-            for row, ids in enumerate(x for at in range(0, len(texts), TEXTS) for x in token_ids(texts[at : at + TEXTS], tokenizer)):
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
+            rows, ids_of = [], []
+            for row, ids in enumerate(token_ids(batch["text"].to_pylist(), tokenizer)):
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((row, n, at // 4, len(part) // 4, zlib.crc32(part)))
