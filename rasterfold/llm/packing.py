@@ -62,9 +62,14 @@ class WordIds:
     def _learn(self, words: set[str]) -> None:
         split, letters, others = [], set(), set()
         for word in words:
-            core = word.rstrip(_TAIL)
-            tail, core = word[len(core) :], core.lower()
-            if core.isalpha() and (core.isascii() or max(core) < _BEYOND_LATIN):
+            if word.isalpha():
+                core, tail = word.lower(), ""
+            else:
+                core = word.rstrip(_TAIL)
+                core, tail = core.lower(), word[len(core) :]
+                if core and not core.isalpha():
+                    core = ""
+            if core and (core.isascii() or max(core) < _BEYOND_LATIN):
                 split.append((word, core, tail))
                 if core not in self.parts:
                     letters.add(core)
@@ -77,12 +82,14 @@ class WordIds:
             if found:
                 texts = list(found)
                 self.parts.update(zip(texts, encode(texts), strict=True))
-        self.known.update((word, self.parts[core] + self.parts[tail]) for word, core, tail in split)
+        parts, known = self.parts, self.known
+        for word, core, tail in split:
+            known[word] = parts[core] + parts[tail] if tail else parts[core]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        split = [_lowered(text).replace("\n", " ").split(" ") for text in texts]
         words = set().union(*split)
-        new = {w for w in words if w not in self.known}
+        new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {"": b""}, words
         if len(self.parts) > REMEMBERED_PARTS:
@@ -92,6 +99,15 @@ class WordIds:
         return [self._encode([text])[0] if any(x in text for x in self.special) else b"".join(map(get, parts)) for text, parts in zip(texts, split, strict=True)]
 
 
+def _lowered(text: str) -> str:
+    """In small letters, as the tokenizer has them anyway, where that is sure to be letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _words: dict[str, WordIds] = {}
 
 

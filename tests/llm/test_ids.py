@@ -43,3 +43,17 @@ def test_packer_against_a_plain_one():
         capacity, most_open = draw.randint(4, 60), draw.randint(1, 6)
         lengths = [draw.randint(1, capacity) for _ in range(draw.randint(0, 300))]
         assert packing.fit(lengths, capacity, most_open) == plain_fit(lengths, capacity, most_open)
+
+
+def test_ids_of_odd_texts():
+    """Word by word the ids are those of whole texts, whatever letters and marks these have."""
+    import random
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    draw, whole = random.Random(1), Tokenizer.from_file(TOKENIZER)
+    texts = ["".join(draw.choice("aAbB éÉßÀµÿŸŒœ .,!?'-12\n\t<|>ΣσςİıK漢😀_") for _ in range(200)) for _ in range(200)]
+    texts += ["ÀÉ ÎÖ", "µ Å", "ẞ", "a.B.C", "<|endoftext|> X", "", " ", "\n\n", "ABC!!!", "!!!", "É.", "Hello, WORLD."]
+    for text, ids in zip(texts, packing.token_ids(texts, TOKENIZER), strict=True):
+        assert ids == array("I", [*whole.encode(text, add_special_tokens=False).ids, packing.END_ID]).tobytes(), text
