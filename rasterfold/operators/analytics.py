@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -113,6 +114,29 @@ def requests(pages: DataFrame) -> DataFrame:
     return canonical.withColumn("cache_key", F.sha2("canonical", 256))
 
 
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The hexadecimal HMAC-SHA256 of a text: two nested hashes, with the padded key as literals."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def signed(urls: DataFrame, key: bytes, url: str = "canonical") -> DataFrame:
+    """urls with a column signed: the URL with its signature as a last command, in base 64 that URLs bear."""
+    tag = F.translate(F.base64(F.unhex(hmac_sha256(key, F.col(url)))), "+/=\r\n", "-_")
+    mark = F.when(F.contains(F.col(url), F.lit("?")), "&").otherwise("?")
+    return urls.withColumn("signed", F.concat(F.col(url), mark, F.lit("sig="), tag))
+
+
+def is_signed(urls: DataFrame, key: bytes, url: str = "signed") -> DataFrame:
+    """urls with a column valid: whether the signature at the end is that of the rest."""
+    bare = F.regexp_extract(url, r"^(.*)[?&]sig=[A-Za-z0-9_-]+$", 1)
+    given = urls.withColumns({"_bare": bare, "_given": F.col(url)})
+    valid = (F.col("_bare") != "") & (F.col("signed") == F.col("_given"))
+    again = signed(given, key, "_bare").withColumn("valid", F.coalesce(valid, F.lit(False)))
+    return again.select(*(F.col("_given").alias(c) if c == url else F.col(c) for c in urls.columns), "valid")
+
+
 def label_components(px: DataFrame, connectivity: int = 8) -> DataFrame:
     """image_id, y, x, label of ink: runs of lines are joined where they touch; labels count in raster order.
 

@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PIXELS = "image_id long, y int, x int, r int, g int, b int, a int"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -211,3 +212,45 @@ def decoded(files: DataFrame) -> DataFrame:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Pixel rows of all files under a path, numbered by a hash of their own paths."""
     return decoded(spark.read.format("binaryFile").load(path).selectExpr("xxhash64(path) AS image_id", "content"))
+
+
+#: How files begin (in hexadecimal), and the endings of their names.
+BEGINNINGS = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "474946383", "bmp": "424D", "qoi": "716F6966", "webp": "52494646[0-9A-F]{8}57454250", "tiff": "(49492A00|4D4D002A)", "pnm": "503[1-7](0[9A-D]|20|23)", "ico": "00000[12]00"}
+ENDINGS = {"png": "png apng", "jpeg": "jpg jpeg jpe jfif", "gif": "gif", "bmp": "bmp dib", "qoi": "qoi", "webp": "webp", "tiff": "tif tiff", "pnm": "pbm pgm ppm pnm pam", "ico": "ico cur", "tga": "tga"}
+
+
+def _number(content: Column, at: int, size: int, little: bool) -> Column:
+    """An unsigned number of some bytes from a place (from 0) of a binary column."""
+    byte = lambda k: F.conv(F.hex(F.substring(content, at + k + 1, 1)), 16, 10).cast("long")
+    return sum((byte(k) * 256 ** (k if little else size - 1 - k) for k in range(size)), F.lit(0).cast("long"))
+
+
+def format_for_path(path: str = "path") -> Column:
+    """The format that the ending of a name says, null for others."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(*(F.when(ending.isin(*names.split()), kind) for kind, names in ENDINGS.items()))
+
+
+def identify(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with format, width and height from the first bytes of their content, without decoding: expressions only.
+
+    The size is told for PNG, GIF, BMP, QOI and PNM (null for others), and for TGA by its name's
+    ending, as it has no mark of its own (some of its files begin as cursors do).
+    """
+    c = F.col(content)
+    head = F.hex(F.substring(c, 1, 16))
+    told = F.coalesce(*(F.when(head.rlike(f"^{mark}"), kind) for kind, mark in BEGINNINGS.items()))
+    by_name = F.when((format_for_path() == "tga") & (told.isNull() | (told == "ico")), "tga") if "path" in files.columns else F.lit(None)
+    found = files.withColumn("format", F.coalesce(by_name, told))
+    words = F.filter(F.split(F.regexp_replace(F.substring(c, 1, 512).cast("string"), "#[^\n]*\n", " "), r"\s+"), lambda w: w != "")
+    is_kind = lambda k: F.col("format") == k
+    pnm = lambda k: F.when(is_kind("pnm") & ~head.rlike("^5037"), F.try_element_at(words, F.lit(k)).try_cast("long"))
+    at = {"png": (16, 20, 4, False), "gif": (6, 8, 2, True), "qoi": (4, 8, 4, False), "tga": (12, 14, 2, True)}
+    side = lambda n: F.coalesce(*(F.when(is_kind(k), _number(c, v[n], v[2], v[3])) for k, v in at.items()), F.when(is_kind("bmp"), F.abs(_signed(c, 18 + 4 * n))), pnm(2 + n))
+    return found.withColumns({"width": side(0), "height": side(1)})
+
+
+def _signed(content: Column, at: int) -> Column:
+    """A signed number of four bytes, the lowest first."""
+    value = _number(content, at, 4, True)
+    return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)
