@@ -184,6 +184,6 @@ z AS (
                   + greatest(0, least(size, words_taken % source_size - begin_at)) END)::BIGINT AS taken
   FROM p)
 SELECT doc_id, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN len(list_filter(shard_ends, lambda e: e <= begin_at)) END::INT AS first_shard
+       (CASE WHEN taken > 0 THEN len(list_filter(shard_ends, lambda e: e <= begin_at)) ELSE -1 END)::INT AS first_shard
 FROM z
 """

@@ -51,7 +51,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("parts", F.lit(0))["shard"].alias("first_shard"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.coalesce(F.get("parts", F.lit(0))["shard"], F.lit(-1)).alias("first_shard"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
