@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bits of the filters that are broadcast within plans: 4 MB, whatever they are made of.
@@ -74,3 +75,32 @@ def join_spread(rows: DataFrame, facts: DataFrame, key: str, n_rows: str, spread
     copies = F.when(F.col("_among"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     given = perhaps_among(facts, hot, key).withColumn("_salt", F.explode(copies)).drop("_among")
     return dealt.join(given, [key, "_salt"]).drop("_salt")
+
+
+def running(rows: DataFrame, key: str, order: list[Column], **sums: str) -> DataFrame:
+    """rows with at (place within its key, from 1) and, for each name in sums, that aggregate over the key's rows up to this one.
+
+    sums are SQL aggregates that can be merged by themselves, written with the column: "sum(n)",
+    "bit_xor(h)". Rows are cut into ranges of key and order, so a key with most of the rows is
+    spread; only one row for each key and range meets others of its key. Rows that are equal in
+    key and order are told apart by their place in rows, which should be durable.
+    """
+    order = [*order, F.col("_nth").asc()]
+    cut = durable(rows.withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id()))
+    of_range = cut.groupBy("_range", key).agg(F.count("*").alias("_before"), *(F.expr(of).alias(f"_{name}") for name, of in sums.items()))
+    earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    merged = {name: f"{of.split('(')[0]}(_{name})" for name, of in sums.items()}
+    offsets = of_range.select("_range", key, F.coalesce(F.sum("_before").over(earlier), F.lit(0)).alias("_before"), *(F.coalesce(F.expr(of).over(earlier), F.lit(0)).alias(f"_{name}") for name, of in merged.items()))
+    within = W.partitionBy("_range", key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = cut.join(offsets, ["_range", key])
+    for name, of in sums.items():
+        both = F.col(f"_{name}").bitwiseXOR(F.expr(of).over(within)) if of.startswith("bit_xor") else F.col(f"_{name}") + F.expr(of).over(within)
+        out = out.withColumn(name, both)
+    return out.withColumn("at", F.col("_before") + F.row_number().over(W.partitionBy("_range", key).orderBy(*order))).select(*rows.columns, *sums, "at")
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes: eight steps of the polynomial for each byte."""
+    data = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    step = "list_reduce(range(8), lambda k, i: CASE WHEN k & 1 = 1 THEN xor(3988292384, k >> 1) ELSE k >> 1 END, xor(c, b))"
+    return f"xor(4294967295, list_reduce({data}, lambda c, b: {step}, 4294967295::BIGINT))"

@@ -19,6 +19,7 @@ from rasterfold.llm.quality import classify
 from rasterfold.llm.secrets import scan_secrets, train_forest
 from rasterfold.llm.simhash import near_duplicates
 from rasterfold.llm.substrings import repeated_passages
+from rasterfold.llm.trie import TRIE_SQL, prefix_trie
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,6 +67,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), train_forest(spark, vocabulary=TOKENIZER), vocabulary=TOKENIZER)
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_licenses": op2_licenses,
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
     "op10_secrets": op10_secrets,
+    "op13_trie": op13_trie,
 }
-SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op5_pii": PII_SQL, "op7_mixing": MIX_SQL}
+SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op5_pii": PII_SQL, "op7_mixing": MIX_SQL, "op13_trie": TRIE_SQL}

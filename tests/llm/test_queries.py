@@ -6,7 +6,7 @@ import pytest
 from rasterfold.llm import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "labels")
+TABLES = ("documents", "embeddings", "labels", "benchmark", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -17,7 +17,7 @@ def test_against_sql(spark, name):
     want = con.execute(registry.SQL[name]).df()
     got = registry.QUERIES[name](spark, SF).toPandas()[list(want)]
     key = list(want)
-    want, got = (x.astype(object).where(x.notna(), None).sort_values(key[:1]).reset_index(drop=True) for x in (want, got))
+    want, got = (x.astype(object).where(x.notna(), None).sort_values(key[:2]).reset_index(drop=True) for x in (want, got))
     for c in key:
         for a, b in zip(want[c], got[c], strict=True):
             assert a == b or abs(a - b) < 1e-9
