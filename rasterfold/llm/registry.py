@@ -16,9 +16,11 @@ from rasterfold.llm.mixing import MIX_SQL, mix
 from rasterfold.llm.packing import pack
 from rasterfold.llm.pii import PII_SQL, pii_report
 from rasterfold.llm.quality import classify
+from rasterfold.llm.resampling import RESAMPLE_SQL, resample
 from rasterfold.llm.secrets import scan_secrets, train_forest
 from rasterfold.llm.simhash import near_duplicates
 from rasterfold.llm.substrings import repeated_passages
+from rasterfold.llm.toxicity import toxicity
 from rasterfold.llm.trie import TRIE_SQL, prefix_trie
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +69,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), train_forest(spark, vocabulary=TOKENIZER), vocabulary=TOKENIZER)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("offending", F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -82,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_repeats": op9_repeats,
     "op10_secrets": op10_secrets,
+    "op11_toxicity": op11_toxicity,
+    "op12_resampling": op12_resampling,
     "op13_trie": op13_trie,
 }
-SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op5_pii": PII_SQL, "op7_mixing": MIX_SQL, "op13_trie": TRIE_SQL}
+SQL: dict[str, str] = {"op4_exact_dedup": EXACT_SQL, "op5_pii": PII_SQL, "op7_mixing": MIX_SQL, "op12_resampling": RESAMPLE_SQL, "op13_trie": TRIE_SQL}
