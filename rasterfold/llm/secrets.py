@@ -24,7 +24,7 @@ PATTERNS = (
     ("private_key", r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[\sA-Za-z0-9+/=:,.]|-(?!-))*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?)"),
     ("aws_key", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
     ("github_token", r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,})"),
-    ("web_token", r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*)"),
+    ("web_token", r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+)"),
     ("assignment", r"(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|credential)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,}+)"),
     ("long_string", r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+)"),
 )
@@ -45,29 +45,31 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
 @cache
-def words_of(vocabulary: str | None) -> tuple[frozenset[str], int]:
-    """Words that a value may be made of, and the length of the longest: DICTIONARY, or the whole words of letters in a tokenizers file."""
-    if vocabulary is None:
-        return frozenset(DICTIONARY), max(map(len, DICTIONARY))
-    with open(vocabulary, encoding="utf-8") as f:
-        known = json.load(f)["model"]["vocab"]
-    whole = (x.removesuffix("</w>") for x in known if x.endswith("</w>"))
-    words = frozenset(x for x in whole if len(x) >= SHORTEST and x.isascii() and x.isalpha()) | frozenset(DICTIONARY)
-    return words, max(map(len, words))
+def words_of(vocabulary: str | None) -> tuple[frozenset[str], dict[str, list[int]]]:
+    """Words of SHORTEST letters and more that a value may be made of, and for each beginning of a word its lengths, the longest first.
+
+    They are DICTIONARY, or the whole words of letters in a tokenizers file besides.
+    """
+    words = frozenset(DICTIONARY)
+    if vocabulary is not None:
+        with open(vocabulary, encoding="utf-8") as f:
+            known = json.load(f)["model"]["vocab"]
+        whole = (x.removesuffix("</w>") for x in known if x.endswith("</w>"))
+        words |= frozenset(x for x in whole if len(x) >= SHORTEST and x.isascii() and x.isalpha())
+    sizes: dict[str, set[int]] = {}
+    for word in words:
+        sizes.setdefault(word[:SHORTEST], set()).add(len(word))
+    return words, {begin: sorted(n, reverse=True) for begin, n in sizes.items()}
 
 
 def covered(low: str, vocabulary: str | None) -> int:
     """Characters that the longest words from each place on cover, without overlaps."""
-    words, longest = words_of(vocabulary)
+    words, sizes = words_of(vocabulary)
     at = total = 0
     while at < len(low):
-        for size in range(min(longest, len(low) - at), 1, -1):
-            if low[at : at + size] in words:
-                total += size
-                at += size
-                break
-        else:
-            at += 1
+        found = next((n for n in sizes.get(low[at : at + SHORTEST], ()) if low[at : at + n] in words), 0)
+        total += found
+        at += found or 1
     return total
 
 
