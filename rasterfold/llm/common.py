@@ -45,6 +45,25 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def whole_row(docs: DataFrame, *without: str) -> Column:
+    """All columns of docs (but for some) as one struct, in which no name can clash with another."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in without))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """nth, doc: each row of docs as a struct of all its columns, with a number of its own, also where rows repeat.
+
+    Written to the checkpoint folder, so that a row has the same number whenever it is read; as all
+    columns are inside the struct, none can clash with a name that an operator uses.
+    """
+    return durable(docs.select(F.monotonically_increasing_id().alias("nth"), whole_row(docs).alias("doc")))
+
+
+def kept(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of a numbered table whose nth is in keep, as they were."""
+    return rows.join(keep.select("nth"), "nth", "left_semi").select("doc.*")
+
+
 def perhaps_among(frame: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
     """frame with a column _among: false where column is certainly not among the keys.
 

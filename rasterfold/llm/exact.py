@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import FILTER_BITS, HOT_ROWS, SPACE, durable, join_spread, perhaps_among, text_of
+from rasterfold.llm.common import FILTER_BITS, HOT_ROWS, SPACE, durable, join_spread, kept, numbered, perhaps_among, text_of
 
 
 def normalised(column: str = "text") -> Column:
@@ -23,6 +23,13 @@ def _best() -> Column:
     return F.max(F.struct("n_code", F.negative("doc_id").alias("minus_id"), "copies"))
 
 
+def _collided(hashed: DataFrame, groups: DataFrame, filter_bits: int) -> DataFrame:
+    """h of groups of two and more (column group_size) that stands for different texts: texts are compared by grouping on them."""
+    shared = groups.where("group_size > 1").select("h")
+    texts = perhaps_among(hashed, shared, "h", filter_bits).where("_among").groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n_texts"))
+    return durable(texts.where("n_texts > 1").select("h"))
+
+
 def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = first_half, filter_bits: int = FILTER_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, h, keep_copies.
 
@@ -45,9 +52,7 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = fir
     groups = durable(groups)
     keep = [F.negative("best.minus_id").alias("keep_id"), F.col("best.copies").alias("keep_copies"), "group_size"]
 
-    shared = groups.where("group_size > 1").select("h")
-    texts = perhaps_among(hashed, shared, "h", filter_bits).where("_among").groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n_texts"))
-    collided = durable(texts.where("n_texts > 1").select("h"))
+    collided = _collided(hashed, groups, filter_bits)
     out = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256", "h", "keep_copies"]
     if collided.isEmpty():
         return join_spread(rows, groups.select("h", *keep), "h", "group_size", "doc_id", hot_rows).select(*out)
@@ -57,18 +62,27 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = fir
     return plain.unionByName(apart.join(by_text.select("h", "norm", *keep), ["h", "norm"]).select(*out))
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, content_hash: Callable[[Column], Column] = first_half, filter_bits: int = FILTER_BITS) -> DataFrame:
     """The documents that stay, with the columns of docs: one row of each group of equal texts.
 
-    Null and empty texts are equal and leave one row; of rows that repeat the doc_id that stays the
-    longest text does. An empty table gives no rows.
+    The longest original stays, then the smallest doc_id (null last), then the row with the largest
+    hash of all its columns, so that reruns agree. Null and empty texts are equal and leave one
+    row. An empty table gives no rows. Other columns, whatever their names, stay as they are.
+
+    Rows are numbered; only numbers, ids, lengths and hashes are grouped, and the texts meet the
+    numbers that stay in one join.
     """
-    verdict = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_copies").alias("_copies")).distinct()
-    marked = docs.withColumn("_key", F.sha2(normalised(), 256))
-    kept = marked.join(verdict, F.expr("_id <=> doc_id") & (F.col("_sha") == F.col("_key")))
-    longest = F.char_length(text_of())
-    repeated = kept.where("_copies > 1").withColumn("_len", longest).groupBy("_id", "_key").agg(F.max_by(F.struct(*docs.columns), "_len").alias("_row")).select("_row.*")
-    return kept.where("_copies = 1").select(*docs.columns).unionByName(repeated)
+    rows = numbered(docs)
+    hashed = rows.select("nth", "doc.doc_id", F.xxhash64("doc").alias("row"), normalised("doc.text").alias("norm"), F.char_length(text_of("doc.text")).alias("n_code"))
+    hashed = hashed.withColumn("h", content_hash(F.sha2("norm", 256)))
+    best = F.max(F.struct("n_code", F.negative("doc_id").alias("minus_id"), "row", "nth")).alias("best")
+    groups = durable(durable(hashed.drop("norm")).groupBy("h").agg(F.count("*").alias("group_size"), best))
+    collided = _collided(hashed, groups, filter_bits)
+    stay = groups.select("h", "best.nth")
+    if not collided.isEmpty():
+        apart = hashed.join(collided, "h", "left_semi").groupBy("h", "norm").agg(best)
+        stay = stay.join(collided, "h", "left_anti").unionByName(apart.select("h", "best.nth"))
+    return kept(rows, stay)
 
 
 EXACT_SQL = r"""

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterfold.llm.common import WORD, durable, text_of
+from rasterfold.llm.common import WORD, durable, numbered, running, text_of
 
 WEIGHTS = (5, 2, 1)
 #: The mix has 1.5 times the words of all documents; no source is taken more than twice.
 TOTAL_PARTS, WHOLE_PARTS, MOST = 3, 2, 2
 #: The mix has at least so many blocks, and the smallest target at least so many (blocks of one word: as many as it has words); shards they fill.
 BLOCKS, FINENESS, SHARDS, SEED = 16384, 64, 16, "mix-2"
-#: Hexadecimal digits of the seeded order that cut a source into parts of about equal size.
-PART_DIGITS = 3
+#: Tables of at most so many rows are put in order by one task.
+FEW = 4096
 
 
 def n_words(column: str = "text") -> Column:
@@ -24,8 +24,12 @@ def n_words(column: str = "text") -> Column:
 def in_order(frame: DataFrame, order: list[Column], **sums: str) -> DataFrame:
     """frame with place (from 1 on in that order) and, for each name in sums, the sum of its column over the rows before.
 
-    The rows are cut into ranges of the order, and only one row for each range meets the others.
+    The rows are cut into ranges of the order, and only one row for each range meets the others;
+    few rows are put in order as they are, with the same result.
     """
+    if frame.count() <= FEW:
+        before = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return frame.select("*", F.row_number().over(W.orderBy(*order)).alias("place"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for name, c in sums.items()))
     cut = durable(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     of_range = cut.groupBy("_range").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -84,7 +88,32 @@ def quotas(wanted: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, finene
     return ranked.select("source", F.lit(size).cast("long").alias("block_words"), F.concat(given, F.array(settled)).alias("ends"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = SHARDS, part_digits: int = PART_DIGITS, fineness: int = FINENESS) -> DataFrame:
+def _given(rows: DataFrame, blocks: int, shards: int, fineness: int) -> DataFrame:
+    """rows (doc_id, source, size, drawn, tie and others) with source_size, target, block_words, ends, begin, taken, passes, rest."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    wanted = durable(targets(sizes))
+    sources = wanted.alias("w").join(quotas(wanted, blocks, shards, fineness).alias("q"), F.expr("w.source <=> q.source"))
+    sources = durable(sources.select(F.col("w.source").alias("of_source"), "source_size", "target", "block_words", "ends"))
+    stream = rows.withColumn("stream", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+    placed = running(stream, "stream", [F.col(c).asc() for c in ("drawn", "doc_id", "size", "tie")], upto="sum(size)").drop("stream", "at")
+    facts = F.broadcast(sources) if sources.count() <= FEW else sources
+    placed = placed.join(facts, F.expr("source <=> of_source")).drop("of_source").withColumn("begin", F.col("upto") - F.col("size"))
+    share = F.element_at("ends", -1) * F.col("block_words")
+    whole = F.when(F.col("source_size") > 0, F.floor(share / F.col("source_size"))).otherwise(0).cast("long")
+    left = share - whole * F.col("source_size") - F.col("begin")
+    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
+    placed = placed.withColumn("taken", taken)
+    passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
+    return placed.withColumn("passes", passes).withColumn("rest", F.col("taken") - F.col("passes") * F.col("size"))
+
+
+def _drawn(rows: DataFrame, seed: str) -> DataFrame:
+    """What orders a source's documents: the MD5 of seed and doc_id, and for rows that repeat an id a hash of the text."""
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return rows.select("*", n_words().alias("size"), drawn.alias("drawn"), F.xxhash64(text_of()).alias("tie")).drop("text")
+
+
+def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = SHARDS, fineness: int = FINENESS) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, passes, rest, parts.
 
     size counts words (null text: 0). A source's documents, in an order drawn by the seed, form a
@@ -95,24 +124,15 @@ def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = S
     are whole passes and the first rest of the words.
 
     Documents are ordered by the MD5 of seed and doc_id, then doc_id and size, so reruns agree;
-    rows that repeat a document count each. A null source is a source of its own; sources without
-    words give none. An empty table gives no rows; other columns are ignored, and texts of any
-    length are counted whole.
+    rows that repeat a document count each, ordered by a hash of the text. A null source is a source
+    of its own; sources without words give none. An empty table gives no rows; other columns are
+    ignored, and texts of any length are counted whole.
 
-    The place of a document in the stream is the sum over earlier parts of the order, cut by its
-    leading digits, plus a window within its part; so a source with most of the rows is spread over
-    16 ** part_digits groups. Only ids, sizes and sources are shuffled.
+    The place of a document in the stream is a running sum over ranges of the order, so a source,
+    an id or copies of one row with most of the rows are spread over tasks. Only ids, sizes,
+    hashes and sources are shuffled.
     """
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = durable(docs.select("doc_id", "source", n_words().alias("size"), drawn.alias("drawn")).withColumn("part", F.substring("drawn", 1, part_digits)))
-    sizes = durable(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
-    wanted = durable(targets(sizes.groupBy("source").agg(F.sum("part_size").alias("source_size"))))
-    sources = wanted.alias("w").join(quotas(wanted, blocks, shards, fineness).alias("q"), F.expr("w.source <=> q.source")).select("w.source", "source_size", "target", "block_words", "ends")
-    earlier = F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    places = sizes.withColumn("before", F.coalesce(earlier, F.lit(0)))
-    places = places.alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source")).select(F.col("p.source").alias("p_source"), F.col("part").alias("p_part"), "before", "source_size", "target", "block_words", "ends")
-    within = F.sum("size").over(W.partitionBy("source", "part").orderBy("drawn", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    placed = rows.join(places, F.expr("source <=> p_source and part = p_part")).withColumn("begin", F.col("before") + F.coalesce(within, F.lit(0)))
+    placed = _given(durable(_drawn(docs.select("doc_id", "source", "text"), seed)), blocks, shards, fineness)
 
     def part(k: int, turn: int) -> Column:
         """What shard k takes of the document when the stream runs for the turn-th time (from 0)."""
@@ -122,31 +142,31 @@ def mix(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = S
         return F.struct(F.lit(k).alias("shard"), F.floor(low / F.col("block_words")).alias("block"), (low - begin).alias("start"), (high - low).alias("words"))
 
     parts = F.filter(F.array(*(part(k, turn) for turn in range(MOST) for k in range(shards))), lambda p: p["words"] > 0)
-    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"])
-    placed = placed.withColumn("parts", parts).withColumn("taken", taken)
-    passes = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", passes.alias("passes"), (F.col("taken") - passes * F.col("size")).alias("rest"), "parts")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "rest", parts.alias("parts"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED, blocks: int = BLOCKS, shards: int = SHARDS, fineness: int = FINENESS) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each pass, texts cut where the last word taken ends.
 
     Documents without words take no part. A text that is taken to the end is returned as it is; one
     that the last word of its source cuts has its first words, joined by spaces, and n_chars (if
-    docs has it) follows. Rows that repeat a doc_id and size are taken alike. A null source is a
-    source of its own. An empty table gives no rows.
+    docs has it) follows. Rows that repeat, and rows without doc_id, are taken each by itself. A
+    null source is a source of its own. An empty table gives no rows. Other columns, whatever their
+    names, stay as they are.
+
+    Rows are numbered, and the texts meet what is taken of each in one join.
     """
-    keyed = docs.withColumn("_size", n_words())
-    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("passes").alias("_passes"), F.max("rest").alias("_rest")).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_passes", "_rest")
-    both = keyed.join(taken, F.expr("doc_id <=> _id and source <=> _source and _size = _words"))
-    whole = F.array_repeat(F.col("_size"), F.col("_passes").cast("int"))
-    times = F.concat(whole, F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))
-    rows = both.withColumn("_take", F.explode(times))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_take").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("_size"), first).otherwise(F.col("text")))
+    rows = numbered(docs)
+    drawn = durable(_drawn(rows.select("nth", "doc.doc_id", F.col("doc.source").cast("string").alias("source"), F.col("doc.text").alias("text")), seed))
+    times = F.concat(F.array_repeat("size", F.col("passes").cast("int")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
+    taken = _given(drawn, blocks, shards, fineness).where("taken > 0").select("nth", "size", times.alias("times"))
+    out = rows.join(taken, "nth").select("doc", "size", F.explode("times").alias("take"))
+    cut = F.col("take") < F.col("size")
+    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), 1, F.col("take").cast("int")), " ")
+    fresh = {"text": F.when(cut, first).otherwise(F.col("doc.text"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_take") < F.col("_size"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        fresh["n_chars"] = F.when(cut, F.char_length(first).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*(fresh.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 MIX_SQL = rf"""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from rasterfold.llm.common import text_of
+from rasterfold.llm.common import text_of, whole_row
 
 #: At most so many labelled rows are read for training, and so many pairs drawn from them.
 SAMPLE, PAIRS, SEED = 20_000, 200_000, 7
@@ -156,5 +156,5 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     table gives no rows. Without labels of both kinds all go or all stay.
     """
     ranker = fit(docs, labels, sample)
-    marked = scored(docs.withColumn("_row", F.struct(*docs.columns)), ranker)
-    return marked.where(F.col("score") >= ACCEPT).select("_row.*")
+    marked = scored(docs.select("text", whole_row(docs).alias("doc")), ranker)
+    return marked.where(F.col("score") >= ACCEPT).select("doc.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from rasterfold.llm.common import durable, join_spread, text_of
+from rasterfold.llm.common import durable, join_spread, kept, numbered, text_of
 from rasterfold.llm.components import components
 
 SHINGLE, HASH_SEED, MOST_BITS = 4, 42, 4
@@ -180,14 +180,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of docs: of each component one, whatever ids are null or repeated.
 
     That is the smallest doc_id (null only where no other is); of rows that repeat this doc_id
-    within the component, or have none, the longest text stays, then the smallest MD5 of it.
-    Components without any id keep a document each, and so do components that share an id.
+    within the component, or have none, the longest text stays, then the smallest MD5 of it, then
+    the smallest hash of all columns, so that reruns agree. Components without any id keep a
+    document each, and so do components that share an id. Texts without words, null ones too, are
+    near each other. An empty table gives no rows; texts of any length are read whole; other
+    columns, whatever their names, stay as they are.
+
+    Rows are numbered, and the texts meet the numbers that stay in one join.
     """
-    digest = F.unhex(F.md5(text_of().cast("binary")))
-    rows = docs.groupBy("doc_id", digest.alias("text_id"), fingerprint(text_of()).alias("fp"), F.char_length(text_of()).alias("length")).agg(F.count("*").alias("copies"))
-    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", (-F.col("length")).alias("shorter"), "text_id", "copies")
-    stay = _labelled(rows.select("fp", best.alias("best")), PIECE).groupBy("component").agg(F.min("best").alias("best"))
-    stay = durable(stay.select(F.col("best.doc_id").alias("_id"), F.col("best.text_id").alias("_text_id"), F.col("best.copies").alias("_copies")))
-    kept = docs.withColumn("_digest", digest).join(stay, F.expr("doc_id <=> _id and _digest = _text_id"))
-    again = kept.where("_copies > 1").groupBy("_id", "_text_id").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.where("_copies = 1").select(*docs.columns).unionByName(again)
+    rows = numbered(docs)
+    text = text_of("doc.text")
+    best = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), (-F.char_length(text)).alias("shorter"), F.unhex(F.md5(text.cast("binary"))).alias("text_id"), F.xxhash64("doc").alias("row"), "nth")
+    stay = _labelled(rows.select(fingerprint(text).alias("fp"), best.alias("best")), PIECE).groupBy("component").agg(F.min("best").alias("best"))
+    return kept(rows, stay.select("best.nth"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from rasterfold.llm.common import durable, perhaps_among, text_of
+from rasterfold.llm.common import durable, perhaps_among, text_of, whole_row
 from rasterfold.llm.grouping import suffix_array, suffix_arrays
 
 LENGTH, GRAM = 200, 165
@@ -390,14 +390,18 @@ def repeated_passages(docs: DataFrame, hot: int = HOT, large: int = LARGE) -> Da
     lose all their bytes. Runs that touch are one. Texts shorter than LENGTH, empty or null keep
     all they have. An empty table gives no rows; null ids stay; other columns are ignored.
     """
-    touched, others = _with_spans(docs, hot, large)
+    touched, others = _with_spans(docs.select("doc_id", "text"), hot, large)
     cut = touched.select("doc_id", _report(text_of(), "_begins", "_ends").alias("r")).select("doc_id", "r.*")
     none = F.lit(0).cast("long")
     return cut.unionByName(others.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text_of().cast("binary"), 256).alias("kept_sha256")))
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT, large: int = LARGE) -> DataFrame:
-    """docs with the repeated bytes cut out of text; parts of characters that a cut leaves are dropped."""
+    """docs with the repeated bytes cut out of text; parts of characters that a cut leaves are dropped.
+
+    Rows that repeat are cut alike; a null text stays null, or becomes empty; texts of any length
+    are read whole; an empty table gives no rows; other columns, whatever their names, stay.
+    """
 
     @F.pandas_udf(StringType())
     def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
@@ -411,5 +415,6 @@ def without_repeats(docs: DataFrame, hot: int = HOT, large: int = LARGE) -> Data
         return pd.Series(out)
 
     cut: Column = kept(text_of(), "_begins", "_ends")
-    touched, others = _with_spans(docs, hot, large)
-    return touched.withColumn("text", cut).select(*docs.columns).unionByName(others.select(*docs.columns))
+    touched, others = _with_spans(docs.select("text", whole_row(docs, "text").alias("doc")), hot, large)
+    out = [F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    return touched.withColumn("text", cut).select(*out).unionByName(others.select(*out))
