@@ -217,6 +217,53 @@ def word_errors(pairs: DataFrame) -> DataFrame:
     return sums.withColumn("wer", F.when(F.col("words") > 0, F.round(F.col("word_errors") / F.col("words"), 9)))
 
 
+def most_pairs(sources: list, targets: list) -> int:
+    """The largest number of the given (source, target) pairs that share no end: rounds of shortest augmenting paths.
+
+    Each round layers the sources by their distance from free ones, then walks down the layers with a
+    stack of its own, so chains may be of any length.
+    """
+    goals: dict = {}
+    for source, target in sorted(set(zip(sources, targets, strict=True))):
+        goals.setdefault(source, []).append(target)
+    of_source: dict = {}
+    of_target: dict = {}
+    while True:
+        layer = {s: 0 for s in goals if s not in of_source}
+        front, reached = list(layer), False
+        while front and not reached:
+            following = []
+            for s in front:
+                for t in goals[s]:
+                    other = of_target.get(t)
+                    if other is None:
+                        reached = True
+                    elif other not in layer:
+                        layer[other] = layer[s] + 1
+                        following.append(other)
+            front = following
+        if not reached:
+            return len(of_source)
+        left = {s: iter(goals[s]) for s in layer}
+        for start in [s for s in layer if layer[s] == 0]:
+            path = [start]
+            while path:
+                s = path[-1]
+                t = next(left[s], None)
+                if t is None:
+                    path.pop()
+                    continue
+                other = of_target.get(t)
+                if other is None:
+                    for s in reversed(path):  # each takes the target that the next one gives up
+                        given_up = of_source.get(s)
+                        of_source[s], of_target[t] = t, s
+                        t = given_up
+                    break
+                if layer.get(other) == layer[s] + 1:
+                    path.append(other)
+
+
 def match_boxes(expected: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
     """img, true_positives, false_positives, false_negatives: the most pairs of boxes (img, box, x, y, w, h) that overlap enough, each box in one.
 
@@ -228,19 +275,7 @@ def match_boxes(expected: DataFrame, found: DataFrame, threshold: float = 0.5) -
     pairs = a.join(b, F.expr(meet)).where(inter >= F.lit(threshold) * (F.expr("a.w * a.h + b.w * b.h") - inter)).select("a.img", F.col("a.box").alias("target"), F.col("b.box").alias("source"))
 
     def matched(rows: pd.DataFrame) -> pd.DataFrame:
-        partner: dict = {}
-        targets = rows.groupby("source")["target"].apply(sorted).to_dict()
-
-        def free(source, tried: set) -> bool:
-            for target in targets[source]:
-                if target not in tried:
-                    tried.add(target)
-                    if target not in partner or free(partner[target], tried):
-                        partner[target] = source
-                        return True
-            return False
-
-        return pd.DataFrame({"img": [rows["img"].iloc[0]], "n": [sum(free(s, set()) for s in sorted(targets))]})
+        return pd.DataFrame({"img": [rows["img"].iloc[0]], "n": [most_pairs(rows["source"].tolist(), rows["target"].tolist())]})
 
     hits = pairs.groupBy("img").applyInPandas(matched, "img long, n long")
     sizes = expected.groupBy("img").agg(F.count("*").alias("e")).join(found.groupBy("img").agg(F.count("*").alias("f")), "img", "full").join(hits, "img", "left")

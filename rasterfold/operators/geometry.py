@@ -100,6 +100,19 @@ def fitted(mode: str, width: int, height: int, w: str = "width", h: str = "heigh
     return dict(zip(("out_w", "out_h", "draw_w", "draw_h", "draw_x", "draw_y"), (*(c.cast("int") for c in (*out, *draw)), *at), strict=True))
 
 
+def resize_nearest(px: DataFrame, width: int, height: int) -> DataFrame:
+    """Each image at width x height, target (x, y) taking the source pixel (x * source width // width, ...), whatever channels there are.
+
+    Every source pixel knows which target lines and columns ask for it, so nothing is joined but sizes.
+    """
+    source = sized(px)
+    asking = lambda at, side, n: F.sequence(F.ceil(F.col(at) * n / F.col(side)), F.ceil((F.col(at) + 1) * n / F.col(side)) - 1)
+    any_asks = lambda at, side, n: F.ceil((F.col(at) + 1) * n / F.col(side)) > F.ceil(F.col(at) * n / F.col(side))
+    wanted = source.where(any_asks("y", "height", height) & any_asks("x", "width", width)).withColumn("_y", F.explode(asking("y", "height", height))).withColumn("_x", F.explode(asking("x", "width", width)))
+    rest = [c for c in px.columns if c not in ("image_id", "y", "x")]
+    return wanted.select("image_id", F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), *rest)
+
+
 def _weights(source: int, target: int, sampler: str) -> np.ndarray:
     out = np.zeros((target, source))
     for t, s, w in axis_taps(source, target, sampler):

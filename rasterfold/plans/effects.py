@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterfold.functions import color, kernels
 from rasterfold.functions.numbers import byte, clamp, from_unit, luma, num, unit
-from rasterfold.operators import analytics, gather, lines, thresholds
+from rasterfold.operators import analytics, gather, lines, pixels, thresholds
 from rasterfold.plans.imaging import AT, HEIGHT, WIDTH, Query, _gather, _rank_sql
 from rasterfold.sources import tables
 from rasterfold.sources.tables import BOXES_SQL, GRAY_SQL, INK_SQL, PAIR_SQL, RGBA_SQL
@@ -75,11 +75,11 @@ _BOX5 = [(a, b, 1 / 25) for a in range(-2, 3) for b in range(-2, 3)]
 add("background_normalize", _background, f"WITH {GRAY_SQL}, e AS ({_rank_sql('max')}), o AS ({_rank_sql('min', 'e')}), g AS ({_gather(_BOX5, 'o')}) SELECT {AT}, CASE WHEN round(v, 5) <= 0 THEN 255 ELSE CAST(least(255, floor(l * 255e0 / round(v, 5))) AS INT) END AS l FROM gray JOIN g USING (image_id, y, x)")
 
 _LAPLACE = kernels.taps(((1, -2, 1), (-2, 4, -2), (1, -2, 1)))
-_INNER = f"x BETWEEN 1 AND {WIDTH - 2} AND y BETWEEN 1 AND {HEIGHT - 2}"
+_INNER = "x BETWEEN 1 AND width - 2 AND y BETWEEN 1 AND height - 2"
 add(
     "estimate_noise",
-    lambda s, d: lines.convolve(tables.gray(s, d), "l", {"k": _LAPLACE}).where(_INNER).groupBy("image_id").agg(F.expr(f"round(sqrt({num(math.pi / 2)}) * sum(abs(k)) / (6e0 * count(*)), 6)").alias("noise")),
-    f"WITH {GRAY_SQL}, k AS ({_gather(_LAPLACE)}) SELECT image_id, round(sqrt({num(math.pi / 2)}) * sum(abs(v)) / (6e0 * count(*)), 6) AS noise FROM k WHERE {_INNER} GROUP BY 1",
+    lambda s, d: pixels.sized(lines.convolve(tables.gray(s, d), "l", {"k": _LAPLACE})).where(_INNER).groupBy("image_id").agg(F.expr(f"round(sqrt({num(math.pi / 2)}) * sum(abs(k)) / (6e0 * count(*)), 6)").alias("noise")),
+    f"WITH {GRAY_SQL}, k AS ({_gather(_LAPLACE)}), s AS (SELECT image_id, max(y) + 1 AS height, max(x) + 1 AS width FROM gray GROUP BY 1) SELECT image_id, round(sqrt({num(math.pi / 2)}) * sum(abs(v)) / (6e0 * count(*)), 6) AS noise FROM k JOIN s USING (image_id) WHERE {_INNER} GROUP BY 1",
 )
 _GX, _GY = (kernels.taps(k) for k in kernels.EDGES_PAIR["sobel"])
 _BUSY = "sqrt(gx * gx + gy * gy) >= 300"
@@ -95,7 +95,6 @@ _G = [math.exp(-i * i / 4.5) for i in range(-5, 6)]
 _G = tuple(w / sum(_G) for w in _G)
 _SIGNALS = {"ma": "l", "mb": "l2", "qa": "l * l", "qb": "l2 * l2", "ab": "l * l2"}
 _SSIM = "((2 * ma * mb + 6.5025e0) * (2 * (ab - ma * mb) + 58.5225e0)) / ((ma * ma + mb * mb + 6.5025e0) * (qa - ma * ma + qb - mb * mb + 58.5225e0))"
-_WHOLE = f"y BETWEEN 5 AND {HEIGHT - 6} AND x BETWEEN 5 AND {WIDTH - 6}"
 
 
 def _ssim(s, d):
@@ -105,14 +104,14 @@ def _ssim(s, d):
     blur = lambda c, over: sum((num_w * F.lag(c, 5 - k).over(over) for k, num_w in enumerate(map(F.lit, _G))), F.lit(0.0))
     first = px.select("image_id", "y", "x", *(blur(c, across).alias(c) for c in _SIGNALS))
     second = first.select("image_id", "y", "x", *(blur(c, down).alias(c) for c in _SIGNALS))
-    return second.where("ma IS NOT NULL").groupBy("image_id").agg(F.round(F.avg(F.expr(_SSIM)), 6).alias("ssim"))
+    return second.groupBy("image_id").agg(F.round(F.avg(F.when(F.col("ma").isNotNull(), F.expr(_SSIM))), 6).alias("ssim"))
 
 
 add("ssim", _ssim, f"""WITH {PAIR_SQL}, k AS (SELECT * FROM (VALUES {', '.join(f'({a - 5}, {b - 5}, {num(u * v)})' for a, u in enumerate(_G) for b, v in enumerate(_G))}) v(dy, dx, w)),
 h AS (SELECT image_id, max(y) AS bottom FROM pair GROUP BY 1),
 m AS (SELECT p.image_id, p.y, p.x, {', '.join(f"sum(k.w * {e.replace('l2', 'q.l2').replace('l *', 'q.l *') if e != 'l' else 'q.l'}) AS {n}" for n, e in {'ma': 'l', 'mb': 'l2', 'qa': 'l * q.l', 'qb': 'l2 * l2', 'ab': 'l * l2'}.items())}
 FROM pair p JOIN h USING (image_id), k, pair q WHERE p.y BETWEEN 5 AND h.bottom - 5 AND p.x BETWEEN 5 AND {WIDTH - 6} AND q.image_id = p.image_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx GROUP BY 1, 2, 3)
-SELECT image_id, round(avg({_SSIM}), 6) AS ssim FROM m GROUP BY 1""")
+SELECT h.image_id, round(avg({_SSIM}), 6) AS ssim FROM h LEFT JOIN m ON m.image_id = h.image_id GROUP BY 1""")
 
 # Levels by percentiles, of gray and of each channel.
 _LEVEL = "CASE WHEN hi = lo THEN {0} ELSE " + byte("({0} - lo) * 255e0 / (hi - lo)") + " END"

@@ -44,8 +44,12 @@ for _name, _matrix in {
     _projection(f"filter_{_name}", color.apply_matrix(_matrix))
 for _curve in ("clip", "reinhard", "reinhard_extended", "aces", "hable"):
     _projection(f"tone_map_{_curve}", color.tone_map(_curve, 0.5))
-_projection("vignette", color.vignette((0, 10, 0), str(WIDTH), str(HEIGHT)))
-_projection("glow", color.glow((255, 153, 102), str(WIDTH), str(HEIGHT)))
+#: Each image's own size, for SQL; SIZED_SQL has px with it.
+SIZE_SQL = "s AS (SELECT image_id, max(y) + 1 AS height, max(x) + 1 AS width FROM px GROUP BY 1)"
+SIZED_SQL = f"{RGBA_SQL}, {SIZE_SQL}"
+for _name, _shown in {"vignette": color.vignette((0, 10, 0), "width", "height"), "glow": color.glow((255, 153, 102), "width", "height")}.items():
+    _exprs = [f"{e} AS {c}" for c, e in _shown.items()] + [c for c in "rgba" if c not in _shown]
+    add(_name, lambda s, d, e=_exprs: pixels.sized(tables.rgba(s, d)).selectExpr("image_id", "y", "x", *e), f"WITH {SIZED_SQL} SELECT {AT}, {', '.join(_exprs)} FROM px JOIN s USING (image_id)")
 for _name, _space in {"xyz": color.xyz(), "lab": color.lab(), "lch": {k: e for k, e in color.lch().items() if k != "lch_h"}, "oklab": color.oklab(), "hsv": color.hsv(), "hsl": color.hsl(), "linear": {f"lin_{c}": color.linear(c) for c in "rgb"}}.items():
     _projection(f"color_{_name}", {f"out_{c}": e for c, e in _space.items()}, 6)
 _projection("pixel_l8", {"l8": luma()})
@@ -66,29 +70,22 @@ def _region(s: SparkSession, d: str) -> DataFrame:
 _inside = "x BETWEEN 8 AND 27 AND y BETWEEN 4 AND 9"
 add("region_invert", _region, f"WITH {RGBA_SQL} SELECT {AT}, " + ", ".join(f"CASE WHEN {_inside} THEN 255 - {c} ELSE {c} END AS {c}" for c in "rgb") + ", a FROM px")
 
-# Geometry: coordinates only.
-_SIZE = (WIDTH, HEIGHT)
+# Geometry: coordinates only, by each image's own size.
 for _name, _y, _x, _where, _move in (
     ("crop", "y - 2", "x - 10", "y BETWEEN 2 AND 11 AND x BETWEEN 10 AND 49", lambda px: geometry.crop(px, (10, 2, 40, 10))),
-    ("flip_horizontal", "y", f"{WIDTH - 1} - x", "true", lambda px: geometry.flip(px, "horizontal", _SIZE)),
-    ("flip_vertical", f"{HEIGHT - 1} - y", "x", "true", lambda px: geometry.flip(px, "vertical", _SIZE)),
-    ("rotate_90", "x", f"{HEIGHT - 1} - y", "true", lambda px: geometry.turn(px, 90, _SIZE)),
-    ("rotate_180", f"{HEIGHT - 1} - y", f"{WIDTH - 1} - x", "true", lambda px: geometry.turn(px, 180, _SIZE)),
-    ("rotate_270", f"{WIDTH - 1} - x", "y", "true", lambda px: geometry.turn(px, 270, _SIZE)),
+    ("flip_horizontal", "y", "width - 1 - x", "true", lambda px: geometry.flip(px, "horizontal")),
+    ("flip_vertical", "height - 1 - y", "x", "true", lambda px: geometry.flip(px, "vertical")),
+    ("rotate_90", "x", "height - 1 - y", "true", lambda px: geometry.turn(px, 90)),
+    ("rotate_180", "height - 1 - y", "width - 1 - x", "true", lambda px: geometry.turn(px, 180)),
+    ("rotate_270", "width - 1 - x", "y", "true", lambda px: geometry.turn(px, 270)),
     ("transpose", "x", "y", "true", geometry.transpose),
 ):
-    add(_name, lambda s, d, m=_move: m(tables.rgba(s, d)), f"WITH {RGBA_SQL} SELECT image_id, {_y} AS y, {_x} AS x, r, g, b, a FROM px WHERE {_where}")
+    add(_name, lambda s, d, m=_move: m(tables.rgba(s, d)), f"WITH {SIZED_SQL} SELECT image_id, {_y} AS y, {_x} AS x, r, g, b, a FROM px JOIN s USING (image_id) WHERE {_where}")
 
 _TAG = "image_id % 8 + 1"
-_oy = f"CASE WHEN {_TAG} IN (3, 4) THEN {HEIGHT - 1} - y WHEN {_TAG} IN (5, 6) THEN x WHEN {_TAG} IN (7, 8) THEN {WIDTH - 1} - x ELSE y END"
-_ox = f"CASE WHEN {_TAG} IN (2, 3) THEN {WIDTH - 1} - x WHEN {_TAG} IN (5, 8) THEN y WHEN {_TAG} IN (6, 7) THEN {HEIGHT - 1} - y ELSE x END"
-add("auto_orient", lambda s, d: geometry.orient(tables.rgba(s, d), F.expr(_TAG), _SIZE), f"WITH {RGBA_SQL} SELECT image_id, {_oy} AS y, {_ox} AS x, r, g, b, a FROM px")
-
-
-def _canvas(s: SparkSession, d: str, width: int, height: int) -> DataFrame:
-    images = tables.table(s, d, "embeddings").selectExpr(f"vec_id div {HEIGHT} AS image_id").distinct()
-    ys = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
-    return ys.select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+_oy = f"CASE WHEN {_TAG} IN (3, 4) THEN height - 1 - y WHEN {_TAG} IN (5, 6) THEN x WHEN {_TAG} IN (7, 8) THEN width - 1 - x ELSE y END"
+_ox = f"CASE WHEN {_TAG} IN (2, 3) THEN width - 1 - x WHEN {_TAG} IN (5, 8) THEN y WHEN {_TAG} IN (6, 7) THEN height - 1 - y ELSE x END"
+add("auto_orient", lambda s, d: geometry.orient(tables.rgba(s, d), F.expr(_TAG)), f"WITH {SIZED_SQL} SELECT image_id, {_oy} AS y, {_ox} AS x, r, g, b, a FROM px JOIN s USING (image_id)")
 
 
 def _canvas_sql(width: int, height: int) -> str:
@@ -101,15 +98,7 @@ def _pad(s: SparkSession, d: str) -> DataFrame:
 
 add("pad", _pad, f"WITH {RGBA_SQL}, {_canvas_sql(WIDTH + 16, HEIGHT + 8)} SELECT c.image_id, c.y, c.x, coalesce(r, 10) AS r, coalesce(g, 20) AS g, coalesce(b, 30) AS b, coalesce(a, 255) AS a FROM canvas c LEFT JOIN px p ON p.image_id = c.image_id AND p.y + 4 = c.y AND p.x + 8 = c.x")
 
-_NEAR_Y, _NEAR_X = f"least({HEIGHT - 1}, y * {HEIGHT} div 10)", f"least({WIDTH - 1}, x * {WIDTH} div 40)"
-
-
-def _nearest(s: SparkSession, d: str) -> DataFrame:
-    wanted = _canvas(s, d, 40, 10).selectExpr("image_id", "y AS ty", "x AS tx", f"CAST({_NEAR_Y} AS INT) AS y", f"CAST({_NEAR_X} AS INT) AS x")
-    return wanted.join(tables.rgba(s, d), ["image_id", "y", "x"]).selectExpr("image_id", "ty AS y", "tx AS x", "r", "g", "b", "a")
-
-
-add("resize_nearest", _nearest, f"WITH {RGBA_SQL}, {_canvas_sql(40, 10)} SELECT c.image_id, c.y, c.x, r, g, b, a FROM canvas c JOIN px p ON p.image_id = c.image_id AND p.y = {_NEAR_Y.replace('div', '//').replace('y *', 'c.y *')} AND p.x = {_NEAR_X.replace('div', '//').replace('x *', 'c.x *')}")
+add("resize_nearest", lambda s, d: geometry.resize_nearest(tables.rgba(s, d), 40, 10), f"WITH {SIZED_SQL}, {_canvas_sql(40, 10)} SELECT c.image_id, c.y, c.x, r, g, b, a FROM canvas c JOIN s USING (image_id) JOIN px p ON p.image_id = c.image_id AND p.y = c.y * s.height // 10 AND p.x = c.x * s.width // 40")
 
 
 _SINC = "(CASE WHEN abs({0}) < 1e-6 THEN 1e0 ELSE sin(pi() * ({0})) / (pi() * ({0})) END)"

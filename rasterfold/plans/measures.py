@@ -57,8 +57,8 @@ SELECT {AT}, CASE WHEN w = least_upto THEN l ELSE CAST(floor((upto - least_upto)
 )
 add(
     "equalize_tiles",
-    lambda s, d: analytics.equalize(tables.gray(s, d), f"y * 4 div {HEIGHT} * 8 + x * 8 div {WIDTH}"),
-    f"""WITH {GRAY_SQL}, g AS (SELECT *, y * 4 // {HEIGHT} * 8 + x * 8 // {WIDTH} AS tile FROM gray), c AS (SELECT image_id, tile, l, sum(count(*)) OVER (PARTITION BY image_id, tile ORDER BY l) AS upto, sum(count(*)) OVER (PARTITION BY image_id, tile) AS w FROM g GROUP BY 1, 2, 3),
+    lambda s, d: analytics.equalize(pixels.sized(tables.gray(s, d)), "y * 4 div height * 8 + x * 8 div width"),
+    f"""WITH {GRAY_SQL}, s AS (SELECT image_id, max(y) + 1 AS height, max(x) + 1 AS width FROM gray GROUP BY 1), g AS (SELECT *, y * 4 // height * 8 + x * 8 // width AS tile FROM gray JOIN s USING (image_id)), c AS (SELECT image_id, tile, l, sum(count(*)) OVER (PARTITION BY image_id, tile ORDER BY l) AS upto, sum(count(*)) OVER (PARTITION BY image_id, tile) AS w FROM g GROUP BY 1, 2, 3),
 m AS (SELECT *, min(upto) OVER (PARTITION BY image_id, tile) AS least_upto FROM c)
 SELECT {AT}, CASE WHEN w = least_upto THEN l ELSE CAST(floor((upto - least_upto) * 255e0 / (w - least_upto) + 0.5e0) AS INT) END AS l FROM g JOIN m USING (image_id, tile, l)""",
 )
