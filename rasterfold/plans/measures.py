@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterfold.functions.numbers import byte
-from rasterfold.operators import analytics, thresholds
+from rasterfold.operators import analytics, pixels, thresholds
 from rasterfold.plans.imaging import AT, HEIGHT, WIDTH, Query
 from rasterfold.sources import tables
 from rasterfold.sources.tables import BOXES_SQL, GRAY_SQL, INK_SQL, PAIR_SQL, RGBA_SQL
