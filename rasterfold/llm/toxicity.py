@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,8 +28,8 @@ LONGEST = 48
 BEGINS = (3, 4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?…。！？]+(?=\s|$)|\n")
-#: Words that a task remembers, and features that it counts before it passes counts on.
-_CACHED, _COUNTED = 1 << 17, 1 << 18
+#: Features that a task counts before it passes counts on.
+_COUNTED = 1 << 18
 
 
 def lowered(text: str) -> str:
@@ -40,10 +38,9 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
-def features_of(word: str) -> tuple[int, ...]:
-    """Hashes of a word and of its beginnings."""
-    parts = (f"={word}", *(f"{k}{word[:k]}" for k in BEGINS if k <= len(word)))
-    return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in parts)
+def features_of(word: str) -> tuple[str, ...]:
+    """A word ("=word") and its beginnings (their length and they)."""
+    return (f"={word}", *(f"{k}{word[:k]}" for k in BEGINS if k <= len(word)))
 
 
 def sentences(low: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -68,18 +65,18 @@ def sentences(low: str) -> Iterator[tuple[int, int, list[str]]]:
 class Detector:
     """A sentence's score is logistic(bias + weights of the features of its different words); a document's is the noisy-or of these."""
 
-    weights: dict[int, float]
+    weights: dict[str, float]
     bias: float
-    words: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
+    heads: frozenset[str] = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        self.heads = frozenset(f[1 : 1 + BEGINS[0]] for f in self.weights)
 
     def telling(self, words: set[str]) -> dict[str, float]:
-        """Those of the words that have weight."""
-        known = self.words
-        if len(known) > _CACHED:
-            known.clear()
-        for word in [w for w in words if w not in known]:
-            known[word] = sum(self.weights.get(f, 0.0) for f in features_of(word))
-        return {w: known[w] for w in words if known[w]}
+        """Those of the words that have weight; words that begin like no feature are passed over."""
+        heads, get = self.heads, self.weights.get
+        likely = [w for w in words if w[: BEGINS[0]] in heads]
+        return {w: v for w in likely if (v := sum(get(f, 0.0) for f in features_of(w)))}
 
     def of_sentences(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
         """start and end of each sentence, and their scores."""
@@ -97,39 +94,48 @@ def noisy_or(scores: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum()))
 
 
-def train(documents: list[list[tuple[np.ndarray, int]]], quiet: np.ndarray, toxic: np.ndarray, kept: np.ndarray, steps: int = 400, penalty: float = 2e-4) -> Detector:
+@dataclass
+class Bags:
+    """Sentences with kept features, as flat arrays: those of one document are equal ones counted once.
+
+    places (in kept) are those of all bags one after the other, lengths says how many each bag has,
+    times how often it occurs in its document doc; quiet counts the other sentences of each document.
+    """
+
+    places: np.ndarray
+    lengths: np.ndarray
+    times: np.ndarray
+    doc: np.ndarray
+    quiet: np.ndarray
+    toxic: np.ndarray
+
+
+def train(bags: Bags, kept: list[str], steps: int = 400, penalty: float = 2e-4) -> Detector:
     """Weights (not below zero) of the kept features and a bias, by Adam on the noisy-or's log loss.
 
-    documents list the different bags (places in kept) of each document and how often each occurs;
-    quiet counts its sentences without any kept feature. Without toxic documents all scores are near
-    zero; without others the bias is that of a single document.
+    Both classes count alike, however many documents they have. Without toxic documents all scores
+    are near zero.
     """
-    if not len(toxic) or not toxic.any():
+    toxic, n = bags.toxic, len(bags.toxic)
+    if not toxic.any():
         return Detector({}, -20.0)
-    sizes = np.array([len(d) for d in documents])
-    flat = [b for d in documents for b in d]
-    lengths = np.array([len(b) for b, _ in flat], np.int64)
-    times = np.array([n for _, n in flat], np.float64)
-    at = np.concatenate([b for b, _ in flat]) if flat else np.zeros(0, np.int64)
-    row, doc = np.repeat(np.arange(len(flat)), lengths), np.repeat(np.arange(len(documents)), sizes)
-    share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
+    row = np.repeat(np.arange(len(bags.lengths)), bags.lengths)
+    share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / max(1, (~toxic).sum()))
     theta = np.zeros(len(kept) + 1)
     theta[-1] = -6.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, bias = theta[:-1], theta[-1]
-        z = bias + np.bincount(row, w[at], len(flat))
-        clean = np.bincount(doc, -np.logaddexp(0, z) * times, len(documents)) - quiet * np.logaddexp(0, bias)
+        z = bias + np.bincount(row, w[bags.places], len(bags.lengths))
+        clean = np.bincount(bags.doc, -np.logaddexp(0, z) * bags.times, n) - bags.quiet * np.logaddexp(0, bias)
         pull = np.where(toxic, -np.exp(clean) / np.maximum(-np.expm1(clean), 1e-12), 1.0) * share
-        p = 1 / (1 + np.exp(-z))
-        of_z = pull[doc] * p * times
-        slope = np.r_[np.bincount(at, of_z[row], len(kept)) + penalty, (pull * quiet).sum() / (1 + np.exp(-bias)) + of_z.sum()]
+        of_z = pull[bags.doc] * bags.times / (1 + np.exp(-z))
+        slope = np.r_[np.bincount(bags.places, of_z[row], len(kept)) + penalty, (pull * bags.quiet).sum() / (1 + np.exp(-bias)) + of_z.sum()]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
         theta -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         theta[:-1] = np.clip(theta[:-1], 0, 30)
         theta[-1] = min(theta[-1], -4.0)
-    used = np.flatnonzero(theta[:-1] > 1e-3)
-    return Detector({int(kept[i]): float(theta[i]) for i in used}, float(theta[-1]))
+    return Detector({kept[i]: float(theta[i]) for i in np.flatnonzero(theta[:-1] > 1e-3)}, float(theta[-1]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -140,11 +146,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """feature, toxic, clean: documents of either kind with the feature, added up as far as a task's memory is to go."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    hashes = lru_cache(_CACHED)(features_of)
 
     def out() -> pa.RecordBatch:
         keys = list(counts[0].keys() | counts[1].keys())
-        columns = [pa.array(keys, pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (counts[1], counts[0]))]
+        columns = [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (counts[1], counts[0]))]
         for c in counts:
             c.clear()
         return pa.RecordBatch.from_arrays(columns, ["feature", "toxic", "clean"])
@@ -152,28 +157,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
             words = set(_WORD.findall(lowered(text.as_py())))
-            counts[toxic].update(set(chain.from_iterable(map(hashes, words))))
+            counts[toxic].update(set(chain.from_iterable(map(features_of, words))))
             if len(counts[0]) + len(counts[1]) > _COUNTED:
                 yield out()
     yield out()
 
 
-def _bagged(kept: dict[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, toxic, quiet, bags, times: sentences without kept features, and the different bags of the others with their numbers."""
+def _bagged(kept: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, toxic, quiet, places, lengths, times of each document, as in Bags."""
+    heads = frozenset(f[1 : 1 + BEGINS[0]] for f in kept)
 
-    @lru_cache(_CACHED)
-    def places(word: str) -> tuple[int, ...]:
-        return tuple(kept[f] for f in features_of(word) if f in kept)
+    def places(words: list[str]) -> tuple[int, ...]:
+        return tuple(sorted(kept[f] for w in set(words) if w[: BEGINS[0]] in heads for f in features_of(w) if f in kept))
 
     for batch in batches:
-        quiet, bags, times = [], [], []
+        quiet, flat, lengths, times = [], [], [], []
         for text in batch["text"]:
-            found = Counter(tuple(sorted(chain.from_iterable(map(places, set(words))))) for _, _, words in sentences(lowered(text.as_py())))
+            found = Counter(places(words) for _, _, words in sentences(lowered(text.as_py())))
             quiet.append(found.pop((), 0))
-            bags.append(list(found))
-            times.append(list(found.values()))
-        columns = [batch["doc_id"], batch["toxic"], pa.array(quiet, pa.int64()), pa.array(bags, pa.list_(pa.list_(pa.int32()))), pa.array(times, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "quiet", "bags", "times"])
+            bags = sorted(found.items())
+            flat.append([i for b, _ in bags for i in b])
+            lengths.append([len(b) for b, _ in bags])
+            times.append([n for _, n in bags])
+        ints = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(quiet, pa.int64()), *(pa.array(x, ints) for x in (flat, lengths, times))], ["doc_id", "toxic", "quiet", "places", "lengths", "times"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
@@ -191,18 +198,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     if not n_toxic:
-        return train([], np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64))
-    counts = rows.mapInArrow(_counted, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return Detector({}, -20.0)
+    counts = rows.mapInArrow(_counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = (F.col("toxic") + F.col("clean") + 1) / F.lit(n_toxic + n_clean + 2.0)
     z = (F.col("toxic") / n_toxic - F.col("clean") / max(1, n_clean)) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / max(1, n_clean)))
     best = counts.withColumn("z", z).where((F.col("toxic") >= LEAST_DOCS) & (F.col("z") > LEAST_Z)).orderBy(F.desc("z"), "feature").limit(KEPT)
-    kept = np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64))
-    places = {int(f): i for i, f in enumerate(kept)}
+    kept = sorted(r["feature"] for r in best.select("feature").collect())
+    places = {f: i for i, f in enumerate(kept)}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bagged = rows.mapInArrow(lambda batches: _bagged(places, batches), f"doc_id {kind}, toxic int, quiet long, bags array<array<int>>, times array<long>").collect()
-    bagged.sort(key=lambda r: (r["doc_id"], r["toxic"]))
-    documents = [[(np.array(b, np.int64), n) for b, n in zip(r["bags"], r["times"], strict=True)] for r in bagged]
-    return train(documents, np.array([r["quiet"] for r in bagged], np.float64), np.array([r["toxic"] == 1 for r in bagged]), kept)
+    found = rows.mapInArrow(lambda batches: _bagged(places, batches), f"doc_id {kind}, toxic int, quiet long, places array<int>, lengths array<int>, times array<int>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    flat = {c: found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("places", "lengths", "times")}
+    doc = np.repeat(np.arange(len(found)), found["lengths"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
+    bags = Bags(flat["places"], flat["lengths"], flat["times"].astype(np.float64), doc, found["quiet"].to_numpy().astype(np.float64), found["toxic"].to_numpy() == 1)
+    return train(bags, kept)
 
 
 def scored(docs: DataFrame, detector: Detector, offending: float = TOXIC) -> DataFrame:

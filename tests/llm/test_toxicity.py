@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterfold.llm import registry, toxicity
-from rasterfold.llm.toxicity import Detector, features_of, noisy_or, sentences, train
+from rasterfold.llm.toxicity import Bags, Detector, noisy_or, sentences, train
 
 
 def test_noisy_or():
@@ -32,8 +32,12 @@ def test_training_goes_to_the_least_loss():
     for y in toxic:
         documents.append([(draw.choice(6, 2, replace=False) if not (y and k == 0) else np.array([0, 3]), int(draw.integers(1, 3))) for k in range(3)])
     quiet = draw.integers(0, 5, 60).astype(float)
-    found = train(documents, quiet, toxic, np.arange(6), steps=3000, penalty=1e-3)
-    at = np.array([found.weights.get(i, 0.0) for i in range(6)])
+    bags = Bags(
+        np.concatenate([b for d in documents for b, _ in d]), np.array([len(b) for d in documents for b, _ in d]), np.array([float(n) for d in documents for _, n in d]),
+        np.repeat(np.arange(60), 3), quiet, toxic,
+    )
+    found = train(bags, list("012345"), steps=3000, penalty=1e-3)
+    at = np.array([found.weights.get(str(i), 0.0) for i in range(6)])
     best = loss(at, found.bias, documents, quiet, toxic, 1e-3)
     for i in range(6):
         for step in (-0.05, 0.05):
@@ -54,7 +58,7 @@ def test_sentences_have_all_words_once():
 
 
 def test_long_clean_texts_stay_clean_and_one_sentence_is_found(make_docs):
-    rude = {features_of("grobian")[0]: 14.0}
+    rude = {"=grobian": 14.0}
     detector = Detector(rude, -10.0)
     clean = "Plain words of a text. " * 3000
     docs = make_docs([(1, clean), (2, clean + "You GROBIAN there! " + clean), (3, None), (4, "İ grobian. Ok."), (None, "grobian")])
