@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterfold.operators.pixels import with_own
+
 
 def percentiles(px: DataFrame, points: tuple[int, ...], level: str = "l") -> DataFrame:
     """The smallest level that so many per cent of an image's pixels don't exceed, from its histogram."""
@@ -45,8 +47,7 @@ def value_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, f
 
 def joined_to_own(px: DataFrame, aggregates: str) -> DataFrame:
     """px with figures of its image; only one row an image is shuffled besides px."""
-    own = px.groupBy("image_id").agg(*(F.expr(a) for a in aggregates.split(", ")))
-    return px.join(own, "image_id")
+    return with_own(px, px.groupBy("image_id").agg(*(F.expr(a) for a in aggregates.split(", "))))
 
 
 def equalize(px: DataFrame, tile: str = "0") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterfold.operators.pixels import with_own
+
 
 def histogram(px: DataFrame, level: str = "l") -> DataFrame:
     return px.groupBy("image_id", F.col(level).alias("level")).agg(F.count("*").alias("n"))
@@ -26,7 +28,8 @@ def otsu(px: DataFrame) -> DataFrame:
 
 
 def otsu_threshold(px: DataFrame) -> DataFrame:
-    return px.join(otsu(px), "image_id").select("image_id", "y", "x", F.when(F.col("l") > F.col("t"), 255).otherwise(0).alias("l"))
+    """Pixels above their image's threshold are white; the thresholds meet the pixels line by line."""
+    return with_own(px, otsu(px)).select("image_id", "y", "x", F.when(F.col("l") > F.col("t"), 255).otherwise(0).alias("l"))
 
 
 def integral(px: DataFrame, column: str = "l") -> DataFrame:
@@ -63,5 +66,5 @@ def local_threshold(px: DataFrame, method: str, radius: int) -> DataFrame:
     stats = box_statistics(px, radius)
     if method == "wolf_jolion":
         bounds = stats.groupBy("image_id").agg(F.min("l").alias("lo"), F.max("d").alias("dmax"))
-        stats = stats.join(bounds, "image_id")
+        stats = with_own(stats, bounds)
     return stats.select("image_id", "y", "x", F.when(F.expr(LOCAL[method]), 255).otherwise(0).alias("l"))

@@ -34,6 +34,15 @@ BOXES_SQL = """boxes AS (
          CAST(1 + l_quantity AS INT) AS w, CAST(1 + l_partkey % 37 AS INT) AS h FROM lineitem)"""
 
 
+#: Side of the larger images that all components in a row make; the last one is what is left.
+SHEET = 176
+SHEET_SQL = f"""sheet AS (
+  SELECT p // {SHEET * SHEET} AS image_id, CAST(p % {SHEET * SHEET} // {SHEET} AS INT) AS y, CAST(p % {SHEET} AS INT) AS x,
+         CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 0.5e0) * 255))) AS INT) AS l
+  FROM (SELECT vec_id * 64 + i - 1 AS p, e FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))),
+sheet_pair AS (SELECT *, CAST(least(255, greatest(0, l + ((x * 31 + y * 17) % 11) - 5)) AS INT) AS l2 FROM sheet)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +63,15 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray(spark, sf_dir).withColumn("l2", F.expr("CAST(least(255, greatest(0, l + ((x * 31 + y * 17) % 11) - 5)) AS INT)"))
 
 
+def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components in a row as pixels of images of SHEET x SHEET, the last one lower, with a second level l2."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    level = F.expr("CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 0.5e0) * 255))) AS INT)")
+    px = rows.select(F.expr("vec_id * 64 + i").alias("p"), level.alias("l"))
+    px = px.selectExpr(f"p div {SHEET * SHEET} AS image_id", f"CAST(p % {SHEET * SHEET} div {SHEET} AS INT) AS y", f"CAST(p % {SHEET} AS INT) AS x", "l")
+    return px.withColumn("l2", F.expr("CAST(least(255, greatest(0, l + ((x * 31 + y * 17) % 11) - 5)) AS INT)"))
+
+
 def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a page of 64 characters a line; what isn't white space is ink. Null and empty texts are pages without pixels."""
     pages = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("i", "c"))
