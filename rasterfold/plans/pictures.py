@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rasterfold.functions.numbers import byte, num
-from rasterfold.operators import fidelity, grids, palettes
+from rasterfold.operators import fidelity, grids, outlines, palettes
 from rasterfold.plans.imaging import AT, Query
 from rasterfold.sources import tables
 from rasterfold.sources.tables import RGBA_SQL, SHEET_SQL
@@ -94,3 +94,7 @@ c0 AS (SELECT image_id, channel, fz + dz AS z, fy + dy AS v, fx + dx AS u, sum(k
 o AS (SELECT k.image_id, k.y, k.x, k.channel, k.l, sum(k * coalesce(s, 0)) AS s, sum(k * coalesce(w, 0)) AS w FROM k LEFT JOIN c3 ON c3.image_id = k.image_id AND c3.channel = k.channel AND z = fz + dz AND v = fy + dy AND u = fx + dx GROUP BY 1, 2, 3, 4, 5)
 SELECT {AT}, {', '.join(f"max({byte('round(CASE WHEN w > 1e-12 THEN s / w ELSE l END, 5)')}) FILTER (channel = '{c}') AS {c}" for c in 'rgb')} FROM o GROUP BY 1, 2, 3""",
 )
+
+# Pages in photos; tests hold the corners against the ones that the photos were made with.
+add("page_corners", lambda s, d: outlines.page_corners(tables.photos(s, d)).selectExpr("image_id", "posexplode_outer(quad) AS (corner, p)").selectExpr("image_id", "corner", "round(p.x, 6) AS x", "round(p.y, 6) AS y"))
+add("page_alone", lambda s, d: outlines.page_alone(tables.photos(s, d), outlines.page_corners(tables.photos(s, d))))

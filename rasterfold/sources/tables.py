@@ -72,6 +72,21 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.withColumn("l2", F.expr("CAST(least(255, greatest(0, l + ((x * 31 + y * 17) % 11) - 5)) AS INT)"))
 
 
+#: Corners (x, y) of the bright page in the photo of supplier k, from the upper left one to the right.
+PHOTO_CORNERS = (("6 + k % 5", "5 + k % 3"), ("41 - k % 4", "4 + k % 6"), ("42 - k % 3", "35 - k % 4"), ("5 + k % 4", "34 - k % 5"))
+PHOTO_WIDTH, PHOTO_HEIGHT = 48, 40
+
+
+def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A photo of a bright page on a dark table for each supplier; the corners follow from its key, the grain from its balance."""
+    keys = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS image_id", "s_suppkey AS k", "CAST(abs(s_acctbal) AS INT) AS grain")
+    corners = keys.selectExpr("*", *(f"{e} AS c{a}{i}" for i, c in enumerate(PHOTO_CORNERS) for a, e in zip("xy", c, strict=True)))
+    px = corners.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(PHOTO_HEIGHT - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(PHOTO_WIDTH - 1))))
+    # Twice the coordinates, so that pixel middles are whole numbers.
+    inside = " AND ".join(f"(2 * cx{j} - 2 * cx{i}) * (2 * y + 1 - 2 * cy{i}) - (2 * cy{j} - 2 * cy{i}) * (2 * x + 1 - 2 * cx{i}) >= 0" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)))
+    return px.selectExpr("image_id", "y", "x", f"CASE WHEN {inside} THEN 200 ELSE 60 END + (x * 7 + y * 13 + grain) % 9 AS l").selectExpr("image_id", "y", "x", "CAST(l AS INT) AS l")
+
+
 def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a page of 64 characters a line; what isn't white space is ink. Null and empty texts are pages without pixels."""
     pages = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("i", "c"))
