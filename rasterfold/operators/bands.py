@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterfold.operators.lines import to_lines
@@ -18,25 +18,26 @@ from rasterfold.operators.lines import to_lines
 BAND = 64
 
 
-def over_bands(px: DataFrame, columns: list[str], above: int, below: int, work: Callable[[dict[str, np.ndarray], int, int], dict[str, object]], returns: str, band: int = BAND) -> DataFrame:
+def over_bands(px: DataFrame, columns: list[str], above: int | Column, below: int | Column, work: Callable[[dict[str, np.ndarray], int, int, int], dict[str, object]], returns: str, band: int = BAND) -> DataFrame:
     """image_id and what work makes of each band of lines, with above and below lines around it where the image has them.
 
-    work gets an array (lines, places) of each column, the number of its first line and the first
-    line of the band, whose lines are those from there up to band lines on; it returns columns.
-    Lines that are shorter than others of a band are filled up with their last value.
+    above and below may be expressions over height, the number of lines of each image. work gets an
+    array (lines, places) of each column, the number of its first line, the first line of the band,
+    whose lines are those from there up to band lines on, and the image's height; it returns
+    columns. Lines that are shorter than others of a band are filled up with their last value.
     """
     lines = to_lines(px, *columns)
+    lines = lines.join(lines.groupBy("image_id").agg((F.max("y") + 1).alias("height")), "image_id")
     place = lambda e: F.floor(e / band).cast("int")
-    dealt = lines.withColumn("_band", F.explode(F.sequence(F.greatest(F.lit(0), place(F.col("y") - below)), place(F.col("y") + above))))
+    last = F.least(place(F.col("height") - 1), place(F.col("y") + above))
+    dealt = lines.withColumn("_band", F.explode(F.sequence(F.greatest(F.lit(0), place(F.col("y") - below)), last)))
 
     def worked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("y", ignore_index=True)
         first = int(key[1]) * band
-        if int(rows["y"].iloc[-1]) < first:  # only the margin above a band that isn't there
-            return pd.DataFrame({c.split()[0]: [] for c in f"image_id x, {returns}".split(", ")})
         width = rows[columns[0]].map(len).max()
         planes = {c: np.stack([np.pad(np.asarray(v, np.float64), (0, width - len(v)), "edge") for v in rows[c]]) for c in columns}
-        return pd.DataFrame({"image_id": key[0], **work(planes, int(rows["y"].iloc[0]), first)})
+        return pd.DataFrame({"image_id": key[0], **work(planes, int(rows["y"].iloc[0]), first, int(rows["height"].iloc[0]))})
 
     kind = px.schema["image_id"].dataType.simpleString()
     return dealt.groupBy("image_id", "_band").applyInPandas(worked, f"image_id {kind}, {returns}")

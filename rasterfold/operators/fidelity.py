@@ -21,7 +21,7 @@ GAUSS /= GAUSS.sum()
 def similarity(px: DataFrame, a: str = "l", b: str = "l2", band: int = BAND) -> DataFrame:
     """image_id, ssim, structure, windows: means over the windows that lie inside the image (none: no row)."""
 
-    def summed(planes: dict[str, np.ndarray], top: int, first: int) -> dict[str, object]:
+    def summed(planes: dict[str, np.ndarray], top: int, first: int, height: int) -> dict[str, object]:
         x, y = planes[a][first - top :], planes[b][first - top :]
         if x.shape[0] < WINDOW or x.shape[1] < WINDOW:
             return {"ssim": [], "structure": [], "windows": []}

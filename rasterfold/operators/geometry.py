@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterfold.functions.kernels import SAMPLERS, axis_taps
-from rasterfold.operators.pixels import sized
+from rasterfold.operators.pixels import sized, with_own
 
 #: Target lines that are made in one group; a group gets the source lines that these need.
 BAND = 64
@@ -120,23 +120,25 @@ def _weights(source: int, target: int, sampler: str) -> np.ndarray:
     return out
 
 
-def resize(px: DataFrame, width: int, height: int, sampler: str = "bicubic", channels: tuple[str, ...] = ("l",), alpha: str | None = None, linear: bool = False) -> DataFrame:
+def resize(px: DataFrame, width: int | Column, height: int | Column, sampler: str = "bicubic", channels: tuple[str, ...] = ("l",), alpha: str | None = None, linear: bool = False) -> DataFrame:
     """image_id, y, x and bytes of each channel, resampled to width x height from images of any size.
 
-    With alpha (one of the channels) the others are weighed by it, so that transparent colours
+    width and height may be expressions over the columns width and height that each image has, so
+    that every image gets a size of its own. With alpha (one of the channels) the others are weighed by it, so that transparent colours
     don't bleed; linear resamples light instead of sRGB values (not alpha). Pixels are dealt to
     bands of target lines, each with the source lines that its taps reach, so no task holds more
     than a band of an image; within a band two matrix products do the work.
     """
     radius, _ = SAMPLERS[sampler]
-    source = sized(px.select("image_id", "y", "x", *channels))
-    scale = F.greatest(F.lit(1.0), F.col("height") / height)
+    wanted = [(F.lit(n) if isinstance(n, int) else n).cast("int").alias(name) for n, name in ((width, "_w"), (height, "_h"))]
+    source = sized(px.select("image_id", "y", "x", *channels)).select("*", *wanted)
+    scale = F.greatest(F.lit(1.0), F.col("height") / F.col("_h"))
     margin = scale * radius + 1
-    band = lambda e: F.greatest(F.lit(0), F.least(F.lit((height - 1) // BAND), F.floor(((e + 0.5) * height / F.col("height") - 0.5) / BAND).cast("int")))
+    band = lambda e: F.greatest(F.lit(0), F.least(F.floor((F.col("_h") - 1) / BAND).cast("int"), F.floor(((e + 0.5) * F.col("_h") / F.col("height") - 0.5) / BAND).cast("int")))
     dealt = source.withColumn("_band", F.explode(F.sequence(band(F.col("y") - margin), band(F.col("y") + margin))))
 
     def resampled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(rows["width"].iloc[0]), int(rows["height"].iloc[0])
+        w, h, width, height = (int(rows[c].iloc[0]) for c in ("width", "height", "_w", "_h"))
         top, first = int(rows["y"].min()), int(key[1]) * BAND
         lines = np.zeros((len(channels), int(rows["y"].max()) - top + 1, w))
         lines[:, rows["y"].to_numpy() - top, rows["x"].to_numpy()] = rows[list(channels)].to_numpy(np.float64).T
@@ -163,3 +165,22 @@ def resize(px: DataFrame, width: int, height: int, sampler: str = "bicubic", cha
 
     kind = px.schema["image_id"].dataType.simpleString()
     return dealt.groupBy("image_id", "_band").applyInPandas(resampled, f"image_id {kind}, y int, x int, " + ", ".join(f"{c} int" for c in channels))
+
+
+def resize_by_mode(px: DataFrame, mode: str, width: int, height: int, sampler: str = "bicubic", channels: tuple[str, ...] = ("l",), fill: dict[str, int] | None = None, anchor: str = "center", alpha: str | None = None, linear: bool = False) -> DataFrame:
+    """Each image resized as mode says (see fitted), from its own size: stretched, fitted, covering and cut, or on a canvas.
+
+    Where the canvas is larger than the resized image, it has the colour fill (channel: value; 0).
+    """
+    plan = fitted(mode, width, height, anchor=anchor)
+    small = resize(px, plan["draw_w"], plan["draw_h"], sampler, channels, alpha, linear)
+    if mode in ("stretch", "max", "min"):
+        return small
+    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    places = sizes.select("image_id", *(plan[c].alias(c) for c in ("out_w", "out_h", "draw_x", "draw_y")))
+    moved = with_own(small, places).withColumns({"y": F.col("y") + F.col("draw_y"), "x": F.col("x") + F.col("draw_x")})
+    moved = moved.where("y >= 0 and x >= 0 and y < out_h and x < out_w").select("image_id", "y", "x", *channels)
+    if mode == "crop":
+        return moved
+    fill = dict.fromkeys(channels, 0) | (fill or {})
+    return blank(px, width, height).join(moved, ["image_id", "y", "x"], "left").fillna(fill)

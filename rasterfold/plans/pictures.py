@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterfold.functions.numbers import byte, num
-from rasterfold.operators import fidelity, grids, outlines, palettes
-from rasterfold.plans.imaging import AT, Query
+from rasterfold.functions import color, kernels
+from rasterfold.functions.numbers import byte, clamp, from_unit, luma, num
+from rasterfold.operators import crops, fidelity, geometry, grids, outlines, palettes, placeholders, windows
+from rasterfold.plans.imaging import _FILTERS, AT, SIZE_SQL, Query
 from rasterfold.sources import tables
 from rasterfold.sources.tables import RGBA_SQL, SHEET_SQL
 
@@ -98,3 +99,104 @@ SELECT {AT}, {', '.join(f"max({byte('round(CASE WHEN w > 1e-12 THEN s / w ELSE l
 # Pages in photos; tests hold the corners against the ones that the photos were made with.
 add("page_corners", lambda s, d: outlines.page_corners(tables.photos(s, d)).selectExpr("image_id", "posexplode_outer(quad) AS (corner, p)").selectExpr("image_id", "corner", "round(p.x, 6) AS x", "round(p.y, 6) AS y"))
 add("page_alone", lambda s, d: outlines.page_alone(tables.photos(s, d), outlines.page_corners(tables.photos(s, d))))
+
+# Resizing by mode, from each image's own size to its own target.
+_MODES = {"stretch": (30, 12), "max": (30, 12), "min": (20, 12), "crop": (30, 12), "pad": (30, 12), "box_pad": (100, 10)}
+_SAMPLER = "triangle"
+
+
+def _fit_sql(mode: str, width: int, height: int) -> str:
+    """image_id, out and draw sizes and places of each image, from s (image_id, height, width)."""
+    fit, cover = f"least({width} / width::DOUBLE, {height} / height::DOUBLE)", f"greatest({width} / width::DOUBLE, {height} / height::DOUBLE)"
+    scaled = lambda side, ratio: f"greatest(1, CAST(floor({side} * {ratio} + 0.5e0) AS INT))"
+    ratio = {"max": fit, "min": f"least(1e0, {cover})", "crop": cover, "pad": fit, "box_pad": f"CASE WHEN width <= {width} AND height <= {height} THEN 1e0 ELSE {fit} END"}.get(mode)
+    draw = (str(width), str(height)) if mode == "stretch" else (scaled("width", f"({ratio})"), scaled("height", f"({ratio})"))
+    out = draw if mode in ("stretch", "max", "min") else (str(width), str(height))
+    return f"fit AS (SELECT *, CAST(floor((ow - dw) / 2e0) AS INT) AS dx, CAST(floor((oh - dh) / 2e0) AS INT) AS dy FROM (SELECT image_id, width AS nw, height AS nh, {out[0]} AS ow, {out[1]} AS oh, {draw[0]} AS dw, {draw[1]} AS dh FROM s))"
+
+
+def _own_taps_sql(name: str, source: str, target: str) -> str:
+    """n, g, t, s, w: weights of each target place for every pair of sizes that occurs."""
+    radius = num(kernels.SAMPLERS[_SAMPLER][0])
+    return f"""{name} AS (
+  SELECT n, g, t, s, w / sum(w) OVER (PARTITION BY n, g, t) AS w
+  FROM (SELECT n, g, t, least(n - 1, greatest(0, o)) AS s, sum({_FILTERS[_SAMPLER]}) AS w
+        FROM (SELECT *, (o - middle) / scale AS v
+              FROM (SELECT *, unnest(generate_series(CAST(ceil(middle - {radius} * scale) AS BIGINT), CAST(floor(middle + {radius} * scale) AS BIGINT))) AS o
+                    FROM (SELECT n, g, t, (t + 0.5e0) * n / g - 0.5e0 AS middle, greatest(1e0, n / g::DOUBLE) AS scale
+                          FROM (SELECT DISTINCT {source} AS n, {target} AS g, unnest(generate_series(0, {target} - 1)) AS t FROM fit))))
+        GROUP BY 1, 2, 3, 4))"""
+
+
+for _mode, (_w, _h) in _MODES.items():
+    _drawn = "small AS (SELECT p.image_id, d.t + dy AS y, c.t + dx AS x, " + ", ".join(f"{byte(f'round(sum(p.{k} * d.w * c.w), 6)')} AS {k}" for k in "rgb") + " FROM px p JOIN fit USING (image_id) JOIN dn d ON d.n = nh AND d.g = dh AND d.s = p.y JOIN ac c ON c.n = nw AND c.g = dw AND c.s = p.x GROUP BY 1, 2, 3)"
+    _select = {
+        "pad": f"SELECT k.image_id, CAST(k.v AS INT) AS y, CAST(k.u AS INT) AS x, coalesce(r, 9) AS r, coalesce(g, 0) AS g, coalesce(b, 7) AS b FROM (SELECT image_id, v, unnest(generate_series(0, {_w} - 1)) AS u FROM (SELECT image_id, unnest(generate_series(0, {_h} - 1)) AS v FROM fit)) k LEFT JOIN small q ON q.image_id = k.image_id AND q.y = k.v AND q.x = k.u",
+        "plain": "SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, r, g, b FROM small JOIN fit USING (image_id) WHERE y >= 0 AND x >= 0 AND y < oh AND x < ow",
+    }["pad" if _mode.endswith("pad") else "plain"]
+    add(
+        f"resize_mode_{_mode}",
+        lambda s, d, m=_mode, w=_w, h=_h: geometry.resize_by_mode(tables.rgba(s, d), m, w, h, _SAMPLER, ("r", "g", "b"), {"r": 9, "b": 7}),
+        f"WITH {RGBA_SQL}, {SIZE_SQL}, {_fit_sql(_mode, _w, _h)}, {_own_taps_sql('dn', 'nh', 'dh')}, {_own_taps_sql('ac', 'nw', 'dw')}, {_drawn} {_select}",
+    )
+
+# Equalisation in windows: levels by luma, colours scaled with them.
+_TILES, _CLIP = 4, 6
+_SCALED = [f"CASE WHEN l = 0 THEN {c} ELSE {byte(f'round({c} * (new / CAST(l AS DOUBLE)), 6)')} END AS {c}" for c in "rgb"]
+
+
+def _sliding(s, d):
+    px = tables.rgba(s, d).selectExpr("*", f"{luma()} AS l")
+    return px.join(windows.equalize_sliding(px.select("image_id", "y", "x", "l"), _TILES, _CLIP).drop("l"), ["image_id", "y", "x"]).selectExpr("image_id", "y", "x", *_SCALED, "a")
+
+
+add(
+    "equalize_sliding",
+    _sliding,
+    f"""WITH {RGBA_SQL}, {SIZE_SQL}, v AS (SELECT px.*, {luma()} AS l, greatest(1, height // least({_TILES}, height)) // 2 AS hy, greatest(1, width // least({_TILES}, width)) // 2 AS hx FROM px JOIN s USING (image_id)),
+h AS (SELECT p.image_id, p.y, p.x, p.l, q.l AS k, count(*) AS n FROM v p JOIN v q ON q.image_id = p.image_id AND q.y BETWEEN p.y - p.hy AND p.y + p.hy AND q.x BETWEEN p.x - p.hx AND p.x + p.hx GROUP BY 1, 2, 3, 4, 5),
+o AS (SELECT *, CAST(sum(greatest(0, n - {_CLIP})) OVER (PARTITION BY image_id, y, x) AS BIGINT) AS over FROM h),
+f AS (SELECT image_id, y, x, l, over // 256 AS each, over % 256 AS rest, sum(n) AS total, CAST(coalesce(sum(least(n, {_CLIP})) FILTER (k < l), 0) AS BIGINT) AS below, max(k) AS top, count(*) FILTER (k >= over % 256) AS beyond,
+        coalesce(max(least(n, {_CLIP})) FILTER (k = 255), 0) AS at_end, arg_max(least(n, {_CLIP}), k) AS at_top, coalesce(max(least(n, {_CLIP})) FILTER (k = over % 256 - 1), 0) AS at_rest FROM o GROUP BY 1, 2, 3, 4, 5, 6),
+m AS (SELECT *, below + l * each + least(l, rest) AS before, CASE WHEN each > 0 THEN 256 ELSE beyond + rest END AS occupied,
+        total - CASE WHEN each > 0 THEN at_end + each WHEN top >= rest THEN at_top ELSE at_rest + 1 END AS others FROM f),
+e AS (SELECT image_id, y, x, CASE WHEN occupied <= 1 OR others <= 0 THEN l ELSE CAST(least(255, floor((others / 255e0 / 2 + before) / (others / 255e0))) AS INT) END AS new FROM m)
+SELECT {AT}, {', '.join(_SCALED)}, a FROM v JOIN e USING (image_id, y, x)""",
+)
+
+# The window that matters most; tests hold it against a plain loop.
+add("smart_window", lambda s, d: crops.smart_window(tables.rgba(s, d), 24, 12, 0.7))
+add("smart_crop", lambda s, d: crops.smart_crop(tables.rgba(s, d), 16, 16))
+
+# Placeholder texts of 4 x 3 components, made, checked and made into pixels.
+_FACTORS, _MOST, _TEXT = placeholders.steps(4, 3)
+_HASHES = f"{RGBA_SQL}, {SIZE_SQL}, fac AS (SELECT image_id, {', '.join(f'{e} AS {n}' for n, e in _FACTORS.items())} FROM px JOIN s USING (image_id) GROUP BY 1), mos AS (SELECT *, {_MOST} AS most FROM fac), has AS (SELECT image_id, {_TEXT} AS hash FROM mos)"
+add("blur_hash", lambda s, d: placeholders.blur_hash(tables.rgba(s, d)), f"WITH {_HASHES} SELECT image_id, hash FROM has")
+
+#: Some of the texts spoilt: cut, with a strange digit, with another size, with a step out of range.
+_SPOILT = "CASE CAST(image_id % 6 AS INT) WHEN 1 THEN substr(hash, 1, 27) WHEN 2 THEN concat('\"', substr(hash, 2)) WHEN 3 THEN concat('9', substr(hash, 2)) WHEN 4 THEN concat(substr(hash, 1, 26), '~~') WHEN 5 THEN 'L0' ELSE hash END"
+_AT = lambda text, at, n: " + ".join(f"(strpos('{placeholders.DIGITS}', substr({text}, {at} + {k + 1}, 1)) - 1) * {83 ** (n - 1 - k)}" for k in range(n))
+add(
+    "blur_hash_valid",
+    lambda s, d: placeholders.components(placeholders.blur_hash(tables.rgba(s, d)).selectExpr("image_id", f"{_SPOILT} AS hash")).selectExpr("image_id", "valid", "coalesce(components_x, 0) AS components_x", "coalesce(components_y, 0) AS components_y"),
+    f"""WITH {_HASHES}, t AS (SELECT image_id, {_SPOILT} AS hash FROM has),
+n AS (SELECT *, ({_AT('hash', 0, 1)}) % 9 + 1 AS nx, ({_AT('hash', 0, 1)}) // 9 + 1 AS ny, list_min(list_transform(string_split(hash, ''), lambda c: strpos('{placeholders.DIGITS}', c))) > 0 AS known FROM t),
+v AS (SELECT *, known AND length(hash) >= 6 AND ny <= 9 AND length(hash) = 4 + 2 * nx * ny AND {_AT('hash', 2, 4)} <= 16777215 AND NOT list_contains(list_transform(range(1, nx * ny), lambda c: {_AT('hash', '(4 + 2 * c)', 2)} >= 6859), true) AS valid FROM n)
+SELECT image_id, valid, CASE WHEN valid THEN CAST(nx AS INT) ELSE 0 END AS components_x, CASE WHEN valid THEN CAST(ny AS INT) ELSE 0 END AS components_y FROM v""",
+)
+
+
+def _wave(c: str, k: int) -> str:
+    return f"sign(v // {19**k} % 19 - 9) * power((v // {19**k} % 19 - 9) / 9e0, 2) * most AS {c}"
+
+
+_LIGHT = lambda v: f"CASE WHEN ({v}) / 255e0 <= 0.04045e0 THEN ({v}) / 255e0 / 12.92e0 ELSE power((({v}) / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END"
+add(
+    "blur_hash_pixels",
+    lambda s, d: placeholders.from_blur_hash(placeholders.blur_hash(tables.rgba(s, d)), 20, 6),
+    f"""WITH {_HASHES}, d AS (SELECT image_id, (({_AT('hash', 1, 1)}) + 1) / 166e0 AS most, {_AT('hash', 2, 4)} AS dc, hash FROM has),
+c AS (SELECT image_id, 0 AS n, {', '.join(f"{_LIGHT(f'dc // {256**k} % 256')} AS {ch}" for ch, k in zip('rgb', (2, 1, 0), strict=True))} FROM d
+  UNION ALL SELECT image_id, n, {', '.join(_wave(ch, k) for ch, k in zip('rgb', (2, 1, 0), strict=True))} FROM (SELECT image_id, most, u.n, {_AT('hash', '(4 + 2 * u.n)', 2)} AS v FROM d, generate_series(1, 11) u(n))),
+w AS (SELECT image_id, y.v AS y, x.v AS x, {', '.join(f'round(sum({ch} * cos(pi() * x.v * (n % 4) / 20) * cos(pi() * y.v * (n // 4) / 6)), 9) AS {ch}' for ch in 'rgb')} FROM c, generate_series(0, 5) y(v), generate_series(0, 19) x(v) GROUP BY 1, 2, 3)
+SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {', '.join(f"{from_unit(color.linear_to_srgb(clamp(ch, '0e0', '1e0')))} AS {ch}" for ch in 'rgb')} FROM w""",
+)
