@@ -128,3 +128,27 @@ DIFFUSIONS = {
     "stucki": (42, ((1, 0, 8), (2, 0, 4), (-2, 1, 2), (-1, 1, 4), (0, 1, 8), (1, 1, 4), (2, 1, 2), (-2, 2, 1), (-1, 2, 2), (0, 2, 4), (1, 2, 2), (2, 2, 1))),
     "stevenson_arce": (200, ((2, 0, 32), (-3, 1, 12), (-1, 1, 26), (1, 1, 30), (3, 1, 16), (-2, 2, 12), (0, 2, 26), (2, 2, 12), (-3, 3, 5), (-1, 3, 12), (1, 3, 12), (3, 3, 5))),
 }
+
+
+#: Decay, frequency, and weights of the real and imaginary part of each complex kernel, by how many make up a disk.
+BOKEH = (
+    ((0.862325, 1.624835, 0.767583, 1.862321),),
+    ((0.886528, 5.268909, 0.411259, -0.548794), (1.960518, 1.558213, 0.513282, 4.561110)),
+    ((2.176490, 5.043495, 1.621035, -2.105439), (1.019306, 9.027613, -0.280860, -0.162882), (2.815110, 1.597273, -0.366471, 10.300301)),
+    ((4.338459, 1.553635, -5.767909, 46.164397), (3.839993, 4.693183, 9.795391, -15.227561), (2.791880, 8.178137, -3.048324, 0.302959), (1.342190, 12.328289, 0.010001, 0.244650)),
+    ((4.892608, 1.685979, -22.356787, 85.912460), (4.711870, 4.998496, 35.918936, -28.875618), (4.052795, 8.244168, -13.212253, -1.578428), (2.929212, 11.900859, 0.507991, 1.816328), (1.512961, 16.116382, 0.138051, -0.010000)),
+    ((5.143778, 2.079813, -82.326596, 111.231024), (5.612426, 6.153387, 113.878661, 58.004879), (5.982921, 9.802895, 39.479083, -162.028887), (6.505167, 11.059237, -71.286026, 95.027069), (3.869579, 14.810520, 1.405746, -3.704914), (2.201904, 19.032909, -0.152784, -0.107988)),
+)
+
+
+def bokeh(radius: int, components: int) -> list[tuple[list[complex], complex]]:
+    """Complex taps along an axis, and the number w whose product with a sum over both axes has the weighted sum as its real part.
+
+    The weights are such that all components together leave an even image as it is.
+    """
+    found = []
+    for decay, frequency, real, imaginary in BOKEH[components - 1]:
+        squares = [((i - radius) / radius) ** 2 for i in range(2 * radius + 1)]
+        found.append(([math.e ** complex(-decay * q, frequency * q) for q in squares], complex(real, -imaginary)))
+    total = sum((w * sum(taps) ** 2).real for taps, w in found)
+    return [(taps, w / total) for taps, w in found]

@@ -46,3 +46,8 @@ def over_bands(px: DataFrame, columns: list[str], above: int | Column, below: in
 def halved(px: DataFrame, *columns: str) -> DataFrame:
     """The next image of a pyramid: means of two by two pixels, of those that are there at odd ends."""
     return px.groupBy("image_id", F.expr("y div 2").cast("int").alias("y"), F.expr("x div 2").cast("int").alias("x")).agg(*(F.avg(c).alias(c) for c in columns))
+
+
+def spread_out(lines: DataFrame, *columns: str) -> DataFrame:
+    """image_id, y, x and columns of lines that have an array of each."""
+    return lines.select("image_id", "y", F.posexplode(F.arrays_zip(*columns)).alias("x", "p")).select("image_id", "y", "x", *(f"p.{c}" for c in columns))

@@ -57,6 +57,32 @@ def convolve(px: DataFrame, column: str, kernels: dict[str, list[tuple[int, int,
     return to_pixels(lines.select("image_id", "y", *sums), *kernels)
 
 
+def convolve_channels(px: DataFrame, channels: tuple[str, ...], kernels: dict[str, list[tuple[int, int, float]]], keep: bool = False) -> DataFrame:
+    """image_id, y, x and for each channel and kernel its sum (channel_kernel), as convolve has it; keep leaves the channels.
+
+    All channels of a line travel together, so more of them ask for no more shuffles.
+    """
+    dys = sorted({dy for taps in kernels.values() for dy, _, _ in taps})
+    lines = to_lines(px, *channels)
+    for c in channels:
+        lines = with_neighbours(lines, c, dys)
+    named = {f"{c}_{name}": f"transform({c}, (v, i) -> {weighted(c, taps)})" for c in channels for name, taps in kernels.items()}
+    kept = list(channels) if keep else []
+    return to_pixels(lines.select("image_id", "y", *kept, *(F.expr(e).alias(name) for name, e in named.items())), *kept, *named)
+
+
+def rank_channels(px: DataFrame, channels: tuple[str, ...], offsets: list[tuple[int, int]], rank: str) -> DataFrame:
+    """image_id, y, x and the min, max or median of each channel over offsets (dy, dx) of any shape, edges repeated."""
+    lines = to_lines(px, *channels)
+    for c in channels:
+        lines = with_neighbours(lines, c, sorted({dy for dy, _ in offsets}))
+    middle = len(offsets) // 2 + 1
+    shape = {"min": "array_min({0})", "max": "array_max({0})", "median": f"element_at(array_sort({{0}}), {middle})"}[rank]
+    around = lambda c: "array(" + ", ".join(f"element_at(_{c}_{dy + 100}, greatest(1, least(size({c}), i + 1 + ({dx}))))" for dy, dx in offsets) + ")"
+    found = (F.expr(f"transform({c}, (v, i) -> {shape.format(around(c))})").alias(c) for c in channels)
+    return to_pixels(lines.select("image_id", "y", *found), *channels)
+
+
 def separable(px: DataFrame, column: str, weights: tuple, name: str = "blur", keep: bool = False) -> DataFrame:
     """The same weights down and then across, edges repeated; keep leaves the column itself beside the result."""
     radius = len(weights) // 2

@@ -1,12 +1,14 @@
-"""Equalisation of every pixel in a window of its own."""
+"""Work in windows around every pixel: equalisation, and blurs as by a lens."""
 
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterfold.operators.bands import BAND, over_bands
+from rasterfold.functions import kernels
+from rasterfold.operators.bands import BAND, over_bands, spread_out
 
 
 def ranked(levels: np.ndarray, rows: range, half_y: int, half_x: int, clip: int | None) -> np.ndarray:
@@ -66,4 +68,33 @@ def equalize_sliding(px: DataFrame, tiles: int, clip: int | None = None, level:
         return {"y": y, level: list(levels[rows.start : rows.stop].astype(np.int32)), "new": list(new.astype(np.int32))}
 
     lines = over_bands(px, [level], half, half, equalized, f"y int, {level} array<int>, new array<int>", band)
-    return lines.select("image_id", "y", F.posexplode(F.arrays_zip(level, "new")).alias("x", "p")).select("image_id", "y", "x", f"p.{level}", "p.new")
+    return spread_out(lines, level, "new")
+
+
+def bokeh_blur(px: DataFrame, radius: int, components: int = 2, gamma: float = 3.0, channels: tuple[str, ...] = ("r", "g", "b"), alpha: str | None = None, band: int = BAND) -> DataFrame:
+    """image_id, y, x and channels, blurred as by a lens: a disk of that radius, made of one to six complex kernels.
+
+    Channels are blurred as powers of gamma, so that lights stay bright, alpha as it is; edges are
+    repeated. Each kernel runs along lines and then across them, so the cost of a pixel grows with
+    the radius, not with the disk.
+    """
+    named = [*channels, *([alpha] if alpha else [])]
+    kernel = [(np.array(taps), weight) for taps, weight in kernels.bokeh(radius, components)]
+
+    def blurred(planes: dict[str, np.ndarray], top: int, first: int, height: int) -> dict[str, object]:
+        y = np.arange(first, min(first + band, top + len(planes[named[0]])))
+        around = np.clip(y[:, None] + np.arange(-radius, radius + 1), 0, height - 1) - top
+        out: dict[str, object] = {"y": y.astype(np.int32)}
+        for c in named:
+            power = 1.0 if c == alpha else gamma
+            light = np.pad((planes[c] / 255) ** power, ((0, 0), (radius, radius)), "edge")
+            total = np.zeros((len(y), planes[c].shape[1]))
+            for taps, weight in kernel:
+                across = sliding_window_view(light, 2 * radius + 1, 1) @ taps
+                total += (weight * np.einsum("ykx,k->yx", across[around], taps)).real
+            level = np.clip(total, 0, 1) ** (1 / power) * 255
+            out[c] = list(np.clip(np.floor(np.round(level, 5) + 0.5), 0, 255).astype(np.int32))
+        return out
+
+    lines = over_bands(px, named, radius, radius, blurred, "y int, " + ", ".join(f"{c} array<int>" for c in named), band)
+    return spread_out(lines, *named)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from rasterfold.functions import color, kernels
 from rasterfold.functions.numbers import byte, clamp, from_unit, luma, num
-from rasterfold.operators import crops, fidelity, geometry, grids, outlines, palettes, placeholders, windows
-from rasterfold.plans.imaging import _FILTERS, AT, SIZE_SQL, Query
+from rasterfold.operators import crops, fidelity, gather, geometry, grids, lines, outlines, palettes, placeholders, windows
+from rasterfold.plans.imaging import _FILTERS, AT, SIZE_SQL, Query, _gather
 from rasterfold.sources import tables
 from rasterfold.sources.tables import RGBA_SQL, SHEET_SQL
 
@@ -200,3 +200,50 @@ c AS (SELECT image_id, 0 AS n, {', '.join(f"{_LIGHT(f'dc // {256**k} % 256')} AS
 w AS (SELECT image_id, y.v AS y, x.v AS x, {', '.join(f'round(sum({ch} * cos(pi() * x.v * (n % 4) / 20) * cos(pi() * y.v * (n // 4) / 6)), 9) AS {ch}' for ch in 'rgb')} FROM c, generate_series(0, 5) y(v), generate_series(0, 19) x(v) GROUP BY 1, 2, 3)
 SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {', '.join(f"{from_unit(color.linear_to_srgb(clamp(ch, '0e0', '1e0')))} AS {ch}" for ch in 'rgb')} FROM w""",
 )
+
+# Neighbourhoods of all channels.
+_BY_CHANNEL = ", ".join(f"c_{c} AS (SELECT image_id, y, x, {c} AS l FROM px)" for c in "rgb")
+
+
+def _channels(name: str, kernel_list: dict[str, list], expr: str) -> None:
+    """A query of convolutions; expr has {k} for the sums by name and {c} for the channel."""
+    shown = {c: byte(f"round({expr.format(c=c, **{k: f'{c}_{k}' for k in kernel_list})}, 5)") for c in "rgb"}
+    sums = ", ".join(f"s_{c}_{k} AS ({_gather(taps, f'c_{c}')})" for c in "rgb" for k, taps in kernel_list.items())
+    joins = " ".join(f"JOIN (SELECT image_id, y, x, v AS {c}_{k} FROM s_{c}_{k}) USING (image_id, y, x)" for c in "rgb" for k in kernel_list)
+    add(
+        name,
+        lambda s, d: lines.convolve_channels(tables.rgba(s, d), ("r", "g", "b"), kernel_list, keep=True).selectExpr("image_id", "y", "x", *(f"{e} AS {c}" for c, e in shown.items())),
+        f"WITH {RGBA_SQL}, {_BY_CHANNEL}, {sums} SELECT {AT}, {', '.join(f'{e} AS {c}' for c, e in shown.items())} FROM px {joins}",
+    )
+
+
+def _square(weights: tuple) -> list[tuple[int, int, float]]:
+    r = len(weights) // 2
+    return [(i - r, j - r, a * b) for i, a in enumerate(weights) for j, b in enumerate(weights)]
+
+
+for _edge in ("sobel", "prewitt", "scharr"):
+    if _edge in kernels.EDGES_PAIR:
+        _channels(f"edges_{_edge}_rgb", {k: kernels.taps(g) for k, g in zip("xy", kernels.EDGES_PAIR[_edge], strict=True)}, "sqrt({x} * {x} + {y} * {y})")
+for _edge, _kernel in kernels.EDGES_SINGLE.items():
+    _channels(f"edges_{_edge}_rgb", {"k": kernels.taps(_kernel)}, "{k}")
+_channels("blur_box_rgb", {"v": _square(kernels.box(2))}, "{v}")
+_channels("blur_gaussian_rgb", {"v": _square(kernels.gaussian(1.0))}, "{v}")
+_channels("sharpen_gaussian_rgb", {"v": _square(kernels.gaussian(1.0))}, "2 * {c} - {v}")
+
+_SHAPES = {"median_rgb": ("median", [(a, b) for a in range(-2, 3) for b in range(-2, 3)]), "erode_disk_rgb": ("min", gather.disk(2)), "dilate_cross_rgb": ("max", [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)])}
+for _name, (_rank, _offsets) in _SHAPES.items():
+    _pick = {"min": "min(q.l)", "max": "max(q.l)", "median": f"list_sort(list(q.l))[{len(_offsets) // 2 + 1}]"}[_rank]
+    _sums = ", ".join(f"s_{c} AS ({_gather([(a, b, 1.0) for a, b in _offsets], f'c_{c}').replace('sum(q.l * t.c) AS v', f'{_pick} AS {c}')})" for c in "rgb")
+    add(_name, lambda s, d, o=_offsets, k=_rank: lines.rank_channels(tables.rgba(s, d), ("r", "g", "b"), o, k), f"WITH {RGBA_SQL}, {_BY_CHANNEL}, {_sums} SELECT {AT}, r, g, b FROM s_r JOIN s_g USING (image_id, y, x) JOIN s_b USING (image_id, y, x)")
+
+# A lens's blur: Spark runs complex kernels along both axes, the SQL sums over the whole disk's weights.
+_RADIUS, _GAMMA = 2, 3.0
+_DISK = [(i - _RADIUS, j - _RADIUS, sum((w * t[i] * t[j]).real for t, w in kernels.bokeh(_RADIUS, 3))) for i in range(2 * _RADIUS + 1) for j in range(2 * _RADIUS + 1)]
+_POWERS = ", ".join(f"p_{c} AS (SELECT image_id, y, x, power({c} / 255e0, {num(_GAMMA if c != 'a' else 1.0)}) AS l FROM px)" for c in "rgba")
+_LENS = {c: byte(f"round(power(least(1e0, greatest(0e0, l_{c})), {num(1 / _GAMMA if c != 'a' else 1.0)}) * 255, 5)") for c in "rgba"}
+add(
+    "bokeh_blur",
+    lambda s, d: windows.bokeh_blur(tables.rgba(s, d), _RADIUS, 3, _GAMMA, ("r", "g", "b"), "a"),
+    f"WITH {RGBA_SQL}, {_POWERS}, {', '.join(f'b_{c} AS ({_gather(_DISK, f'p_{c}')})' for c in 'rgba')} SELECT {AT}, {', '.join(f'{e} AS {c}' for c, e in _LENS.items())} FROM " + " JOIN ".join(f"(SELECT image_id, y, x, v AS l_{c} FROM b_{c})" + (" USING (image_id, y, x)" if c != "r" else "") for c in "rgba"),
+)

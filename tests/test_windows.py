@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterfold.operators import crops, geometry, placeholders, windows
+from rasterfold.functions import kernels
+from rasterfold.operators import crops, geometry, lines, placeholders, windows
 
 
 def planes(spark, sizes, names, seed=3, most=256):
@@ -100,3 +101,28 @@ def test_known_text_gives_known_pixels(spark):
     text = "L" + "0" + "".join(placeholders.DIGITS[(0x808080) // 83**k % 83] for k in (3, 2, 1, 0)) + "fQ" * 11
     got = placeholders.from_blur_hash(spark.createDataFrame([(1, text)], "image_id long, hash string"), 4, 3).collect()
     assert {(r["r"], r["g"], r["b"]) for r in got} == {(128, 128, 128)}
+
+
+@pytest.mark.parametrize(("radius", "components", "band"), [(2, 1, 64), (4, 2, 3), (3, 6, 5)])
+def test_lens_blur_against_whole_kernels(spark, radius, components, band):
+    px, arrays = planes(spark, ((11, 8), (1, 3)), ["l", "a"], seed=7)
+    got = {(r["image_id"], r["y"], r["x"]): (r["l"], r["a"]) for r in windows.bokeh_blur(px, radius, components, 2.0, ("l",), "a", band).collect()}
+    whole = sum((w * np.outer(t, t)).real for t, w in kernels.bokeh(radius, components))
+    assert whole.sum() == pytest.approx(1)
+    for i, (p, q) in enumerate(arrays):
+        for c, (plane, power) in enumerate(((p, 2.0), (q, 1.0))):
+            wide = np.pad((plane / 255) ** power, radius, "edge")
+            for y, x in itertools.product(*map(range, plane.shape)):
+                v = np.clip((wide[y : y + 2 * radius + 1, x : x + 2 * radius + 1] * whole).sum(), 0, 1) ** (1 / power) * 255
+                assert got[i, y, x][c] == math.floor(round(v, 5) + 0.5)
+
+
+def test_channels_as_one_by_one(spark):
+    px, _ = planes(spark, ((7, 9), (2, 3)), list("rgb"), seed=11)
+    taps = kernels.taps(((1, 2, 1), (0, 3, 0), (2, 1, 2)))
+    both = {(r["image_id"], r["y"], r["x"]): r for r in lines.convolve_channels(px, ("r", "g", "b"), {"k": taps}, keep=True).collect()}
+    ranked = {(r["image_id"], r["y"], r["x"]): r for r in lines.rank_channels(px, ("r", "b"), [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], "median").collect()}
+    for c in "rgb":
+        assert {(r["image_id"], r["y"], r["x"]): r["k"] for r in lines.convolve(px, c, {"k": taps}).collect()} == {k: r[f"{c}_k"] for k, r in both.items()}
+    for c in "rb":
+        assert {(r["image_id"], r["y"], r["x"]): r["v"] for r in lines.rank_filter(px, c, 1, "median").collect()} == {k: r[c] for k, r in ranked.items()}
