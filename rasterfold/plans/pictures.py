@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from rasterfold.functions import color, kernels
 from rasterfold.functions.numbers import byte, clamp, from_unit, luma, num
-from rasterfold.operators import crops, fidelity, gather, geometry, grids, lines, outlines, palettes, placeholders, windows
+from rasterfold.operators import crops, fidelity, gather, geometry, grids, lines, outlines, palettes, placeholders, upright, windows
 from rasterfold.plans.imaging import _FILTERS, AT, SIZE_SQL, Query, _gather
 from rasterfold.sources import tables
-from rasterfold.sources.tables import RGBA_SQL, SHEET_SQL
+from rasterfold.sources.tables import GRAY_SQL, RGBA_SQL, SHEET_SQL
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -247,3 +247,41 @@ add(
     lambda s, d: windows.bokeh_blur(tables.rgba(s, d), _RADIUS, 3, _GAMMA, ("r", "g", "b"), "a"),
     f"WITH {RGBA_SQL}, {_POWERS}, {', '.join(f'b_{c} AS ({_gather(_DISK, f'p_{c}')})' for c in 'rgba')} SELECT {AT}, {', '.join(f'{e} AS {c}' for c, e in _LENS.items())} FROM " + " JOIN ".join(f"(SELECT image_id, y, x, v AS l_{c} FROM b_{c})" + (" USING (image_id, y, x)" if c != "r" else "") for c in "rgba"),
 )
+
+# Which way up pages are, by sparse ink (levels under 40).
+_INK = 40
+
+
+def _sparse(s, d):
+    return tables.gray(s, d).selectExpr("image_id", "y", "x", f"CASE WHEN l < {_INK} THEN 1 ELSE 0 END AS ink")
+
+
+def _cues_sql(k: str, source: str) -> str:
+    """lineness, asymmetry and lines of pages in source, as c{k}."""
+    spread = lambda side: f"coalesce((SELECT avg(abs(q.v - CAST(list_sort({side}s)[len({side}s) // 2 + 1] AS DOUBLE))) FROM (SELECT unnest({side}s) AS v) q WHERE len({side}s) > 1), 0e0)"
+    return f"""r{k} AS (SELECT image_id, y, sum(ink) AS n, min(x) FILTER (ink = 1) AS l, max(x) FILTER (ink = 1) AS r FROM {source} GROUP BY 1, 2),
+e{k} AS (SELECT image_id, sum(n * n) AS energy, coalesce(sum(d * d), 0) AS changes FROM (SELECT *, n - lag(n) OVER (PARTITION BY image_id ORDER BY y) AS d FROM r{k}) GROUP BY 1),
+i{k} AS (SELECT *, sum(s) OVER (PARTITION BY image_id ORDER BY y) AS line FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY image_id ORDER BY y) <= {upright.GAP + 1} THEN 0 ELSE 1 END AS s FROM r{k} WHERE n > 0)),
+m{k} AS (SELECT *, n >= max(n) OVER (PARTITION BY image_id, line) * 0.5e0 AS core FROM i{k}),
+f{k} AS (SELECT *, min(y) FILTER (core) OVER (PARTITION BY image_id, line) AS a, max(y) FILTER (core) OVER (PARTITION BY image_id, line) AS b FROM m{k}),
+l{k} AS (SELECT image_id, line, coalesce(sum(n) FILTER (y < a), 0) AS above, coalesce(sum(n) FILTER (y > b), 0) AS below, min(l) AS l, max(r) AS r FROM f{k} GROUP BY 1, 2 HAVING max(y) - min(y) + 1 >= {upright.ROWS}),
+p{k} AS (SELECT image_id, count(*) AS lines, sum(above) AS above, sum(below) AS below, list(l) AS lefts, list(r) AS rights FROM l{k} GROUP BY 1),
+q{k} AS (SELECT image_id, lines, CAST(above AS DOUBLE) AS above, CAST(below AS DOUBLE) AS below, {spread('left')} AS sl, {spread('right')} AS sr FROM p{k}),
+c{k} AS (SELECT e{k}.image_id, CASE WHEN energy > 0 THEN changes / CAST(energy AS DOUBLE) ELSE 0e0 END AS t{k}, coalesce(lines, 0) AS n{k},
+  coalesce(0.6e0 * (CASE WHEN above + below > 1e-9 THEN (above - below) / (above + below) ELSE 0e0 END) + 0.4e0 * (CASE WHEN sr + sl > 1e-9 THEN (sr - sl) / (sr + sl) ELSE 0e0 END), 0e0) AS a{k} FROM e{k} LEFT JOIN q{k} USING (image_id))"""
+
+
+add(
+    "page_orientation",
+    lambda s, d: upright.orientation(_sparse(s, d)).selectExpr("image_id", "degrees", "round(confidence, 6) AS confidence"),
+    f"""WITH {GRAY_SQL}, page AS (SELECT image_id, y, x, CASE WHEN l < {_INK} THEN 1 ELSE 0 END AS ink FROM gray),
+size AS (SELECT image_id, max(y) + 1 AS height, sum(ink) AS ink, count(*) AS n, greatest({upright.RULE}, least(max(x) + 1, max(y) + 1) // {upright.RULE_SHARE}) AS shortest FROM page GROUP BY 1),
+ha AS (SELECT *, count(*) OVER (PARTITION BY image_id, y, g) AS len FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM page WHERE ink = 1)),
+va AS (SELECT *, count(*) OVER (PARTITION BY image_id, x, g) AS len FROM (SELECT *, y - row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS g FROM page WHERE ink = 1)),
+rules AS (SELECT DISTINCT image_id, y, x FROM (SELECT * FROM ha UNION ALL SELECT * FROM va) JOIN size USING (image_id) WHERE len >= shortest),
+txt AS (SELECT p.image_id, p.y, p.x, CASE WHEN r.image_id IS NOT NULL THEN 0 ELSE p.ink END AS ink FROM page p LEFT JOIN rules r ON r.image_id = p.image_id AND r.y = p.y AND r.x = p.x),
+trn AS (SELECT image_id, x AS y, height - 1 - y AS x, txt.ink FROM txt JOIN size USING (image_id)), {_cues_sql('0', 'txt')}, {_cues_sql('1', 'trn')},
+v AS (SELECT image_id, ink, n, t0 >= t1 AS flat, CASE WHEN t0 >= t1 THEN a0 ELSE a1 END AS a, CASE WHEN t0 >= t1 THEN n0 ELSE n1 END AS k, CASE WHEN greatest(t0, t1) > 0 THEN (greatest(t0, t1) - least(t0, t1)) / (t0 + t1) ELSE 0e0 END AS c FROM size JOIN c0 USING (image_id) JOIN c1 USING (image_id))
+SELECT image_id, CAST(CASE WHEN ink < {upright.INK} OR ink * 2 > n THEN 0 WHEN flat THEN CASE WHEN a >= 0 THEN 0 ELSE 180 END WHEN a >= 0 THEN 90 ELSE 270 END AS INT) AS degrees,
+  CASE WHEN ink < {upright.INK} OR ink * 2 > n THEN 0e0 ELSE round(greatest(0e0, least(1e0, least(1e0, abs(a) * 1.5e0) * (0.4e0 + 0.6e0 * least(1e0, c * 2)) * (CASE WHEN k < 3 THEN 0.3e0 ELSE 1e0 END))), 6) END AS confidence FROM v""",
+)
