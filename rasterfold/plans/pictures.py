@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rasterfold.functions import color, kernels
 from rasterfold.functions.numbers import byte, clamp, from_unit, luma, num
-from rasterfold.operators import crops, fidelity, gather, geometry, grids, lines, outlines, palettes, placeholders, upright, windows
+from rasterfold.operators import crops, fidelity, gather, geometry, grids, layout, lines, outlines, palettes, placeholders, upright, windows
 from rasterfold.plans.imaging import _FILTERS, AT, SIZE_SQL, Query, _gather
 from rasterfold.sources import tables
 from rasterfold.sources.tables import GRAY_SQL, RGBA_SQL, SHEET_SQL
@@ -271,17 +271,35 @@ c{k} AS (SELECT e{k}.image_id, CASE WHEN energy > 0 THEN changes / CAST(energy A
   coalesce(0.6e0 * (CASE WHEN above + below > 1e-9 THEN (above - below) / (above + below) ELSE 0e0 END) + 0.4e0 * (CASE WHEN sr + sl > 1e-9 THEN (sr - sl) / (sr + sl) ELSE 0e0 END), 0e0) AS a{k} FROM e{k} LEFT JOIN q{k} USING (image_id))"""
 
 
-add(
-    "page_orientation",
-    lambda s, d: upright.orientation(_sparse(s, d)).selectExpr("image_id", "degrees", "round(confidence, 6) AS confidence"),
-    f"""WITH {GRAY_SQL}, page AS (SELECT image_id, y, x, CASE WHEN l < {_INK} THEN 1 ELSE 0 END AS ink FROM gray),
+_TEXT_SQL = f"""{GRAY_SQL}, page AS (SELECT image_id, y, x, CASE WHEN l < {_INK} THEN 1 ELSE 0 END AS ink FROM gray),
 size AS (SELECT image_id, max(y) + 1 AS height, sum(ink) AS ink, count(*) AS n, greatest({upright.RULE}, least(max(x) + 1, max(y) + 1) // {upright.RULE_SHARE}) AS shortest FROM page GROUP BY 1),
 ha AS (SELECT *, count(*) OVER (PARTITION BY image_id, y, g) AS len FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM page WHERE ink = 1)),
 va AS (SELECT *, count(*) OVER (PARTITION BY image_id, x, g) AS len FROM (SELECT *, y - row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS g FROM page WHERE ink = 1)),
 rules AS (SELECT DISTINCT image_id, y, x FROM (SELECT * FROM ha UNION ALL SELECT * FROM va) JOIN size USING (image_id) WHERE len >= shortest),
-txt AS (SELECT p.image_id, p.y, p.x, CASE WHEN r.image_id IS NOT NULL THEN 0 ELSE p.ink END AS ink FROM page p LEFT JOIN rules r ON r.image_id = p.image_id AND r.y = p.y AND r.x = p.x),
+txt AS (SELECT p.image_id, p.y, p.x, CASE WHEN r.image_id IS NOT NULL THEN 0 ELSE p.ink END AS ink FROM page p LEFT JOIN rules r ON r.image_id = p.image_id AND r.y = p.y AND r.x = p.x)"""
+add(
+    "page_orientation",
+    lambda s, d: upright.orientation(_sparse(s, d)).selectExpr("image_id", "degrees", "round(confidence, 6) AS confidence"),
+    f"""WITH {_TEXT_SQL},
 trn AS (SELECT image_id, x AS y, height - 1 - y AS x, txt.ink FROM txt JOIN size USING (image_id)), {_cues_sql('0', 'txt')}, {_cues_sql('1', 'trn')},
 v AS (SELECT image_id, ink, n, t0 >= t1 AS flat, CASE WHEN t0 >= t1 THEN a0 ELSE a1 END AS a, CASE WHEN t0 >= t1 THEN n0 ELSE n1 END AS k, CASE WHEN greatest(t0, t1) > 0 THEN (greatest(t0, t1) - least(t0, t1)) / (t0 + t1) ELSE 0e0 END AS c FROM size JOIN c0 USING (image_id) JOIN c1 USING (image_id))
 SELECT image_id, CAST(CASE WHEN ink < {upright.INK} OR ink * 2 > n THEN 0 WHEN flat THEN CASE WHEN a >= 0 THEN 0 ELSE 180 END WHEN a >= 0 THEN 90 ELSE 270 END AS INT) AS degrees,
   CASE WHEN ink < {upright.INK} OR ink * 2 > n THEN 0e0 ELSE round(greatest(0e0, least(1e0, least(1e0, abs(a) * 1.5e0) * (0.4e0 + 0.6e0 * least(1e0, c * 2)) * (CASE WHEN k < 3 THEN 0.3e0 ELSE 1e0 END))), 6) END AS confidence FROM v""",
 )
+
+# Words: the SQL merges runs one after the other in a recursive table.
+add("page_words", lambda s, d: layout.words(_sparse(s, d)), f"""WITH RECURSIVE {_TEXT_SQL},
+ro AS (SELECT image_id, g, min(y) AS a, max(y) AS b FROM (SELECT image_id, y, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS g FROM (SELECT DISTINCT image_id, y FROM txt WHERE ink = 1)) GROUP BY 1, 2),
+ru AS (SELECT image_id, a, b, row_number() OVER (PARTITION BY image_id ORDER BY a) AS k FROM ro),
+mi AS (SELECT image_id, list_sort(list(b - a + 1))[count(*) // 2 + 1] AS middle FROM ru GROUP BY 1),
+fo AS (
+  SELECT image_id, k, a, b, 1 AS part FROM ru WHERE k = 1
+  UNION ALL
+  SELECT n.image_id, n.k, CASE WHEN j THEN f.a ELSE n.a END, n.b, CASE WHEN j THEN f.part ELSE f.part + 1 END
+  FROM fo f JOIN ru n ON n.image_id = f.image_id AND n.k = f.k + 1 JOIN mi ON mi.image_id = f.image_id,
+    LATERAL (SELECT ((n.b - n.a + 1) * 2 < middle OR (f.b - f.a + 1) * 2 < middle) AND n.a - f.b - 1 <= greatest(1, middle // 3) AS j)),
+li AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY a) AS line, a, b FROM (SELECT image_id, part, min(a) AS a, max(b) AS b FROM fo GROUP BY 1, 2) WHERE b - a + 1 >= {layout.LOWEST}),
+co AS (SELECT t.image_id, line, greatest({layout.WORD_GAP}, CAST(round_even((b - a + 1) * {num(layout.GAP_SHARE)}, 0) AS INT)) AS gap, t.x, min(t.y) AS y0, max(t.y) AS y1 FROM txt t JOIN li ON li.image_id = t.image_id AND t.y BETWEEN a AND b WHERE t.ink = 1 GROUP BY 1, 2, 3, 4),
+st AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY image_id, line ORDER BY x) - 1 < gap THEN 0 ELSE 1 END AS s FROM co),
+wo AS (SELECT *, sum(s) OVER (PARTITION BY image_id, line ORDER BY x) AS word FROM st)
+SELECT image_id, CAST(line AS INT) AS line, CAST(word AS INT) AS word, min(x) AS "left", min(y0) AS top, max(x) + 1 AS "right", max(y1) + 1 AS bottom FROM wo GROUP BY 1, 2, 3""")
