@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rasterfold.functions import color, kernels
 from rasterfold.functions.numbers import byte, clamp, from_unit, luma, num
-from rasterfold.operators import crops, fidelity, gather, geometry, grids, layout, lines, outlines, palettes, placeholders, upright, windows
+from rasterfold.operators import crops, fidelity, gather, geometry, grids, layout, lines, outlines, palettes, placeholders, thumbs, upright, windows
 from rasterfold.plans.imaging import _FILTERS, AT, SIZE_SQL, Query, _gather
 from rasterfold.sources import tables
 from rasterfold.sources.tables import GRAY_SQL, RGBA_SQL, SHEET_SQL
@@ -303,3 +303,42 @@ co AS (SELECT t.image_id, line, greatest({layout.WORD_GAP}, CAST(round_even((b -
 st AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY image_id, line ORDER BY x) - 1 < gap THEN 0 ELSE 1 END AS s FROM co),
 wo AS (SELECT *, sum(s) OVER (PARTITION BY image_id, line ORDER BY x) AS word FROM st)
 SELECT image_id, CAST(line AS INT) AS line, CAST(word AS INT) AS word, min(x) AS "left", min(y0) AS top, max(x) + 1 AS "right", max(y1) + 1 AS bottom FROM wo GROUP BY 1, 2, 3""")
+
+# Packed placeholders; the SQL makes the same sums and packs them with lists.
+_OVER = ", ".join(f"{e} AS {'or_' if c == 'or' else c}" for c, e in thumbs.OVER.items())
+_WAVES = {c: thumbs.waves(n) for c, n in (("l", thumbs.LIGHT), ("p", thumbs.TINTS), ("q", thumbs.TINTS), ("o", thumbs.ALPHA))}
+_whole = lambda e: f"CAST(floor(round({e}, 9) + 0.5e0) AS INT)"
+
+
+def _kept_sql(c: str) -> str:
+    rows = "[" + ", ".join(f"{{'i': {i}, 'j': {j}, 'f': {c}_{i}_{j}}}" for i, j in _WAVES[c] if i or j) + "]"
+    some = f"list_filter({rows}, lambda w: w.i * greatest(3, ly) < greatest(3, lx) * (greatest(3, ly) - w.j))" if c == "l" else rows
+    return f"list_transform({some}, lambda w: w.f) AS w{c}"
+
+
+def _halves_sql(c: str) -> str:
+    return f"list_transform(w{c}, lambda f: CASE WHEN s{c} > 0 THEN {_whole(f'15 * (0.5e0 + 0.5e0 / s{c} * f)')} ELSE {_whole('15 * f')} END)"
+
+
+_digit = lambda e: f"substr('0123456789abcdef', CAST({e} AS INT) + 1, 1)"
+_pair = lambda e: f"{_digit(f'({e}) // 16 % 16')} || {_digit(f'({e}) % 16')}"
+_THUMBS = f"""{RGBA_SQL}, tf AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height, sum(a) < 255 * count(*) AS clear, {', '.join(thumbs.MEANS)} FROM px GROUP BY 1),
+ts AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in thumbs.SHAPE.items())} FROM tf),
+tv AS (SELECT image_id, y, x, a, width, height, clear, lx, ly, {_OVER} FROM px JOIN ts USING (image_id)),
+tw AS (SELECT image_id, width, height, clear, lx, ly, {', '.join(f'{thumbs.wave(c, i, j)} AS {c}_{i}_{j}' for c, at in _WAVES.items() for i, j in at)} FROM tv GROUP BY 1, 2, 3, 4, 5, 6),
+tk AS (SELECT *, {', '.join(map(_kept_sql, _WAVES))} FROM tw),
+tx AS (SELECT *, {', '.join(f'coalesce(list_max(list_transform(w{c}, lambda f: abs(f))), 0e0) AS s{c}' for c in _WAVES)} FROM tk),
+tn AS (SELECT image_id, {_whole('63 * l_0_0')} + {_whole('31.5e0 + 31.5e0 * p_0_0')} * 64 + {_whole('31.5e0 + 31.5e0 * q_0_0')} * 4096 + {_whole('31 * sl')} * 262144 + CASE WHEN clear THEN 8388608 ELSE 0 END AS h1,
+  CASE WHEN width > height THEN ly + 32768 ELSE lx END + {_whole('63 * sp')} * 8 + {_whole('63 * sq')} * 512 AS h2,
+  CASE WHEN clear THEN [{_whole('15 * o_0_0')}, {_whole('15 * so')}] ELSE [] END || {_halves_sql('l')} || {_halves_sql('p')} || {_halves_sql('q')} || CASE WHEN clear THEN {_halves_sql('o')} ELSE [] END AS n FROM tx),
+th AS (SELECT image_id, {_pair('h1 % 256')} || {_pair('h1 // 256 % 256')} || {_pair('h1 // 65536 % 256')} || {_pair('h2 % 256')} || {_pair('h2 // 256')} || array_to_string(list_transform(range(0, (len(n) + 1) // 2), lambda k: {_digit('coalesce(n[2 * k + 2], 0)')} || {_digit('n[2 * k + 1]')}), '') AS hash FROM tn)"""
+add("thumb_hash", lambda s, d: thumbs.thumb_hash(tables.rgba(s, d)), f"WITH {_THUMBS} SELECT image_id, hash FROM th")
+_AVERAGE = {"b": "l - 2e0 / 3 * p", "r": "(3 * l - (l - 2e0 / 3 * p) + q) / 2", "g": "(3 * l - (l - 2e0 / 3 * p) + q) / 2 - q", "a": "o"}
+add(
+    "thumb_hash_mean",
+    lambda s, d: thumbs.mean_colour(thumbs.thumb_hash(tables.rgba(s, d))),
+    f"""WITH {_THUMBS}, tm AS (SELECT image_id, h1 % 64 / 63e0 AS l, h1 // 64 % 64 / 31.5e0 - 1 AS p, h1 // 4096 % 64 / 31.5e0 - 1 AS q, CASE WHEN h1 >= 8388608 THEN n[1] / 15e0 ELSE 1e0 END AS o,
+  CASE WHEN h1 >= 8388608 THEN {thumbs.LIGHT_OVER} ELSE {thumbs.LIGHT} END AS most, h2 % 8 AS given, h2 >= 32768 AS wide FROM tn)
+SELECT image_id, {', '.join(f"CAST(floor(round(greatest(0e0, least(1e0, {e})) * 255, 6) + 0.5e0) AS INT) AS {c}" for c, e in _AVERAGE.items())}, round(CASE WHEN wide THEN most / CAST(given AS DOUBLE) ELSE given / CAST(most AS DOUBLE) END, 6) AS aspect FROM tm""",
+)
+add("thumb_hash_pixels", lambda s, d: thumbs.from_thumb_hash(thumbs.thumb_hash(tables.rgba(s, d)), 16))
