@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rasterfold.functions import color, kernels
 from rasterfold.functions.numbers import byte, clamp, from_unit, luma, num
-from rasterfold.operators import crops, fidelity, gather, geometry, grids, layout, lines, outlines, palettes, placeholders, thumbs, upright, windows
+from rasterfold.operators import crops, fidelity, gather, geometry, grids, layout, lines, metadata, outlines, palettes, placeholders, thumbs, upright, windows
 from rasterfold.plans.imaging import _FILTERS, AT, SIZE_SQL, Query, _gather
 from rasterfold.sources import tables
 from rasterfold.sources.tables import GRAY_SQL, RGBA_SQL, SHEET_SQL
@@ -342,3 +342,15 @@ add(
 SELECT image_id, {', '.join(f"CAST(floor(round(greatest(0e0, least(1e0, {e})) * 255, 6) + 0.5e0) AS INT) AS {c}" for c, e in _AVERAGE.items())}, round(CASE WHEN wide THEN most / CAST(given AS DOUBLE) ELSE given / CAST(most AS DOUBLE) END, 6) AS aspect FROM tm""",
 )
 add("thumb_hash_pixels", lambda s, d: thumbs.from_thumb_hash(thumbs.thumb_hash(tables.rgba(s, d)), 16))
+
+# Tags of EXIF blocks that are made from suppliers; the SQL states what was put in.
+_TAGS = [
+    ("image", 256, 4, 1, "''", "100 + k % 500"), ("image", 271, 2, 19, "name", None), ("image", 274, 3, 1, "''", "k % 8 + 1"), ("image", 282, 5, 1, "''", "CASE WHEN k % 7 > 0 THEN (k * 10 + 1) / CAST(k % 7 AS DOUBLE) END"), ("image", 306, 2, 20, "'2024:05:06 07:08:09'", None),
+    ("image", 34665, 4, 1, "''", "146"), ("image", 34853, 4, 1, "''", "184"), ("photo", 33434, 10, 1, "''", "-k / 8e0"), ("photo", 34855, 3, 2, "''", "100 * (k % 9), s_nationkey"), ("gps", 1, 7, 2, "CASE WHEN k % 2 = 0 THEN '4e00' ELSE '4d00' END", None), ("gps", 2, 5, 3, "''", "k % 90, k % 60, k % 59 / 10e0"),
+]
+_shown_numbers = lambda v: "''" if v is None else " || ' ' || ".join(f"coalesce(printf('%.6f', CAST({e} AS DOUBLE)), '-')" for e in v.split(", "))
+add(
+    "exif_tags",
+    lambda s, d: metadata.exif_tags(tables.exif_blocks(s, d)).selectExpr("image_id", "directory", "tag", "type", "count", "coalesce(text, '') AS text", "coalesce(array_join(transform(numbers, v -> CASE WHEN v IS NULL THEN '-' ELSE printf('%.6f', v) END), ' '), '') AS numbers"),
+    "WITH t AS (SELECT *, s_suppkey AS k, rpad(s_name, 18, '.') AS name FROM supplier) " + " UNION ALL ".join(f"SELECT k AS image_id, '{directory}' AS directory, {tag} AS tag, {kind} AS type, CAST({count} AS BIGINT) AS count, {text} AS text, {_shown_numbers(numbers)} AS numbers FROM t" for directory, tag, kind, count, text, numbers in _TAGS),
+)

@@ -87,6 +87,30 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.selectExpr("image_id", "y", "x", f"CASE WHEN {inside} THEN 200 ELSE 60 END + (x * 7 + y * 13 + grain) % 9 AS l").selectExpr("image_id", "y", "x", "CAST(l AS INT) AS l")
 
 
+def _packed(value: str, n: int) -> str:
+    """SQL for n bytes of a whole number in hexadecimal, in the byte order of the row (big)."""
+    plain = f"lpad(hex(CAST({value} AS BIGINT)), {2 * n}, '0')"
+    turned = "concat(" + ", ".join(f"substr({plain}, {2 * k + 1}, 2)" for k in range(n - 1, -1, -1)) + ")"
+    return f"CASE WHEN big THEN {plain} ELSE {turned} END"
+
+
+def exif_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, exif: a block of tags for each supplier, in either byte order, with its name, key and balance as values."""
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "rpad(s_name, 18, '.') AS name", "s_nationkey AS nation", "s_suppkey % 2 = 0 AS big")
+
+    def entry(tag: int, kind: int, count: int, value: str, wide: int = 4) -> list[str]:
+        """An entry; wide 2: two short values in place of one long one."""
+        return [_packed(str(tag), 2), _packed(str(kind), 2), _packed(str(count), 4), *([_packed(value, 4)] if wide == 4 else [_packed(v, 2) for v in value.split(", ")])]
+
+    # The standard's tags; places follow from the sizes of what stands before.
+    parts = ["CASE WHEN big THEN '4D4D' ELSE '4949' END", _packed("42", 2), _packed("8", 4), _packed("7", 2)]
+    parts += entry(256, 4, 1, "100 + k % 500") + entry(271, 2, 19, "98") + entry(274, 3, 1, "k % 8 + 1, 0", 2) + entry(282, 5, 1, "118") + entry(306, 2, 20, "126") + entry(34665, 4, 1, "146") + entry(34853, 4, 1, "184") + [_packed("0", 4)]
+    parts += ["hex(encode(name, 'UTF-8'))", "'0000'", _packed("k * 10 + 1", 4), _packed("k % 7", 4), "hex(encode('2024:05:06 07:08:09', 'UTF-8'))", "'00'"]
+    parts += [_packed("2", 2), *entry(33434, 10, 1, "176"), *entry(34855, 3, 2, "100 * (k % 9), nation", 2), _packed("0", 4), _packed("(4294967296 - k) % 4294967296", 4), _packed("8", 4)]
+    parts += [_packed("2", 2), *entry(1, 7, 2, "CASE WHEN big THEN 1308622848 ELSE 77 END"), *entry(2, 5, 3, "214"), _packed("0", 4), *(_packed(v, 4) for v in ("k % 90", "1", "k % 60", "1", "k % 59", "10"))]
+    return rows.selectExpr("k AS image_id", f"unhex(concat({', '.join(parts)})) AS exif")
+
+
 def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a page of 64 characters a line; what isn't white space is ink. Null and empty texts are pages without pixels."""
     pages = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("i", "c"))
