@@ -19,20 +19,30 @@ GAUSS /= GAUSS.sum()
 
 
 def similarity(px: DataFrame, a: str = "l", b: str = "l2", band: int = BAND) -> DataFrame:
-    """image_id, ssim, structure, windows: means over the windows that lie inside the image (none: no row)."""
+    """image_id, ssim, structure, windows: means over the windows all of whose pixels are there (none: no row).
+
+    Pixels are set at their own places, so lines that end early or have gaps are not filled up.
+    """
 
     def summed(planes: dict[str, np.ndarray], top: int, first: int, height: int) -> dict[str, object]:
-        x, y = planes[a][first - top :], planes[b][first - top :]
+        u, v = (planes[c].astype(np.int64) for c in ("_u", "_v"))
+        u, v = u - u.min(), v - first
+        x, y, there = (np.zeros((int(v.max()) + 1, int(u.max()) + 1), kind) for kind in (np.float64, np.float64, bool))
+        x[v, u], y[v, u], there[v, u] = planes[a], planes[b], True
         if x.shape[0] < WINDOW or x.shape[1] < WINDOW:
             return {"ssim": [], "structure": [], "windows": []}
+        whole = sliding_window_view(sliding_window_view(there, WINDOW, 1).all(2), WINDOW, 0).all(2)[:band]
+        if not whole.any():
+            return {"ssim": [], "structure": [], "windows": []}
         signals = np.stack([x, y, x * x, y * y, x * y])
         across = sliding_window_view(signals, WINDOW, 2) @ GAUSS
         mx, my, xx, yy, xy = (sliding_window_view(across, WINDOW, 1) @ GAUSS)[:, :band]
         structure = (2 * (xy - mx * my) + C2) / (xx - mx * mx + yy - my * my + C2)
         likeness = structure * (2 * mx * my + C1) / (mx * mx + my * my + C1)
-        return {"ssim": [likeness.sum()], "structure": [structure.sum()], "windows": [structure.size]}
+        return {"ssim": [likeness[whole].sum()], "structure": [structure[whole].sum()], "windows": [int(whole.sum())]}
 
-    sums = over_bands(px, [a, b], 0, WINDOW - 1, summed, "ssim double, structure double, windows long", band)
+    placed = px.select("image_id", "y", "x", a, b, F.col("x").alias("_u"), F.col("y").alias("_v"))
+    sums = over_bands(placed, [a, b, "_u", "_v"], 0, WINDOW - 1, summed, "ssim double, structure double, windows long", band)
     n = F.sum("windows")
     return sums.groupBy("image_id").agg((F.sum("ssim") / n).alias("ssim"), (F.sum("structure") / n).alias("structure"), n.alias("windows"))
 

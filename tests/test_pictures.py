@@ -192,3 +192,18 @@ def test_grid_against_dense_arrays(spark):
             for y, x in itertools.product(range(h), range(w)):
                 s, n = (sum(k * table[(t, *at)] for at, k in corners(place(y, x))) for t in (0, 1))
                 assert got[i, y, x][c] == min(255, math.floor(round(s / n, 5) + 0.5))
+
+
+def test_similarity_of_uneven_lines(spark):
+    """The last line ends early, one line has a gap and one isn't there: only windows that are whole count."""
+    px, planes = images(spark, ((24, 30), (11, 12)), 8)
+    gone = "image_id = 0 and ((y = 23 and x >= 13) or (y = 4 and x = 20) or (y = 12 and x < 3)) or image_id = 1 and y = 10 and x = 11"
+    there = np.ones((24, 30), bool)
+    there[23, 13:] = there[4, 20] = there[12, :3] = False
+    x, y = planes[0].astype(float)
+    own = [plain_ssim(x[v : v + 11, u : u + 11], y[v : v + 11, u : u + 11]) for v in range(14) for u in range(20) if there[v : v + 11, u : u + 11].all()]
+    for band in (5, 64):
+        got = {r["image_id"]: r for r in fidelity.similarity(px.where(f"not ({gone})"), band=band).collect()}
+        assert got[0]["windows"] == len(own) and np.allclose((got[0]["ssim"], got[0]["structure"]), np.mean(own, 0))
+        assert got[1]["windows"] == 1
+    assert [r["windows"] for r in fidelity.similarity(px.where("y <> 11 and y <> 22 and image_id = 0")).collect()] == [20]
