@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -265,22 +267,72 @@ def most_pairs(sources: list, targets: list) -> int:
                     path.append(other)
 
 
+#: Rounds of taking pairs that a box has only one of, for all images of a batch at once, before augmenting paths.
+ROUNDS = 16
+
+
+def _first(keys: np.ndarray) -> np.ndarray:
+    """The place of the first of each key."""
+    return np.unique(keys, return_index=True)[1]
+
+
+def most_pairs_each(groups: np.ndarray, sources: np.ndarray, targets: np.ndarray, n: int) -> np.ndarray:
+    """most_pairs of each of n groups (numbers from 0); sources and targets are numbers not below 0.
+
+    A box with one pair only can always take it, so such pairs are taken in rounds, of all groups at
+    once; what is left after them, if anything, goes to augmenting paths group by group.
+    """
+    hits = np.zeros(n, np.int64)
+    if not len(groups):
+        return hits
+    ends = []
+    for values in (sources, targets):
+        span = int(values.max()) + 1
+        ends.append(np.unique(groups * span + values, return_inverse=True)[1])
+    keep = _first(ends[0] * (int(ends[1].max()) + 1) + ends[1])
+    groups, sides = groups[keep], [e[keep] for e in ends]
+    for turn in range(2 * ROUNDS):
+        if not len(groups):
+            return hits
+        leaf, other = sides[turn % 2], sides[1 - turn % 2]
+        alone = np.flatnonzero(np.bincount(leaf)[leaf] == 1)
+        taken = alone[_first(other[alone])]
+        np.add.at(hits, groups[taken], 1)
+        gone = np.zeros(int(other.max()) + 1, bool)
+        gone[other[taken]] = True
+        groups, *sides = (v[~gone[other]] for v in (groups, *sides))
+    order = np.argsort(groups, kind="stable")
+    groups, sides = groups[order], [v[order] for v in sides]
+    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            hits[groups[a]] += most_pairs(sides[0][a:b].tolist(), sides[1][a:b].tolist())
+    return hits
+
+
 def match_boxes(expected: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
     """img, true_positives, false_positives, false_negatives: the most pairs of boxes (img, box, x, y, w, h) that overlap enough, each box in one.
 
-    Only pairs of overlapping boxes are gathered, by image, for the matching along augmenting paths.
+    Only pairs of overlapping boxes are gathered, a row an image, and many images are matched at once.
     """
     a, b = expected.alias("a"), found.alias("b")
     meet = "a.img = b.img AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"
     inter = F.expr("(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))")
     pairs = a.join(b, F.expr(meet)).where(inter >= F.lit(threshold) * (F.expr("a.w * a.h + b.w * b.h") - inter)).select("a.img", F.col("a.box").alias("target"), F.col("b.box").alias("source"))
-
-    def matched(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"img": [rows["img"].iloc[0]], "n": [most_pairs(rows["source"].tolist(), rows["target"].tolist())]})
-
-    hits = pairs.groupBy("img").applyInPandas(matched, "img long, n long")
-    sizes = expected.groupBy("img").agg(F.count("*").alias("e")).join(found.groupBy("img").agg(F.count("*").alias("f")), "img", "full").join(hits, "img", "left")
-    e, f, n = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("e", "f", "n"))
+    gathered = pairs.groupBy("img").agg(F.collect_list("source").alias("sources"), F.collect_list("target").alias("targets"))
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("sources", "targets")]
+            groups = lists[0].value_parent_indices().to_numpy().astype(np.int64)
+            sources, targets = (v.flatten().dictionary_encode("encode").indices.to_numpy().astype(np.int64) for v in lists)
+            yield pa.RecordBatch.from_arrays([batch.column("img"), pa.array(most_pairs_each(groups, sources, targets, batch.num_rows))], ["img", "n"])
+
+    kind = expected.schema["img"].dataType.simpleString()
+    hits = gathered.mapInArrow(matched, f"img {kind}, n long")
+    counted = lambda rows, *n: rows.select("img", *(F.lit(v).cast("long").alias(c) if isinstance(v, int) else F.col(v).alias(c) for v, c in zip(n, "efn", strict=True)))
+    sizes = counted(expected, 1, 0, 0).unionAll(counted(found, 0, 1, 0)).unionAll(counted(hits, 0, 0, "n")).groupBy("img").agg(*(F.sum(c).alias(c) for c in "efn"))
+    e, f, n = (F.col(c) for c in "efn")
     return sizes.select("img", n.alias("true_positives"), (f - n).alias("false_positives"), (e - n).alias("false_negatives"))
 
 

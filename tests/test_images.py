@@ -260,6 +260,26 @@ def test_matches(spark):
     assert tuple(analytics.detection_scores(counts).first()) == (2, 1, 1, 0.666666667, 0.666666667, 0.666666667)
 
 
+def test_most_pairs_of_many_images():
+    """Chains longer than the rounds, rings, stars and repeated pairs, all images at once."""
+    draw = np.random.default_rng(12)
+    graphs = [([i // 2 for i in range(199)], [(i + 1) // 2 for i in range(199)]), ([0, 0, 1, 1], [0, 1, 0, 1]), ([], []), ([3, 3, 3], [5, 5, 6])]
+    graphs += [tuple(draw.integers(0, 12, (2, int(draw.integers(1, 40)))).tolist()) for _ in range(200)]
+    flat = [np.concatenate([np.asarray(g[k], np.int64) for g in graphs]) for k in (0, 1)]
+    got = analytics.most_pairs_each(np.repeat(np.arange(len(graphs)), [len(g[0]) for g in graphs]), *flat, len(graphs))
+    assert got.tolist() == [analytics.most_pairs(*g) for g in graphs]
+
+
+def test_matches_without_a_task_an_image(spark):
+    """Images are matched in batches, not one Python call each; the kind of an image's key is kept."""
+    box = "img string, box int, x int, y int, w int, h int"
+    expected = spark.createDataFrame([(f"i{k}", b, 20 * b, 0, 10, 10) for k in range(300) for b in range(3)], box)
+    found = spark.createDataFrame([(f"i{k}", 9, 20 * b, 1, 10, 10) for k in range(200) for b in (k % 3,)], box)
+    counts = analytics.match_boxes(expected, found)
+    assert "FlatMapGroupsInPandas" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r)[1:] for r in counts.collect()} == {(1, 0, 2), (0, 0, 3)} and counts.count() == 300
+
+
 def test_word_errors(spark):
     pairs = [("a", "the cat sat", "the bat sat on"), ("a", "", "x"), ("b", "one two", "one two"), ("c", "", "")]
     got = {tuple(r) for r in analytics.word_errors(spark.createDataFrame(pairs, "category string, ref string, hyp string")).collect()}
