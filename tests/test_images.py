@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterfold.functions import color, kernels
 from rasterfold.operators import analytics, compose, geometry, luts, pages, tensors
+from rasterfold.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -280,6 +281,16 @@ def test_matches_without_a_task_an_image(spark):
     assert {tuple(r)[1:] for r in counts.collect()} == {(1, 0, 2), (0, 0, 3)} and counts.count() == 300
 
 
+def test_scores_without_a_task_an_image(spark):
+    """The named query: scores come from matches in batches, and are those of the matches image by image."""
+    sf = "/root/testdata/sf0.001"
+    scores = catalog.queries()["detection_scores"](spark, sf)
+    assert "FlatMapGroupsInPandas" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    matches = catalog.queries()["detection_matches"](spark, sf).toPandas()
+    names = ["true_positives", "false_positives", "false_negatives"]
+    assert tuple(scores.first())[:3] == tuple(matches[names].sum())
+
+
 def test_word_errors(spark):
     pairs = [("a", "the cat sat", "the bat sat on"), ("a", "", "x"), ("b", "one two", "one two"), ("c", "", "")]
     got = {tuple(r) for r in analytics.word_errors(spark.createDataFrame(pairs, "category string, ref string, hyp string")).collect()}
