@@ -10,6 +10,7 @@ from operator import or_
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,36 +141,42 @@ def is_signed(urls: DataFrame, key: bytes, url: str = "signed") -> DataFrame:
     return again.select(*(F.col("_given").alias(c) if c == url else F.col(c) for c in urls.columns), "valid")
 
 
+def linked(line: np.ndarray, begin: np.ndarray, end: np.ndarray, reach: int) -> np.ndarray:
+    """For each run (begin to end of a line, in order of line and begin) the first run of its component.
+
+    Runs of neighbouring lines touch where they overlap, reach places on either side counted. Roots
+    are hooked to the smallest of their neighbours, all at once, until every touching pair has one.
+    """
+    parent = np.arange(len(line))
+    if not len(line):
+        return parent
+    wide = int(end.max()) + 2 * reach + 2
+    first, last = line * wide + begin + reach, line * wide + end + reach
+    low = np.searchsorted(last, first - wide - reach)
+    many = np.maximum(np.searchsorted(first, last - wide + reach, "right") - low, 0)
+    one = np.repeat(parent, many)
+    other = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    while len(one):
+        np.minimum.at(parent, np.maximum(one, other), np.minimum(one, other))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        one, other = parent[one], parent[other]
+        apart = one != other
+        one, other = one[apart], other[apart]
+    return parent
+
+
 def label_components(px: DataFrame, connectivity: int = 8) -> DataFrame:
     """image_id, y, x, label of ink: runs of lines are joined where they touch; labels count in raster order.
 
     Runs are found by windows; one image's runs, not its pixels, are gathered for the labelling.
     """
-    reach = 1 if connectivity == 8 else 0
 
     def labelled(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["y", "x"], ignore_index=True)
-        y, begin, end = rows["y"].tolist(), rows["x"].tolist(), (rows["x"] + rows["length"] - 1).tolist()
-        parent = list(range(len(rows)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        first = 0
-        for i in range(len(rows)):
-            while first < i and (y[first] < y[i] - 1 or (y[first] == y[i] - 1 and end[first] + reach < begin[i])):
-                first += 1
-            k = first
-            while k < i and y[k] == y[i] - 1 and begin[k] - reach <= end[i]:
-                a, b = sorted((root(k), root(i)))
-                parent[b] = a
-                k += 1
-        roots = [root(i) for i in range(len(rows))]
-        number = {r: n + 1 for n, r in enumerate(dict.fromkeys(roots))}
-        return rows.assign(label=[number[r] for r in roots])
+        y, begin, length = (rows[c].to_numpy().astype(np.int64) for c in ("y", "x", "length"))
+        roots = linked(y - y.min(), begin - begin.min(), begin - begin.min() + length - 1, int(connectivity == 8))
+        return rows.assign(label=(np.cumsum(roots == np.arange(len(roots)))[roots]).astype(np.int32))
 
     found = runs(px)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
@@ -177,6 +184,76 @@ def label_components(px: DataFrame, connectivity: int = 8) -> DataFrame:
     return out.select("image_id", "y", F.explode(F.expr("sequence(x, CAST(x + length - 1 AS INT))")).alias("x"), "label")
 
 
+#: Bytes of text that are labelled at once (whole pages; a longer page is one by itself).
+PIECE = 1 << 22
+
+
+def labelled_text(data: np.ndarray, cuts: np.ndarray, width: int, reach: int) -> dict[str, np.ndarray]:
+    """Runs of ink of pages of text (UTF-8 bytes, cut at cuts), width characters a line, blank where there is white space.
+
+    page, y, x, length, label (in raster order), area of the component, and whether it is the largest of its page (of equal ones the first).
+    """
+    begins = (data & 0xC0) != 0x80
+    if begins.all():
+        chars, at = data, cuts
+    else:
+        chars, at = data[begins], np.concatenate([[0], np.cumsum(begins)])[cuts]
+    ink = (chars != 32) & (chars != 9) & (chars != 10)
+    size = np.diff(at)
+    place = np.arange(len(chars), dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), size)
+    starts = ink.copy()
+    starts[1:] &= ~ink[:-1] | (place[1:] % width == 0)
+    stops = ink.copy()
+    stops[:-1] &= ~ink[1:] | (place[1:] % width == 0)
+    first, last = np.flatnonzero(starts), np.flatnonzero(stops)
+    page = np.searchsorted(at, first, "right") - 1
+    y, x = np.divmod(place[first].astype(np.int64), width)
+    length = last - first + 1
+    above = np.concatenate([[0], np.cumsum(-(-size // width) + 1)[:-1]])  # a line between pages stays blank
+    roots = linked(above[page] + y, x, x + length - 1, reach)
+    own = roots == np.arange(len(roots))
+    before = np.concatenate([[0], np.cumsum(own)])
+    label = before[1:][roots]  # from 1, over all pages
+    areas = np.bincount(label - 1, length, int(before[-1])).astype(np.int64)
+    pages = page[own]
+    order = np.lexsort((np.arange(len(areas)), -areas, pages))
+    largest = np.zeros(len(areas), bool)
+    largest[order[np.concatenate([[True], pages[order][1:] != pages[order][:-1]])] if len(order) else order] = True
+    of_page = before[np.searchsorted(page, np.arange(len(size)))]  # components of the pages before
+    return {"page": page, "y": y.astype(np.int32), "x": x.astype(np.int32), "length": length.astype(np.int32), "label": (label - of_page[page]).astype(np.int32), "area": areas[label - 1], "largest": largest[label - 1]}
+
+
+def text_components(pages: DataFrame, width: int, connectivity: int = 8, piece: int = PIECE) -> DataFrame:
+    """image_id, y, x, length, label, area, largest: the labelled runs of pages (image_id, text), each page a row.
+
+    As label_components of the pages' pixels has it, but a page comes as its text and leaves as its
+    runs, so nothing is shuffled; many pages are labelled at once.
+    """
+    reach = 1 if connectivity == 8 else 0
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            cuts = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))])
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(cuts, cuts[at] + piece, "right")) - 1)
+                data = np.frombuffer(b"".join(texts.slice(at, upto - at).to_pylist()), np.uint8)
+                found = labelled_text(data, cuts[at : upto + 1] - cuts[at], width, reach)
+                ids = batch.column("image_id").slice(at, upto - at).take(pa.array(found.pop("page")))
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, found.values())], ["image_id", *found])
+                at = upto
+
+    kind = pages.schema["image_id"].dataType.simpleString()
+    given = pages.select("image_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL AND length(text) > 0")
+    return given.mapInArrow(labelled, f"image_id {kind}, y int, x int, length int, label int, area long, largest boolean")
+
+
+def run_pixels(runs: DataFrame, *columns: str) -> DataFrame:
+    """image_id, y, x and columns of the pixels of runs (image_id, y, x, length)."""
+    return runs.select("image_id", "y", F.explode(F.expr("sequence(x, x + length - 1)")).alias("x"), *columns)
+
+
 def diffused(levels: np.ndarray, divisor: int, weights: tuple, threshold: int = 128) -> np.ndarray:
     """Black and white (0, 255) by error diffusion; weights are (dx, dy, share).
 

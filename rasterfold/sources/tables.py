@@ -111,6 +111,15 @@ def exif_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("k AS image_id", f"unhex(concat({', '.join(parts)})) AS exif")
 
 
+#: Characters a line of a page of text.
+LINE = 64
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of ink as their texts, LINE characters a line: image_id and text, a page a row."""
+    return table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("image_id"), "text")
+
+
 def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a page of 64 characters a line; what isn't white space is ink. Null and empty texts are pages without pixels."""
     pages = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("i", "c"))

@@ -304,3 +304,28 @@ def test_percentiles(spark):
     for k, own in values.groupby("k")["v"]:
         ranked = sorted(own)
         assert got[k] == tuple(ranked[int(np.ceil(p * len(ranked))) - 1] for p in (0.5, 0.95))
+
+
+def test_components_of_texts(spark):
+    """Pages as texts give the runs that their pixels give, in pieces and with characters of several bytes."""
+    draw = np.random.default_rng(21)
+    letters = np.array(["a", " ", "\t", "\n", "é", "漢", "😀", "-"])
+    texts = [(i, "".join(draw.choice(letters, n, p=[0.3, 0.3, 0.05, 0.05, 0.1, 0.05, 0.05, 0.1]))) for i, n in enumerate([1, 8, 9, 64, 250, 1000, 40, 333])] + [(20, ""), (21, None), (22, "   "), (23, "x" * 40)]
+    pages_ = spark.createDataFrame(texts, "image_id long, text string")
+    px = pages_.where("text <> ''").select("image_id", F.posexplode(F.split("text", "")).alias("i", "c")).selectExpr("image_id", "i div 8 AS y", "i % 8 AS x", "CASE WHEN c IN (' ', '\\t', '\\n') THEN 0 ELSE 1 END AS ink")
+    for connectivity, piece in ((8, 1 << 22), (4, 100)):
+        runs = analytics.text_components(pages_, 8, connectivity, piece)
+        got = {tuple(r) for r in analytics.run_pixels(runs, "label").collect()}
+        assert got == {tuple(r) for r in analytics.label_components(px.selectExpr("image_id", "CAST(y AS INT) AS y", "CAST(x AS INT) AS x", "ink"), connectivity).collect()}
+        rows = runs.toPandas()
+        areas = rows.groupby(["image_id", "label"])["length"].sum()
+        assert (rows.set_index(["image_id", "label"])["area"] == areas.reindex(rows.set_index(["image_id", "label"]).index)).all()
+        for i, own in areas.groupby("image_id"):
+            assert set(rows[(rows.image_id == i) & rows.largest].label) == {own.idxmax()[1]}
+
+
+@pytest.mark.parametrize("name", ["remove_small_objects"])
+def test_large_components_are_not_shuffled(spark, name):
+    """The named queries label texts page by page; their pixels are not sorted or shuffled."""
+    kept = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
