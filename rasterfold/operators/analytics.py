@@ -396,13 +396,13 @@ def match_boxes(expected: DataFrame, found: DataFrame, threshold: float = 0.5) -
     meet = "a.img = b.img AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"
     inter = F.expr("(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))")
     pairs = a.join(b, F.expr(meet)).where(inter >= F.lit(threshold) * (F.expr("a.w * a.h + b.w * b.h") - inter)).select("a.img", F.col("a.box").alias("target"), F.col("b.box").alias("source"))
-    gathered = pairs.groupBy("img").agg(F.collect_list("source").alias("sources"), F.collect_list("target").alias("targets"))
+    gathered = pairs.groupBy("img").agg(F.collect_list(F.struct("source", "target")).alias("pairs"))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(c) for c in ("sources", "targets")]
-            groups = lists[0].value_parent_indices().to_numpy().astype(np.int64)
-            sources, targets = (v.flatten().dictionary_encode("encode").indices.to_numpy().astype(np.int64) for v in lists)
+            lists = batch.column("pairs")
+            groups = lists.value_parent_indices().to_numpy().astype(np.int64)
+            sources, targets = (v.dictionary_encode("encode").indices.to_numpy().astype(np.int64) for v in lists.flatten().flatten())
             yield pa.RecordBatch.from_arrays([batch.column("img"), pa.array(most_pairs_each(groups, sources, targets, batch.num_rows))], ["img", "n"])
 
     kind = expected.schema["img"].dataType.simpleString()

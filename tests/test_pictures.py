@@ -207,3 +207,23 @@ def test_similarity_of_uneven_lines(spark):
         assert got[0]["windows"] == len(own) and np.allclose((got[0]["ssim"], got[0]["structure"]), np.mean(own, 0))
         assert got[1]["windows"] == 1
     assert [r["windows"] for r in fidelity.similarity(px.where("y <> 11 and y <> 22 and image_id = 0")).collect()] == [20]
+
+
+def test_grid_by_tiles(spark, monkeypatch):
+    """Tiles and their margins give what whole images give, whatever the sizes; pixels meet no table of cells and are shuffled once."""
+    px, _ = images(spark, ((150, 20), (3, 300), (70, 270), (1, 1)), 14)
+    got = grids.bilateral_grid(px, 2.0, 50.0, ("l", "l2"))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {tuple(r) for r in got.collect()}
+    monkeypatch.setattr(grids, "TILE", (1000, 1000))
+    assert found == {tuple(r) for r in grids.bilateral_grid(px, 2.0, 50.0, ("l", "l2")).collect()} and len(found) == 3000 + 900 + 18900 + 1
+
+
+def test_grid_of_many_levels(spark):
+    """Layers that no pixel is near to are left out, which changes nothing; a pixel without a level is 0."""
+    rows = [(0, y, x, int(l)) for y in range(6) for x, l in enumerate((0, 1, 2, 250, 251, 90))] + [(0, 6, 0, None)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, l int")
+    got = {(r["y"], r["x"]): r["l"] for r in grids.bilateral_grid(px, 2.0, 0.4).collect()}
+    assert len(got) == 37 and got[6, 0] == 0
+    assert [got[3, x] for x in (3, 4, 5)] == [250, 251, 90]
