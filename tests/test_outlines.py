@@ -84,3 +84,15 @@ def test_photos_of_the_tables(spark):
         want = [tuple(eval(e, {"k": k}) for e in c) for c in tables.PHOTO_CORNERS]
         near += all(abs(x - u) < 1 and abs(y - v) < 1 for (_, x, y), (u, v) in zip(sorted(found), want, strict=True)) if found[0][0] is not None else 0
     assert near == len(got)
+
+
+@pytest.mark.parametrize("name", ["page_corners"])
+def test_pixels_are_not_broadcast(spark, name, tmp_path):
+    """Photos of a small table are many pixels; a table of them that goes to the driver is over this size and would be an error."""
+    spark.read.parquet(f"{SF}/supplier.parquet").selectExpr("* except (s_suppkey)", "explode(sequence(s_suppkey, s_suppkey + 190, 10)) AS s_suppkey").dropDuplicates(["s_suppkey"]).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len({r["image_id"] for r in rows}) == 200
