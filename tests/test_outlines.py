@@ -86,7 +86,7 @@ def test_photos_of_the_tables(spark):
     assert near == len(got)
 
 
-@pytest.mark.parametrize("name", ["page_corners"])
+@pytest.mark.parametrize("name", ["page_corners", "page_alone"])
 def test_pixels_are_not_broadcast(spark, name, tmp_path):
     """Photos of a small table are many pixels; a table of them that goes to the driver is over this size and would be an error."""
     spark.read.parquet(f"{SF}/supplier.parquet").selectExpr("* except (s_suppkey)", "explode(sequence(s_suppkey, s_suppkey + 190, 10)) AS s_suppkey").dropDuplicates(["s_suppkey"]).write.parquet(f"{tmp_path}/supplier.parquet")
@@ -96,3 +96,28 @@ def test_pixels_are_not_broadcast(spark, name, tmp_path):
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
     assert len({r["image_id"] for r in rows}) == 200
+
+
+def test_page_alone_of_channels_over_bands(spark):
+    """A page higher than a band, turned a little, with two channels: each pixel is the level between four of the image."""
+    h, w = 200, 90
+    quad = ((9.0, 4.0), (80.0, 12.0), (77.0, 190.0), (5.0, 181.0))
+    draw = np.random.default_rng(6)
+    planes = draw.integers(0, 256, (2, h, w))
+    px = spark.createDataFrame([(7, y, x, int(planes[0, y, x]), int(planes[1, y, x])) for y in range(h) for x in range(w)], "image_id long, y int, x int, l int, r int")
+    corners = spark.createDataFrame([(7, [{"x": x, "y": y} for x, y in quad])], "image_id long, quad array<struct<x: double, y: double>>")
+    got = {(r["y"], r["x"]): (r["l"], r["r"]) for r in outlines.page_alone(px, corners, ("l", "r")).collect()}
+    wide = math.floor(max(math.dist(quad[0], quad[1]), math.dist(quad[3], quad[2])) + 0.5)
+    tall = math.floor(max(math.dist(quad[0], quad[3]), math.dist(quad[1], quad[2])) + 0.5)
+    assert set(got) == {(y, x) for y in range(tall) for x in range(wide)}
+    unit = np.array([(0, 0), (1, 0), (1, 1), (0, 1)], float)
+    rows = [r for (u, v), (x, y) in zip(unit, quad, strict=True) for r in ([u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y])]
+    m = np.append(np.linalg.solve(np.array(rows), np.array(quad).ravel()), 1).reshape(3, 3)
+    for (ty, tx), found in got.items():
+        sx, sy, below = m @ ((tx + 0.5) / wide, (ty + 0.5) / tall, 1)
+        sx, sy = sx / below - 0.5, sy / below - 0.5
+        fx, fy = sx - math.floor(sx), sy - math.floor(sy)
+        at = lambda p, j, i: p[min(h - 1, max(0, math.floor(sy) + j)), min(w - 1, max(0, math.floor(sx) + i))]  # noqa: B023, E731
+        for v, p in zip(found, planes, strict=True):
+            want = (1 - fy) * ((1 - fx) * at(p, 0, 0) + fx * at(p, 0, 1)) + fy * ((1 - fx) * at(p, 1, 0) + fx * at(p, 1, 1))
+            assert abs(v - want) <= 0.5 + 1e-4
