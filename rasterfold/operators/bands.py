@@ -18,15 +18,16 @@ from rasterfold.operators.lines import to_lines
 BAND = 64
 
 
-def over_bands(px: DataFrame, columns: list[str], above: int | Column, below: int | Column, work: Callable[[dict[str, np.ndarray], int, int, int], dict[str, object]], returns: str, band: int = BAND) -> DataFrame:
+def over_bands(px: DataFrame, columns: list[str], above: int | Column, below: int | Column, work: Callable[[dict[str, np.ndarray], int, int, int], dict[str, object]], returns: str, band: int = BAND, placed: bool = False) -> DataFrame:
     """image_id and what work makes of each band of lines, with above and below lines around it where the image has them.
 
     above and below may be expressions over height, the number of lines of each image. work gets an
     array (lines, places) of each column, the number of its first line, the first line of the band,
     whose lines are those from there up to band lines on, and the image's height; it returns
-    columns. Lines that are shorter than others of a band are filled up with their last value.
+    columns. Lines that are shorter than others of a band are filled up with their last value. With
+    placed, work also gets the y of the lines (_v) and the x of their places (_u).
     """
-    lines = to_lines(px, *columns)
+    lines = to_lines(px, *columns, places="_u" if placed else None)
     lines = lines.join(lines.groupBy("image_id").agg((F.max("y") + 1).alias("height")), "image_id")
     place = lambda e: F.floor(e / band).cast("int")
     last = F.least(place(F.col("height") - 1), place(F.col("y") + above))
@@ -37,6 +38,9 @@ def over_bands(px: DataFrame, columns: list[str], above: int | Column, below: in
         first = int(key[1]) * band
         width = rows[columns[0]].map(len).max()
         planes = {c: np.stack([np.pad(np.asarray(v, np.float64), (0, width - len(v)), "edge") for v in rows[c]]) for c in columns}
+        if placed:
+            own = [np.arange(len(v)) if u is None else np.asarray(u) for u, v in zip(rows["_u"], rows[columns[0]], strict=True)]
+            planes |= {"_v": rows["y"].to_numpy(), "_u": np.stack([np.pad(u, (0, width - len(u)), "edge") for u in own])}
         return pd.DataFrame({"image_id": key[0], **work(planes, int(rows["y"].iloc[0]), first, int(rows["height"].iloc[0]))})
 
     kind = px.schema["image_id"].dataType.simpleString()

@@ -25,8 +25,7 @@ def similarity(px: DataFrame, a: str = "l", b: str = "l2", band: int = BAND) ->
     """
 
     def summed(planes: dict[str, np.ndarray], top: int, first: int, height: int) -> dict[str, object]:
-        u, v = (planes[c].astype(np.int64) for c in ("_u", "_v"))
-        u, v = u - u.min(), v - first
+        u, v = planes["_u"] - planes["_u"].min(), planes["_v"][:, None] - first
         x, y, there = (np.zeros((int(v.max()) + 1, int(u.max()) + 1), kind) for kind in (np.float64, np.float64, bool))
         x[v, u], y[v, u], there[v, u] = planes[a], planes[b], True
         if x.shape[0] < WINDOW or x.shape[1] < WINDOW:
@@ -41,8 +40,7 @@ def similarity(px: DataFrame, a: str = "l", b: str = "l2", band: int = BAND) ->
         likeness = structure * (2 * mx * my + C1) / (mx * mx + my * my + C1)
         return {"ssim": [likeness[whole].sum()], "structure": [structure[whole].sum()], "windows": [int(whole.sum())]}
 
-    placed = px.select("image_id", "y", "x", a, b, F.col("x").alias("_u"), F.col("y").alias("_v"))
-    sums = over_bands(placed, [a, b, "_u", "_v"], 0, WINDOW - 1, summed, "ssim double, structure double, windows long", band)
+    sums = over_bands(px, [a, b], 0, WINDOW - 1, summed, "ssim double, structure double, windows long", band, placed=True)
     n = F.sum("windows")
     return sums.groupBy("image_id").agg((F.sum("ssim") / n).alias("ssim"), (F.sum("structure") / n).alias("structure"), n.alias("windows"))
 

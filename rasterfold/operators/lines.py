@@ -19,10 +19,12 @@ def _whole():
     return _line().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
-def to_lines(px: DataFrame, *columns: str) -> DataFrame:
-    """image_id, y, and an array by x of each column."""
+def to_lines(px: DataFrame, *columns: str, places: str | None = None) -> DataFrame:
+    """image_id, y, and an array by x of each column; places names one more of the x, null where they are 0 and on without a gap."""
     lines = px.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", *columns))).alias("_p"))
-    return lines.select("image_id", "y", *(F.expr(f"transform(_p, p -> p.{c})").alias(c) for c in columns))
+    whole = "element_at(_p, 1).x = 0 AND element_at(_p, -1).x = size(_p) - 1"
+    own = [F.expr(f"CASE WHEN {whole} THEN NULL ELSE transform(_p, p -> p.x) END").alias(places)] if places else []
+    return lines.select("image_id", "y", *(F.expr(f"transform(_p, p -> p.{c})").alias(c) for c in columns), *own)
 
 
 def to_pixels(lines: DataFrame, *columns: str) -> DataFrame:
